@@ -1,0 +1,4 @@
+"""Registered queries of the engine (without the llm subpackage) and their DuckDB statements."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
