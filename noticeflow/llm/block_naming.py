@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, Scratch, free_name
+from .common import SPACE_CHARS, Scratch, keep_decided
 
 #: Bytes in a block.  Most web documents are one to eight blocks.
 BLOCK_BYTES = 2048
@@ -134,21 +134,6 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
-
-    The decisions are joined back on id and text digest.  Where an id is repeated with equal texts,
-    the copy with the most code points stays.
-    """
-    scratch = Scratch(docs.sparkSession, "exact-keep")
-    decided = exact_dedup(docs, id, text, **kwargs).groupBy(id, "text_sha256").agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")
-    )
-    key, sha, many = (free_name(docs, c) for c in ("kept_id", "kept_sha", "kept_copies"))
-    decided = scratch.keep(decided.where("kept").select(id, "text_sha256", "copies").toDF(key, sha, many), "kept")
-    this = F.sha2(normalised(F.col(text)).cast("binary"), 256)
-    joined = docs.join(decided, F.col(id).eqNullSafe(F.col(key)) & (this == F.col(sha)))
-    alone = joined.where(F.col(many) == 1).select(*docs.columns)
-    if decided.where(F.col(many) > 1).limit(1).count() == 0:
-        return alone
-    longest = F.max_by(F.struct(*docs.columns), F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("row")
-    return alone.unionByName(joined.where(F.col(many) > 1).groupBy(key, sha).agg(longest).select("row.*"))
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    key = F.sha2(normalised(F.col(text)).cast("binary"), 256)
+    return keep_decided(docs, exact_dedup(docs, id, text, **kwargs), id, key, "text_sha256", text)

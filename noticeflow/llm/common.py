@@ -112,6 +112,32 @@ def joined_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str =
         state = mark
 
 
-def ordered_unique(*columns: Column) -> Column:
-    """A struct that orders like its columns, for min, max and array_sort."""
-    return F.struct(*columns)
+#: Decisions on at most so many rows are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame, id: str, key: Column, key_name: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose decision is ``kept``, with all their columns.
+
+    ``decided`` has one row per row of ``docs``: id, ``key_name`` (the value of ``key`` there) and
+    ``kept``.  Where an id is repeated with one key, the copy with the most code points stays.
+    Only decisions are moved: if few rows go, their ids are broadcast and the texts stay in place.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    kid, kkey, many = (free_name(docs, c) for c in ("kept_id", "kept_key", "kept_copies"))
+    decided = scratch.keep(
+        decided.groupBy(id, key_name)
+        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+        .select(F.col(id).alias(kid), F.col(key_name).alias(kkey), "kept", F.col("copies").alias(many)),
+        "decided",
+    )
+    gone, repeated = decided.agg(F.count_if(~F.col("kept")), F.count_if(F.col("kept") & (F.col(many) > 1))).first()
+    same = F.col(id).eqNullSafe(F.col(kid)) & (key == F.col(kkey))
+    if not repeated and gone <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(decided.where(~F.col("kept")).select(kid, kkey)), same, "left_anti")
+    joined = docs.join(decided.where("kept").select(kid, kkey, many), same)
+    alone = joined.where(F.col(many) == 1).select(*docs.columns)
+    if not repeated:
+        return alone
+    longest = F.max_by(F.struct(*docs.columns), F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("row")
+    return alone.unionByName(joined.where(F.col(many) > 1).groupBy(kid, kkey).agg(longest).select("row.*"))

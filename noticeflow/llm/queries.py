@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming
+from . import block_naming, simhash
 from .common import read
 
 
@@ -27,5 +27,9 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM k
 """
 
-QUERIES = {"op10_block_naming": op10_block_naming}
+def op3_simhash(spark, sf_dir):
+    return simhash.near_dedup(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op10_block_naming": op10_block_naming}
 ORACLE = {"op10_block_naming": OP10_SQL}
