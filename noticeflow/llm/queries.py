@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, simhash
+from . import block_naming, byte_bpe, mixing, simhash
 from .common import read
 
 
@@ -31,5 +31,21 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_dedup(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op10_block_naming": op10_block_naming}
+def op4_byte_bpe(spark, sf_dir):
+    tokens = byte_bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), *default_vocabulary())
+    return byte_bpe.digest(tokens, "doc_id")
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.draws(read(spark, sf_dir, "documents")).drop("shards")
+
+
+def default_vocabulary() -> tuple[str, str]:
+    """Rank file and pre-tokenizer pattern of the installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op10_block_naming": op10_block_naming}
 ORACLE = {"op10_block_naming": OP10_SQL}
