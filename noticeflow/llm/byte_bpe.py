@@ -11,6 +11,7 @@ their pairs are kept in a heap instead, with the same result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 
 import numpy as np
@@ -209,15 +210,15 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-_models: dict[int, Bpe] = {}
+_models: dict[tuple, Bpe] = {}
 
 
-def _model(shared, pattern: str) -> Bpe:
-    """This worker's model, built once from the broadcast file."""
-    if shared.id not in _models:
+def _model(key: tuple[str, str], shared) -> Bpe:
+    """This worker's model for (file digest, pattern), built once from the broadcast file."""
+    if key not in _models:
         _models.clear()
-        _models[shared.id] = Bpe(shared.value, pattern)
-    return _models[shared.id]
+        _models[key] = Bpe(shared.value, key[1])
+    return _models[key]
 
 
 class Tokenizer:
@@ -233,13 +234,13 @@ class Tokenizer:
             data = f.read(self.FILE_MAX + 1)
         if len(data) > self.FILE_MAX:
             raise ValueError(f"{path} is larger than {self.FILE_MAX} bytes")
-        shared = spark.sparkContext.broadcast(data)
+        shared, key = spark.sparkContext.broadcast(data), (hashlib.sha256(data).hexdigest(), pattern)
 
         def encode(texts: pa.Array) -> pa.Array:
-            return pa.array(_model(shared, pattern).encode_batch(texts.to_pylist()), pa.binary())
+            return pa.array(_model(key, shared).encode_batch(texts.to_pylist()), pa.binary())
 
         def decode(ids: pa.Array) -> pa.Array:
-            model = _model(shared, pattern)
+            model = _model(key, shared)
             return pa.array([model.decode(x) for x in ids.to_pylist()], pa.binary())
 
         self._encode, self._decode = F.arrow_udf(encode, BinaryType()), F.arrow_udf(decode, BinaryType())
