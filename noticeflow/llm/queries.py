@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, mixing, simhash
+from . import block_naming, byte_bpe, byte_cnn, mixing, simhash
 from .common import read
 
 
@@ -40,6 +40,10 @@ def op8_mixing(spark, sf_dir):
     return mixing.draws(read(spark, sf_dir, "documents")).drop("shards")
 
 
+def op9_byte_cnn(spark, sf_dir):
+    return byte_cnn.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def default_vocabulary() -> tuple[str, str]:
     """Rank file and pre-tokenizer pattern of the installed public vocabulary."""
     import public_tokenizers
@@ -47,5 +51,5 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op10_block_naming": op10_block_naming}
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
 ORACLE = {"op10_block_naming": OP10_SQL}
