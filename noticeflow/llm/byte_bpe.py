@@ -264,9 +264,11 @@ def round_trip(
     return docs.withColumn(ids, t.encode(F.col(text))).withColumn(decoded, t.decode(F.col(ids)))
 
 
-def digest(tokens: DataFrame, id: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def digest(tokens: DataFrame, id: str, ids: str = "ids", decoded: str = "decoded", keep: tuple = ()) -> DataFrame:
+    """Id, number of tokens and digests of ids and decoded bytes, and the columns in ``keep``."""
     return tokens.select(
         id,
+        *keep,
         (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2(decoded, 256).alias("decoded_sha256"),

@@ -157,7 +157,7 @@ def search(points: np.ndarray, asked: np.ndarray, home: np.ndarray, metrics, rng
     search(points, asked[e + r > mu], home[d > mu], metrics, rng, links)
 
 
-def shard_links(key, rows: pd.DataFrame) -> pd.DataFrame:
+def shard_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     points = rows["fp"].to_numpy().view(np.uint64)
     links = Links(len(points))
     order = np.arange(len(points))
