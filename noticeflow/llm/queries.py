@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, byte_cnn, mixing, simhash
+from . import block_naming, byte_bpe, byte_cnn, mixing, simhash, tile_cosine
 from .common import read
 
 
@@ -36,6 +36,10 @@ def op4_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(tokens, "doc_id")
 
 
+def op7_tile_cosine(spark, sf_dir):
+    return tile_cosine.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.draws(read(spark, sf_dir, "documents")).drop("shards")
 
@@ -51,5 +55,5 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
 ORACLE = {"op10_block_naming": OP10_SQL}
