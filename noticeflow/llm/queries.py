@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, byte_cnn, mixing, simhash, tile_cosine
+from . import block_naming, byte_bpe, byte_cnn, mixing, secrets, simhash, tile_cosine
 from .common import read
 
 
@@ -27,6 +27,10 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM k
 """
 
+def op1_secrets(spark, sf_dir):
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")), "doc_id")
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_dedup(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
@@ -55,5 +59,5 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
+QUERIES = {"op1_secrets": op1_secrets, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
 ORACLE = {"op10_block_naming": OP10_SQL}
