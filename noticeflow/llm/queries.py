@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, byte_cnn, mixing, secrets, simhash, tile_cosine
+from . import block_naming, byte_bpe, byte_cnn, mixing, secrets, simhash, tile_cosine, warc
 from .common import read
 
 
@@ -31,6 +31,30 @@ def op1_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")), "doc_id")
 
 
+def op2_warc(spark, sf_dir):
+    return warc.digest(warc.round_trip(read(spark, sf_dir, "pages")))
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low
+  FROM pages
+), b AS (
+  SELECT *, list_aggregate(list_transform(string_split(hex, ''),
+           lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS bits
+  FROM p
+)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, 5 * i + k + 1, 1) AS INTEGER) << (4 - k)))::INTEGER, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to
+FROM b
+"""
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_dedup(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
@@ -59,5 +83,5 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
-ORACLE = {"op10_block_naming": OP10_SQL}
+QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
+ORACLE = {"op2_warc": OP2_SQL, "op10_block_naming": OP10_SQL}
