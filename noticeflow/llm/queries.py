@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, byte_cnn, mixing, secrets, sharding, simhash, tile_cosine, warc
+from . import block_naming, byte_bpe, byte_cnn, licenses, mixing, secrets, sharding, simhash, tile_cosine, warc
 from .common import read
 
 
@@ -71,6 +71,10 @@ def op5_sharding(spark, sf_dir):
 OP5_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
 
 
+def op6_licenses(spark, sf_dir):
+    return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
+
+
 def op7_tile_cosine(spark, sf_dir):
     return tile_cosine.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -90,5 +94,5 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op5_sharding": op5_sharding, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
-ORACLE = {"op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op10_block_naming": OP10_SQL}
+QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op5_sharding": op5_sharding, "op6_licenses": op6_licenses, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
+ORACLE = {"op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op6_licenses": licenses.oracle_sql(), "op10_block_naming": OP10_SQL}
