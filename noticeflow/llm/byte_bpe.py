@@ -13,15 +13,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructType
 
 #: Longest piece for the matrices, elements in a matrix, distinct pieces remembered by a worker.
-MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 21, 400_000
+MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 20, 250_000
 #: Characters of text whose pieces are held at once (a longer text is held alone).
 PORTION = 1 << 21
 #: Code points that newer Unicode data count as letters or numbers, and the published
@@ -244,6 +246,7 @@ class Tokenizer:
             return pa.array([model.decode(x) for x in ids.to_pylist()], pa.binary())
 
         self._encode, self._decode = F.arrow_udf(encode, BinaryType()), F.arrow_udf(decode, BinaryType())
+        self.key, self.shared = key, shared
 
     def encode(self, text: Column) -> Column:
         return self._encode(text)
@@ -252,6 +255,14 @@ class Tokenizer:
         return self._decode(ids)
 
 
+def round_trip(self, text: Column) -> Column:
+        """Struct of ``ids`` and the bytes ``decoded`` from them.
+
+        One function, because Spark would evaluate encode(text) a second time inside decode(encode(text)).
+        """
+        return self._both(text)
+
+
 def round_trip(
     docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
@@ -261,7 +272,33 @@ def round_trip(
     are replaced.  Rows are independent: repeated rows and any order are fine.
     """
     t = Tokenizer(docs.sparkSession, path, pattern)
-    return docs.withColumn(ids, t.encode(F.col(text))).withColumn(decoded, t.decode(F.col(ids)))
+    key, shared = t.key, t.shared
+    kept = [c for c in docs.columns if c.lower() not in (ids.lower(), decoded.lower())]
+    schema = StructType([docs.schema[c] for c in kept]).add(ids, BinaryType()).add(decoded, BinaryType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # both steps in one function: decode(encode(text)) beside encode(text) would encode twice;
+        # and results leave in portions, since the ids of a whole batch are larger than its texts
+        for batch in batches:
+            for part in portions(batch, text):
+                model = _model(key, shared)
+                coded = model.encode_batch(part.column(text).to_pylist())
+                back = pa.array(map(model.decode, coded), pa.binary(), size=len(coded))
+                columns = [part.column(c) for c in kept] + [pa.array(coded, pa.binary()), back]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
+
+    return docs.mapInArrow(run, schema)
+
+
+def portions(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most PORTION bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def digest(tokens: DataFrame, id: str, ids: str = "ids", decoded: str = "decoded", keep: tuple = ()) -> DataFrame:
