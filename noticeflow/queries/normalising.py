@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, identity, numbers, text, urls
-from ..functions.terms import STRONG_TERMS
+from ..functions import terms as T
 from ..operators import filters, scoring
 from ..operators.joins import tagged_by_packs
 from .registry import query, table
@@ -102,17 +102,32 @@ def term_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
 
 
-@query(r"""
-WITH n AS (SELECT page_id, url, trim(regexp_replace(lower(concat_ws(' ', t, 'modular housing for all')), '[^a-z0-9]+', ' ', 'g')) AS n, t
-  FROM (SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 5 = 0 THEN 'prefab modular phone' ELSE url END AS t FROM pages)),
-s AS (SELECT page_id, t, url, contains(n, 'modular phone') AS x, greatest(0, least(100, 70 + 18 * (CAST(contains(n, 'prefab') AS INT) + CAST(contains(n, 'housing') AS INT)
-  + CAST(contains(n, 'construction') AS INT) + CAST(contains(n, 'factory built') AS INT) + CAST(contains(n, 'building') AS INT)) - 80 * CAST(contains(n, 'modular phone') AS INT))) AS score FROM n)
-SELECT page_id, score, CASE WHEN t = '' THEN 'malformed' WHEN x AND score < 80 THEN 'irrelevant' WHEN x THEN 'review_required' WHEN score >= 80 THEN 'publish'
-  WHEN score >= 50 THEN 'review_required' ELSE 'irrelevant' END AS decision FROM s""")
+TITLES = ("Modular housing project", "prefab factory-built home", "a modular phone for the office", "modular weapons system of the army", "prefab", "", "New school in steel modular", "nothing")
+
+
+def _relevance_sql() -> str:
+    """The candidate score in SQL, made from the term tables."""
+    q = lambda w: "' " + " ".join("".join(c if c.isalnum() else " " for c in w.lower()).split()) + " '"
+    n = lambda words, weight: " + ".join(f"CAST(contains(n, {q(w)}) AS INT) * {weight}" for w in words) or "0"
+    any_of = lambda words: "(" + (" OR ".join(f"contains(n, {q(w)})" for w in words) or "false") + ")"
+    rules = " OR ".join(f"({any_of(a)} OR ({any_of(b)} AND {any_of(c)}))" for a, b, c in T.EXCLUSION_RULES.values())
+    context = " + ".join(f"CAST(contains(n, {q(w)}) AS INT) * {k}" for w, k in T.CONTEXT_WEIGHTS.items())
+    weak = f"CASE WHEN NOT {any_of(T.STRONG_TERMS + T.SUPPORTING_TERMS)} AND {any_of(T.WEAK_TERMS)} AND {any_of(T.CONTEXT_WEIGHTS)} THEN {T.WEAK_WEIGHT} ELSE 0 END"
+    titles = "CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TITLES)) + " END"
+    return f"""
+WITH t AS (SELECT page_id, url, {titles} AS title FROM pages),
+n AS (SELECT *, ' ' || trim(regexp_replace(lower(concat_ws(' ', title, '', url)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n FROM t),
+s AS (SELECT *, {any_of(T.EXCLUSION_TERMS)} OR {rules} AS x,
+  greatest(0, least(100, {n(T.STRONG_TERMS, T.STRONG_WEIGHT)} + {n(T.SUPPORTING_TERMS, T.SUPPORTING_WEIGHT)} + {context} + {n(T.EXCLUSION_TERMS, T.EXCLUSION_WEIGHT)} + {weak})) AS score FROM n)
+SELECT page_id, CASE WHEN title = '' THEN 0 ELSE score END AS score, CASE WHEN title = '' THEN 'malformed' WHEN x AND score < {T.PUBLISH_AT} THEN 'irrelevant' WHEN NOT x AND score >= {T.PUBLISH_AT} THEN 'publish_candidate'
+  WHEN score >= {T.REVIEW_AT} THEN 'review_required' ELSE 'irrelevant' END AS decision FROM s"""
+
+
+@query(_relevance_sql())
 def candidate_relevance(spark, sf_dir):
-    title = F.when(F.col("page_id") % 9 == 0, "").when(F.col("page_id") % 5 == 0, "prefab modular phone").otherwise(F.col("url"))
-    found = scoring.relevance(title, F.lit(f"{STRONG_TERMS[2]} for all"), F.col("url"))
-    return _pages(spark, sf_dir).select("page_id", found.alias("r")).select("page_id", "r.*")
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("page_id") % len(TITLES) + 1).cast("int"))
+    found = scoring.relevance(title, F.lit(""), F.col("url"))
+    return _pages(spark, sf_dir).select("page_id", found.alias("r")).select("page_id", "r.score", "r.decision")
 
 
 @query(r"""

@@ -129,7 +129,7 @@ def test_evidence(spark):
 
 
 @pytest.mark.parametrize("title, body, want", [
-    ("Modular housing", "prefab", "publish"), ("", "modular housing", "malformed"), ("Prefab news", "", "irrelevant"), ("Modular building and modular phone", "", "irrelevant"),
+    ("Modular housing", "prefab", "publish_candidate"), ("", "modular housing", "malformed"), ("Prefab news", "", "irrelevant"), ("Modular building and modular phone", "", "irrelevant"),
 ])
 def test_relevance(spark, title, body, want):
     assert spark.range(1).select(scoring.relevance(F.lit(title), F.lit(body), F.lit("http://x")).alias("r")).first().r.decision == want
