@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
+from .common import small_batches
+
 #: Longest piece for the matrices, elements in a matrix, distinct pieces remembered by a worker.
-MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 20, 250_000
+MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 20, 200_000
 #: Characters of text whose pieces are held at once (a longer text is held alone).
-PORTION = 1 << 21
+PORTION = 1 << 20
 #: Code points that newer Unicode data count as letters or numbers, and the published
 #: tokenizer's data count as neither (first-last, hexadecimal).
 NEWER = (
@@ -271,6 +273,7 @@ def round_trip(
     Null counts as empty; an empty text has no ids.  Existing columns named ``ids`` or ``decoded``
     are replaced.  Rows are independent: repeated rows and any order are fine.
     """
+    small_batches(docs.sparkSession)
     t = Tokenizer(docs.sparkSession, path, pattern)
     key, shared = t.key, t.shared
     kept = [c for c in docs.columns if c.lower() not in (ids.lower(), decoded.lower())]

@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from .common import free_name
+from .common import free_name, small_batches
 
 FILTERS, WIDTH, CHUNK = 12, 5, 512
 #: Bounds of the training sample, least number of passes and of steps.
 TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, STEPS, BATCH = 4000, 8, 6, 300, 64
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-#: Chunks whose responses are computed at once.
-PORTION = 512
+#: Chunks whose responses are computed at once, and texts that are held as strings.
+PORTION, ROWS = 512, 256
 
 
 @dataclass
@@ -168,6 +168,7 @@ def held_out(id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
     """Trains on a bounded sample of the labelled rows of ``docs`` outside the held-out fold."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(id)))
         .groupBy(F.col(id).alias("id")).agg(F.min(label).cast("int").alias("label"))
@@ -183,8 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def score_column(docs: DataFrame, net: Network, text: str = "text") -> Column:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # WIDTH * 256 * FILTERS weights
-    return F.arrow_udf(lambda texts: pa.array(shared.value.scores(texts.to_pylist()), pa.float64()), DoubleType())(F.col(text))
+
+    def scores(texts: pa.Array) -> pa.Array:
+        # some rows at a time: a batch holds thousands of texts
+        parts = [shared.value.scores(texts.slice(at, ROWS).to_pylist()) for at in range(0, len(texts), ROWS)]
+        return pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())
+
+    return F.arrow_udf(scores, DoubleType())(F.col(text))
 
 
 def quality(

@@ -21,11 +21,12 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Scratch, joined_components, keep_decided
+from .common import Scratch, joined_components, keep_decided, small_batches
 
 WORDS, RADIUS = 3, 3
 #: Distinct fingerprints that a shard is meant to be home to, sampled fingerprints per shard, and
@@ -60,9 +61,10 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprints(text: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
+def fingerprints(text: pa.Array) -> pa.Array:
+    """Fingerprints as signed integers; texts are turned into strings one at a time."""
+    found = np.fromiter((fingerprint(t.as_py()) for t in text), np.uint64, len(text))
+    return pa.array(found.view(np.int64), pa.int64())
 
 
 def choose(points: np.ndarray, metrics, rng) -> tuple | None:
@@ -199,9 +201,10 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_ro
     smallest id of the component; ids that are null count only where a component has no other, and
     then it is null.  ``kept`` is true on every row with that id.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(
-        docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), fingerprints(F.col(text)).alias("fp")), "fp"
+        docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.arrow_udf(fingerprints, LongType())(F.col(text)).alias("fp")), "fp"
     )
     fps = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     roots = joined_components(link_edges(fps.select("fp"), shard_rows), scratch)
