@@ -79,6 +79,19 @@ def op7_tile_cosine(spark, sf_dir):
     return tile_cosine.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
+"""
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.draws(read(spark, sf_dir, "documents")).drop("shards")
 
@@ -95,4 +108,4 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op5_sharding": op5_sharding, "op6_licenses": op6_licenses, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
-ORACLE = {"op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op6_licenses": licenses.oracle_sql(), "op10_block_naming": OP10_SQL}
+ORACLE = {"op7_tile_cosine": OP7_SQL, "op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op6_licenses": licenses.oracle_sql(), "op10_block_naming": OP10_SQL}
