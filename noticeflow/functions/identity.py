@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -32,3 +34,13 @@ def identity_key(*choices: Sequence[Column | str]) -> Column:
 def row_hash(columns: Sequence[str]) -> Column:
     """SHA-256 of the named columns as JSON in the order of their names; nulls are kept."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def fingerprint(settings: object) -> str:
+    """SHA-256 of settings as JSON with sorted keys, for checkpoints and manifests (driver side)."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def seeded_order(key: Column | str, seed: int) -> Column:
+    """A repeatable shuffled order of keys."""
+    return F.xxhash64(F.lit(seed), key)

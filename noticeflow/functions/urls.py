@@ -120,3 +120,26 @@ def link_verdict(url: Column | str, domains: Sequence[str], verified: Column) ->
         .when(F.coalesce(verified, F.lit(False)), F.lit("exact"))
         .otherwise(F.lit("candidate"))
     )
+
+
+def built(base: str, parameters: dict[str, Column]) -> Column:
+    """Address with encoded query parameters, in order; null parameters are left out."""
+    pairs = F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat(F.lit(f"{n}="), F.url_encode(c.cast("string")))) for n, c in parameters.items()]))
+    query = F.array_join(pairs, "&")
+    return F.when(query == "", F.lit(base)).otherwise(F.concat(F.lit(base), F.lit("?"), query))
+
+
+def candidates(paths: Sequence[str], names: Sequence[str], record: Column) -> Column:
+    """Distinct addresses of all paths with all parameter names for a record, in order; none without a record."""
+    made = F.flatten(F.transform(F.array(*map(F.lit, paths)), lambda p: F.transform(F.array(*map(F.lit, names)), lambda n: F.concat(p, F.lit("?"), n, F.lit("="), F.url_encode(record)))))
+    return F.when(record.isNull() | (record == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(made))
+
+
+def page_verdict(status: Column, body: Column, record: Column, title: Column, errors: Sequence[str]) -> Column:
+    """Verdict on a fetched page: failed, error page, verified by record or title, or not matching."""
+    text = F.lower(F.coalesce(body, F.lit("")))
+    broken = F.lit(False)
+    for e in errors:
+        broken = broken | F.contains(text, F.lit(e.lower()))
+    holds = lambda c: (F.coalesce(c, F.lit("")) != "") & F.contains(text, F.lower(F.coalesce(c, F.lit(""))))
+    return F.when(F.coalesce(status, F.lit(0)) != 200, "failed").when(broken, "error_page").when(holds(record) | holds(title), "verified").otherwise("no_match")

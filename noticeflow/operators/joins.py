@@ -69,7 +69,8 @@ def either_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str
     for n, (a, b) in enumerate(pairs):
         side = right.where(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"_b{n}")).agg(F.max(id).alias(f"_i{n}"))
         out = out.join(side, F.col(a) == F.col(f"_b{n}"), "left").drop(f"_b{n}")
-    return out.select(*left.columns, F.greatest(*[F.col(f"_i{n}") for n in range(len(pairs))], F.lit(None)).alias(name) if len(pairs) == 1 else F.greatest(*[F.col(f"_i{n}") for n in range(len(pairs))]).alias(name))
+    found = [F.col(f"_i{n}") for n in range(len(pairs))]
+    return out.select(*left.columns, (F.greatest(*found) if len(found) > 1 else found[0]).alias(name))
 
 
 def nonempty(df: DataFrame, c: str, prefix: str = "") -> Column:

@@ -85,3 +85,34 @@ def test_stream_upserts_and_strikes(spark, tmp_path):
     strikes = streams.provider_strikes(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log/*"), "p", "at", "s")
     streams.run_available(strikes, "strikes", "update", f"{tmp_path}/c2")
     assert sorted(map(tuple, spark.table("strikes").collect())) == [("p", 2, True), ("q", 0, False)]
+
+
+def test_paced_client():
+    from noticeflow.sources.paced import Answer, PacedClient, retry_after
+
+    now, slept, script = [0.0], [], []
+
+    def sleep(s):
+        slept.append(round(s, 3))
+        now[0] += s
+
+    client = PacedClient(lambda url: script.pop(0), sleep, lambda: now[0], jitter=0)
+    script[:] = [Answer(200, "a")]
+    assert client.fetch("u").body == "a" and slept == []
+    script[:] = [Answer(503), Answer(429, headers={"Retry-After": "5"}), Answer(200, "b")]
+    assert client.fetch("u").attempts == 3 and slept == [12, 30, 5, 7] and not client.open
+    script[:] = [Answer(429)] * 3
+    assert client.fetch("u").status == 429 and client.open and client.fetch("u").status == 0
+    assert retry_after("Thu, 01 Jan 1970 00:01:00 GMT", 0) == 60 and retry_after("soon", 0) is None
+
+
+def test_url_builders(spark):
+    from noticeflow.functions import identity, urls
+
+    row = spark.createDataFrame([("R 1", None)], "r string, n string").select(
+        urls.built("http://x/y", {"a": F.col("r"), "b": F.col("n"), "c": F.lit(2)}).alias("u"),
+        urls.candidates(["/p", "/q"], ["no", "id"], F.col("r")).alias("c"), urls.candidates(["/p"], ["no"], F.col("n")).alias("none"),
+        urls.page_verdict(F.lit(200), F.lit("Notice R 1 here"), F.col("r"), F.col("n"), ["not found"]).alias("v"),
+    ).first()
+    assert row.u == "http://x/y?a=R+1&c=2" and row.c == ["/p?no=R+1", "/p?id=R+1", "/q?no=R+1", "/q?id=R+1"] and row.none == [] and row.v == "verified"
+    assert identity.fingerprint({"b": 1, "a": [2]}) == identity.fingerprint({"a": [2], "b": 1}) != identity.fingerprint({"a": [2]})
