@@ -124,6 +124,7 @@ def exact_dedup(
         F.min(F.struct((-F.col("n_points")).alias("p"), F.col("id").isNull().alias("z"), "id", "rid")).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
+    best = scratch.keep(best, "best")  # so that both sides of the join are plain exchanges, which Spark can split
     return rows.join(best, ["level", "name"]).select(
         F.col("id").alias(id),
         F.col("best.id").alias("keep_id"),
