@@ -89,30 +89,61 @@ def alphabet(token: Column) -> Column:
     return out.otherwise(64).cast("double")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def evidence(token: Column) -> Column:
-    """-ln of the combined p-value of the battery under the hypothesis that the token is text."""
+    """-ln of the combined p-value of the battery under the hypothesis that the token is text.
+
+    One pass over the characters gathers the sums of the tests; work is linear in the length.
+    """
     chars = F.split(token, "")
-    n = F.char_length(token).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double"))
-    pairs = F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * (k - 1)) / (n * (n - 1))
-    a = alphabet(token)
-    # n (a * sum p^2 - 1), the chi-squared statistic, is linear in the coincidences ``pairs``
-    chi = a * ((n - 1) * pairs + 1) - n
-    text_chi = a * ((n - 1) * TEXT_COINCIDENCE + 1) - n
-    # at least the alphabet's own chance of coincidence separates the hypotheses
-    spread = TEXT_SPREAD * F.sqrt(2 * (a - 1) * (n - 1) / n)
-    classes = F.transform(chars, _class)
-    steps = F.zip_with(F.slice(classes, F.lit(1), F.size(classes) - 1), F.slice(classes, F.lit(2), F.size(classes) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    changes = F.size(F.filter(steps, lambda s: s["p"] != s["q"])).cast("double")
-    z_runs = (changes - (n - 1) * TEXT_CHANGE) / F.sqrt((n - 1) * TEXT_CHANGE * (1 - TEXT_CHANGE))
-    mean = F.aggregate(classes, F.lit(0.0), lambda s, c: s + c) / n
-    var = F.aggregate(classes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean)) / n
-    both = F.aggregate(steps, F.lit(0.0), lambda s, x: s + (x["p"] - mean) * (x["q"] - mean))
-    serial = F.when(var > 0, both / ((n - 1) * var)).otherwise(1.0)
-    z_serial = (1 - 2 * TEXT_CHANGE - serial) * F.sqrt(n - 1)
-    logs = sum(-F.log(F.greatest(F.lit(1e-300), _upper_tail(z))) for z in ((text_chi - chi) / spread, z_runs, z_serial))
+    zero = F.struct(
+        F.lit(-1).alias("last"), *[F.lit(0).cast("long").alias(k) for k in ("changes", "total", "squares", "products")]
+    )
+
+    def step(acc: Column, char: Column) -> Column:
+        return _let(
+            _class(char),
+            lambda c: F.struct(
+                c.alias("last"),
+                (acc["changes"] + F.when((acc["last"] >= 0) & (acc["last"] != c), 1).otherwise(0)).alias("changes"),
+                (acc["total"] + c).alias("total"),
+                (acc["squares"] + c * c).alias("squares"),
+                (acc["products"] + F.when(acc["last"] >= 0, acc["last"] * c).otherwise(0)).alias("products"),
+            ),
+        )
+
+    agreeing = lambda k: F.aggregate(
+        F.array_distinct(k), F.lit(0.0),
+        lambda total, c: total + _let((F.char_length(token) - F.char_length(F.replace(token, c, F.lit("")))).cast("double"), lambda x: x * (x - 1)),
+    )
+    sums = F.struct(
+        F.char_length(token).cast("double").alias("n"), alphabet(token).alias("a"), agreeing(chars).alias("agreeing"),
+        _class(F.substring(token, 1, 1)).alias("first"), F.aggregate(chars, zero, step).alias("s"),
+    )
+
+    def scores(v: Column) -> Column:
+        n, a, s = v["n"], v["a"], v["s"]
+        # n (a * sum p^2 - 1), the chi-squared statistic, is linear in the share of agreeing pairs
+        chi = a * (v["agreeing"] / n + 1) - n
+        text_chi = a * ((n - 1) * TEXT_COINCIDENCE + 1) - n
+        spread = TEXT_SPREAD * F.sqrt(2 * (a - 1) * (n - 1) / n)
+        z_runs = (s["changes"] - (n - 1) * TEXT_CHANGE) / F.sqrt((n - 1) * TEXT_CHANGE * (1 - TEXT_CHANGE))
+        mean = s["total"] / n
+        var = s["squares"] / n - mean * mean
+        both = s["products"] - mean * (2 * s["total"] - v["first"] - s["last"]) + (n - 1) * mean * mean
+        serial = F.when(var > 1e-12, both / ((n - 1) * var)).otherwise(1.0)
+        z_serial = (1 - 2 * TEXT_CHANGE - serial) * F.sqrt(n - 1)
+        return F.array((text_chi - chi) / spread, z_runs, z_serial)
+
+    logs = F.aggregate(
+        _let(sums, scores), F.lit(0.0), lambda total, z: total - F.log(F.greatest(F.lit(1e-300), _let(z, _upper_tail)))
+    )
     # Fisher: twice the sum is chi-squared with six degrees; its tail is exp(-x)(1 + x + x^2/2)
-    return F.greatest(F.lit(0.0), logs - F.log(1 + logs + logs * logs / 2))
+    return _let(logs, lambda x: F.greatest(F.lit(0.0), x - F.log(1 + x + x * x / 2)))
 
 
 def weight(length: Column) -> Column:

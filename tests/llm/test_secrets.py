@@ -56,3 +56,35 @@ def test_text_alone_reports_nothing(spark):
     docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
     assert secrets.digest(secrets.scan(docs), "doc_id").where("spans <> ''").count() == 0
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_long_runs_take_linear_work(spark):
+    rng = random.Random(8)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    docs = spark.createDataFrame([(1, "x " + blob), (2, "abstract" * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(docs), "doc_id").collect()}
+    assert got == {1: f"random:2:{len(blob) + 2}", 2: ""}
+
+
+def test_statistics(spark):
+    """The one-pass sums against the plain formulas."""
+    import math
+
+    def brute(t):
+        n, a = len(t), 62.0
+        cls = [0 if c.islower() else 1 if c.isupper() else 2 for c in t]
+        counts = [t.count(c) for c in set(t)]
+        chi = sum((k - n / a) ** 2 / (n / a) for k in counts) + (a - len(counts)) * n / a
+        text_chi = a * ((n - 1) * secrets.TEXT_COINCIDENCE + 1) - n
+        z1 = (text_chi - chi) / (secrets.TEXT_SPREAD * math.sqrt(2 * (a - 1) * (n - 1) / n))
+        q = secrets.TEXT_CHANGE
+        z2 = (sum(x != y for x, y in zip(cls, cls[1:])) - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q))
+        m = sum(cls) / n
+        r = sum((x - m) * (y - m) for x, y in zip(cls, cls[1:])) / ((n - 1) * sum((x - m) ** 2 for x in cls) / n)
+        z3 = (1 - 2 * q - r) * math.sqrt(n - 1)
+        x = sum(-math.log(max(1e-300, math.erfc(z / math.sqrt(2)) / 2)) for z in (z1, z2, z3))
+        return max(0, x - math.log(1 + x + x * x / 2))
+
+    tokens = ["aB3dE5gH7jK9mN1pQ2sT", "Zz9Zz9Zz9Zz9Zz9Zz9Zz9", "abcdefghijklmnopqrstuvWX1"]
+    got = [r.e for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(secrets.evidence(F.col("t")).alias("e")).collect()]
+    assert all(abs(x - brute(t)) < 1e-4 * max(1, brute(t)) for x, t in zip(got, tokens)), [(x, brute(t)) for x, t in zip(got, tokens)]
