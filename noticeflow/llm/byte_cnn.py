@@ -23,12 +23,12 @@ from pyspark.sql.types import BinaryType, DoubleType
 
 from .common import free_name, small_batches
 
-FILTERS, WIDTH, CHUNK = 12, 5, 512
+FILTERS, WIDTH, CHUNK = 24, 5, 512
 #: Bounds of the training sample, least number of passes and of steps.
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, STEPS, BATCH = 4000, 8, 6, 300, 64
+TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, STEPS, BATCH = 4000, 8, 8, 300, 64
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Chunks whose responses are computed at once, and texts that are held as strings.
-PORTION, ROWS = 512, 256
+PORTION, ROWS = 256, 256
 
 
 @dataclass
