@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import small_batches
+from .common import release_memory, small_batches
 
 #: Longest piece for the matrices, elements in a matrix, distinct pieces remembered by a worker.
 MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 20, 200_000
@@ -282,13 +282,15 @@ def round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # both steps in one function: decode(encode(text)) beside encode(text) would encode twice;
         # and results leave in portions, since the ids of a whole batch are larger than its texts
+        model = _model(key, shared)
         for batch in batches:
             for part in portions(batch, text):
-                model = _model(key, shared)
                 coded = model.encode_batch(part.column(text).to_pylist())
                 back = pa.array(map(model.decode, coded), pa.binary(), size=len(coded))
                 columns = [part.column(c) for c in kept] + [pa.array(coded, pa.binary()), back]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
+        model.known.clear()
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 

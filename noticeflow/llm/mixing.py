@@ -25,7 +25,7 @@ from .common import SPACE_CHARS, SPACE_CLASS, Scratch, free_name
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Documents in a block at least, the number of blocks aimed at, and block draws in a shard.
-BLOCK_DOCS, MAX_BLOCKS, SHARD_DRAWS = 256, 1 << 20, 64
+BLOCK_DOCS, MAX_BLOCKS, SHARD_DRAWS = 256, 1 << 22, 16
 
 
 def word_count(text: Column) -> Column:
