@@ -26,7 +26,7 @@ def latest_per_key(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT * FROM events WHERE event_id % 50 = 1), q AS (SELECT * FROM events WHERE event_id % 7 = 0),
+WITH d AS (SELECT * FROM events WHERE event_type IN ('purchase', 'signup') AND value >= 150), q AS (SELECT * FROM events),
 a AS (SELECT user_id, event_type, arg_max(value, event_id) AS v, max(event_id) AS e FROM d GROUP BY 1, 2),
 b AS (SELECT user_id, arg_max(value, event_id) AS v, max(event_id) AS e FROM d GROUP BY 1)
 SELECT q.event_id, coalesce(a.v, b.v) AS found_value, CASE WHEN a.e IS NOT NULL THEN a.e ELSE b.e END AS found_event,
@@ -34,8 +34,8 @@ SELECT q.event_id, coalesce(a.v, b.v) AS found_value, CASE WHEN a.e IS NOT NULL
 FROM q LEFT JOIN a ON q.user_id = a.user_id AND q.event_type = a.event_type LEFT JOIN b ON q.user_id = b.user_id""")
 def cascade_lookup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    details = e.where("event_id % 50 = 1").select("user_id", "event_type", F.col("value").alias("found_value"), F.col("event_id").alias("found_event"))
-    asked = e.where("event_id % 7 = 0").select("event_id", "user_id", "event_type")
+    details = e.where("event_type IN ('purchase', 'signup') AND value >= 150").select("user_id", "event_type", F.col("value").alias("found_value"), F.col("event_id").alias("found_event"))
+    asked = e.select("event_id", "user_id", "event_type")
     tiers = [["user_id", "event_type"], ["user_id"]]
     return joins.cascade_lookup(asked, details, tiers, ["found_event"], ["found_value", "found_event"]).drop("user_id", "event_type")
 
@@ -53,20 +53,22 @@ def anti_missing(spark, sf_dir):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 
 
+#: The old snapshot holds the orders placed before 2000, the fresh one those that are still open.
 MERGE_SQL = """
-WITH e AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 4 <> 0),
+WITH e AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
 f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE 'N' END AS o_orderstatus,
-  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 0.0 END AS o_totalprice, 'NEW' AS o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)"""
+  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 0.0 END AS o_totalprice, 'NEW' AS o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'P'))"""
 
 
 def merge_sides(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    fresh = o.where(key % 2 == 0).select(
+    fresh = o.where("o_orderstatus IN ('O', 'P')").select(
         "o_orderkey", F.when(key % 6 == 0, " ").otherwise("N").alias("o_orderstatus"),
         F.when(key % 10 != 0, F.lit(0.0)).alias("o_totalprice"), F.lit("NEW").alias("o_orderpriority"),
     )
-    return o.where(key % 4 != 0), fresh
+    existing = o.where("o_orderdate < TIMESTAMP '2000-01-01'")
+    return existing.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), fresh
 
 
 @query(MERGE_SQL + """
@@ -94,11 +96,11 @@ def snapshot_diff(spark, sf_dir):
     return joins.snapshot_diff(before, after, "o_orderkey").withColumn("changed_columns", F.array_join("changed_columns", ","))
 
 
-@query(MERGE_SQL + """, a AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+@query(MERGE_SQL + """, a AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT e.* FROM e WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f) AND o_orderkey NOT IN (SELECT o_orderkey FROM a)""")
 def unapproved_removals(spark, sf_dir):
     before, after = merge_sides(spark, sf_dir)
-    reason = F.when(F.col("o_orderkey") % 3 == 0, "agreed").otherwise(" ")
+    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "agreed").otherwise(" ")
     allowed = before.select("o_orderkey", reason.alias("reason"))
     return joins.unapproved_removals(before, after, allowed, "o_orderkey")
 
@@ -119,13 +121,13 @@ SELECT coalesce(f.o_orderkey, e.o_orderkey) AS o_orderkey,
   CASE WHEN f.o_orderkey IS NULL THEN 'kept' WHEN e.o_orderkey IS NULL THEN 'inserted'
        WHEN e.o_orderstatus IS NOT DISTINCT FROM f.o_orderstatus AND e.o_totalprice IS NOT DISTINCT FROM f.o_totalprice THEN 'skipped' ELSE 'updated' END AS status
 FROM (SELECT o_orderkey, o_orderstatus, o_totalprice FROM e) e
-FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 2 THEN x.o_orderstatus ELSE f.o_orderstatus END AS o_orderstatus,
-  CASE WHEN o_orderkey % 8 = 2 THEN x.o_totalprice ELSE f.o_totalprice END AS o_totalprice FROM f JOIN orders x USING (o_orderkey)) f ON e.o_orderkey = f.o_orderkey""")
+FULL JOIN (SELECT o_orderkey, CASE WHEN x.o_orderpriority = '5-LOW' THEN x.o_orderstatus ELSE f.o_orderstatus END AS o_orderstatus,
+  CASE WHEN x.o_orderpriority = '5-LOW' THEN x.o_totalprice ELSE f.o_totalprice END AS o_totalprice FROM f JOIN orders x USING (o_orderkey)) f ON e.o_orderkey = f.o_orderkey""")
 def upsert_status(spark, sf_dir):
     columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
     existing, fresh = (d.select(*columns) for d in merge_sides(spark, sf_dir))
-    same = table(spark, sf_dir, "orders").where("o_orderkey % 8 = 2").select(*columns)
-    batch = fresh.where("o_orderkey % 8 <> 2").unionByName(same)
+    same = table(spark, sf_dir, "orders").where("o_orderstatus IN ('O', 'P') AND o_orderpriority = '5-LOW'").select(*columns)
+    batch = fresh.join(same, "o_orderkey", "left_anti").unionByName(same)
     return joins.upsert(existing, batch, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 

@@ -29,10 +29,10 @@ def redact_payload(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CAST(event_id % 7 AS VARCHAR) AS k, event_type AS item_2, CAST(3 AS BIGINT) AS leaves FROM events WHERE event_id % 10 = 0""")
+SELECT event_id, CAST(event_id % 7 AS VARCHAR) AS k, event_type AS item_2, CAST(3 AS BIGINT) AS leaves FROM events""")
 def flatten_json(spark, sf_dir):
     raw = F.concat(F.lit('{"a":{"k":'), (F.col("event_id") % 7).cast("string"), F.lit('},"item":["x","'), F.col("event_type"), F.lit('"]}'))
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", records.flattened_json(raw).alias("m"))
+    e = table(spark, sf_dir, "events").select("event_id", records.flattened_json(raw).alias("m"))
     return e.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["item_2"].alias("item_2"), F.size("m").cast("long").alias("leaves"))
 
 
