@@ -79,3 +79,9 @@ def windows(start: Column, end: Column, days: int = 7) -> Column:
     """Array of (begin, end) date windows of at most so many days that cover [start, end]."""
     begins = F.sequence(start, end, F.expr(f"interval {days} days"))
     return F.transform(begins, lambda d: F.struct(d.alias("begin"), F.least(F.date_add(d, days - 1), end).alias("end")))
+
+
+def day_label(due: Column | str, as_of: Column) -> Column:
+    """D-n before the deadline, D-Day on it, D+n after it; null without one."""
+    n = F.datediff(due, as_of)
+    return F.when(n > 0, F.concat(F.lit("D-"), n.cast("string"))).when(n == 0, "D-Day").when(n < 0, F.concat(F.lit("D+"), (-n).cast("string")))

@@ -128,3 +128,8 @@ def similar_titles(a: Column | str, b: Column | str, hits: int = 3, length: int
     count = F.size(F.filter(words, lambda w: F.contains(y, w)))
     enough = (F.size(words) > 0) & (count >= F.least(F.lit(hits), F.size(words)))
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | enough)
+
+
+def mentions(columns: Sequence[Column | str], names: Sequence[str]) -> Column:
+    """Whether a name stands in the space-joined columns; null counts as empty, blank names are skipped."""
+    return any_term(F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in columns]), [n for n in names if n.strip()])

@@ -35,3 +35,8 @@ def by_status(items: DataFrame, status: str, due: str, posted: str, id: str) ->
         rank, F.when(rank == 0, F.col(due)).asc_nulls_last(), F.when(rank == 2, F.col(due)).desc_nulls_last(),
         F.when(rank == 1, F.col(posted)).desc_nulls_last(), F.asc(id),
     )
+
+
+def oldest_checked(items: DataFrame, checked: str, id: str, n: int) -> DataFrame:
+    """The next n items to check: never checked ones first, then the longest ago, newest ids first among equals."""
+    return items.orderBy(F.col(checked).asc_nulls_first(), F.col(id).desc()).limit(n)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import aggregates, joins, windows
+from ..functions import dates, text
+from ..operators import aggregates, joins, topk, windows
 from ..plans import dashboard
 from .registry import query, table
 
@@ -128,3 +128,25 @@ def latest_over_two_fields(spark, sf_dir):
         F.count("l_shipdate").alias("shipped"), F.to_date(F.max(F.greatest("l_shipdate", "o_orderdate"))).alias("latest"),
         F.count_distinct("o_custkey").alias("customers"),
     )
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN n > 0 THEN 'D-' || n WHEN n = 0 THEN 'D-Day' ELSE 'D+' || -n END AS label
+FROM (SELECT o_orderkey, date_diff('day', DATE '1998-06-01', CAST(o_orderdate AS DATE)) AS n FROM orders)""")
+def deadline_label(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", dates.day_label(F.to_date("o_orderdate"), F.lit("1998-06-01").cast("date")).alias("label"))
+
+
+@query("""
+SELECT doc_id, contains(lower(coalesce(lang, '') || ' ' || coalesce(text, '')), 'de ') OR contains(lower(coalesce(lang, '') || ' ' || coalesce(text, '')), 'apache') AS mentioned FROM documents""")
+def competitor_mentions(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.mentions(["lang", "text"], ["DE ", "Apache", " "]).alias("mentioned"))
+
+
+@query("""
+SELECT user_id, checked FROM (SELECT user_id, max(CASE WHEN event_type = 'view' THEN ts END) AS checked FROM events GROUP BY user_id)
+ORDER BY checked ASC NULLS FIRST, user_id DESC LIMIT 50""")
+def link_check_queue(spark, sf_dir):
+    seen = F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("checked")
+    return topk.oldest_checked(table(spark, sf_dir, "events").groupBy("user_id").agg(seen), "checked", "user_id", 50)

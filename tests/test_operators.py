@@ -140,3 +140,15 @@ def test_priority_and_orders(spark):
     out = topk.priority(df, [(F.col("due"), 20), (F.col("score") >= 8, 10)], F.col("score"), "day", "id").collect()
     assert [(r.id, r.priority) for r in out] == [(1, 21.0), (4, 21.0), (2, 19.0)]
     assert [r.id for r in topk.ordered(df, "posted", "id", posted="day", score="score").collect()] == [1, 3, 2, 4]
+
+
+def test_representatives_and_missing_rows_take_nulls_and_repeats(spark):
+    from noticeflow.operators import joins, topk, windows
+
+    rows = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (3, "a", 1), (4, None, 5)], "id int, g string, r int")
+    out = windows.representatives(rows, "g", "id", [F.col("r")]).collect()
+    assert {(r.g, r.representative, r.members) for r in out} == {("a", 2, 3), (None, 4, 1)}
+    more = spark.createDataFrame([(1,), (9,), (9,)], "id int")
+    assert [r.id for r in joins.add_missing(rows.select("id"), more, "id").collect()] == [9]
+    assert [r.id for r in topk.oldest_checked(rows, "g", "id", 2).collect()] == [4, 3]
+    assert windows.representatives(rows.limit(0), "g", "id", [F.col("r")]).count() == 0
