@@ -6,6 +6,10 @@ identifiers found, in their order, are then matched against ordered licence rule
 its identifiers one after the other, other known sentences aside, the first rules are the most
 specific, and what a rule has matched is taken out before the next is tried.
 
+Some notices have an end of sentence inside: "SPDX-License-Identifier: MIT", "License, v. 2.0", "Foundation;
+either version 2".  They are known by the parts that the cutter leaves, each with its identifier,
+and their rules ask for the parts in order.
+
 Licence files break lines inside sentences, notices put one sentence on a line.  So a text is read
 twice, with line breaks as ends of sentences and as spaces, and the licences of both are reported.
 """
@@ -90,19 +94,28 @@ SENTENCES = {
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
         "spdx license identifier gpl 2 0 or later",
     ],
+    "gpl-published": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl-later-3": ["either version 3 of the license or at your option any later version"],
+    "gpl-later-2": ["either version 2 of the license or at your option any later version"],
     "gpl-hope": [
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
         "this program is distributed in the hope that it will be useful but without any warranty",
     ],
     "mpl2-form": [
         "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "this source code form is subject to the terms of the mozilla public license v",
         "spdx license identifier mpl 2 0",
     ],
-    "unlicense": ["this is free and unencumbered software released into the public domain without copyright"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
     "cc0-name": ["licensed under cc0 1 0", "spdx license identifier cc0 1 0"],
     "cc-by-4": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-sa-4": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc-by-nc-4": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "spdx": ["spdx license identifier"],
+    "spdx-apache2": ["apache 2 0"], "spdx-mit": ["mit"], "spdx-isc": ["isc"],
+    "spdx-bsd2": ["bsd 2 clause"], "spdx-bsd3": ["bsd 3 clause"],
+    "spdx-gpl3": ["gpl 3 0 only"], "spdx-gpl2": ["gpl 2 0 only"], "spdx-gpl3-later": ["gpl 3 0 or later"], "spdx-gpl2-later": ["gpl 2 0 or later"],
+    "spdx-mpl2": ["mpl 2 0"], "spdx-cc0": ["cc0 1 0"],
 }
 
 # Fixed values: (licence, identifiers in order), the most specific rules first.
@@ -113,9 +126,24 @@ RULES = [
     ("MIT", ["mit-title", "mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("GPL-3.0-or-later", ["gpl-published", "gpl-later-3", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl-published", "gpl-later-2", "gpl-hope"]),
     ("GPL-3.0-or-later", ["gpl-or-later-3", "gpl-hope"]),
     ("GPL-2.0-or-later", ["gpl-or-later-2", "gpl-hope"]),
+    ("GPL-3.0-or-later", ["gpl-published", "gpl-later-3"]),
+    ("GPL-2.0-or-later", ["gpl-published", "gpl-later-2"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("Apache-2.0", ["spdx", "spdx-apache2"]),
+    ("MIT", ["spdx", "spdx-mit"]),
+    ("ISC", ["spdx", "spdx-isc"]),
+    ("BSD-2-Clause", ["spdx", "spdx-bsd2"]),
+    ("BSD-3-Clause", ["spdx", "spdx-bsd3"]),
+    ("GPL-3.0-only", ["spdx", "spdx-gpl3"]),
+    ("GPL-2.0-only", ["spdx", "spdx-gpl2"]),
+    ("GPL-3.0-or-later", ["spdx", "spdx-gpl3-later"]),
+    ("GPL-2.0-or-later", ["spdx", "spdx-gpl2-later"]),
+    ("MPL-2.0", ["spdx", "spdx-mpl2"]),
+    ("CC0-1.0", ["spdx", "spdx-cc0"]),
     ("BSD-2-Clause", ["bsd2-name"]),
     ("BSD-3-Clause", ["bsd3-name"]),
     ("Apache-2.0", ["apache2-name"]),
@@ -135,7 +163,7 @@ RULES = [
 ]
 
 #: Every known sentence has one of these; texts without any are not cut into sentences.
-HINT = r"(?i)licen|copyright|permission|redistribut|warrant"
+HINT = r"(?i)licen|copyright|permission|redistribut|warrant|unencumbered|^(apache|mit|isc|bsd|gpl|mpl|cc0)\b"
 #: Ends of sentences, with line breaks as ends and as spaces (a blank line always ends one).
 #: Signs between a full stop and the white space after it belong to the end.
 END = r"[.!?;:][^A-Za-z0-9\x20\x09-\x0D]*[\x20\x09-\x0D]+"
