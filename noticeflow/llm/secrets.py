@@ -1,7 +1,7 @@
 """Secret scan with a randomness test battery (DataFrame functions only).
 
-Base spans come from three patterns.  The battery looks at every other long run of token
-characters.  The run's encoding is inferred as the smallest alphabet that holds it, and three
+Base spans come from three patterns.  The battery looks at what they leave of every run of token
+characters, each piece that is long enough.  The run's encoding is inferred as the smallest alphabet that holds it, and three
 statistics of its characters are compared with what text would give:
 
 * chi-squared of the character counts against equal use of the alphabet: text repeats its common
@@ -32,7 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 #: A run of token characters for the battery, and its share of false finds.
-CANDIDATE, FALSE_SHARE = r"[A-Za-z0-9+/_-]{20,}", 0.01
+CANDIDATE_LEAST, FALSE_SHARE = 20, 0.01
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{CANDIDATE_LEAST},}}"
 #: Text as the null hypothesis: chance that two characters agree, that the class changes between
 #: neighbours, and the spread of the first relative to a random string's.
 TEXT_COINCIDENCE, TEXT_CHANGE, TEXT_SPREAD = 0.065, 0.12, 2.0
@@ -61,6 +62,29 @@ def _cover(text: Column, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
 
 
+def _left(run: Column, base: Column) -> Column:
+    """Array of (start, end, match) of the pieces of a run between the base spans, if long enough.
+
+    ``base`` is sorted by start; the end of the run closes the last piece.
+    """
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    cuts = F.concat(
+        F.transform(over, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))),
+        F.array(F.struct(run["end"].alias("start"), run["end"].alias("end"))),
+    )
+    zero = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+
+    def step(acc: Column, cut: Column) -> Column:
+        length = cut["start"] - acc["at"]
+        piece = F.struct(
+            acc["at"].alias("start"), cut["start"].alias("end"), F.substring(run["match"], acc["at"] - run["start"] + 1, length).alias("match")
+        )
+        out = F.when(length >= CANDIDATE_LEAST, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], cut["end"]).alias("at"), out.alias("out"))
+
+    return F.when(F.size(over) == 0, F.array(run)).otherwise(F.aggregate(cuts, zero, step)["out"])
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal, by a rational fit of the error function (error under 1e-7)."""
     x = F.abs(z) / 2**0.5
@@ -174,8 +198,8 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", share: float =
     """One row per row of ``docs``: id and ``found``, an array of (start, kind, end, evidence).
 
     Spans count code points, the end exclusive, ordered by start, then kind as in ``KINDS``.  Base
-    spans have no evidence.  Runs that the battery reports are of kind ``random`` and never touch a
-    base span.  Null text counts as empty and has no spans; repeated rows are scanned alike; extra
+    spans have no evidence.  Runs, or the pieces of them beside base spans, that the battery reports
+    are of kind ``random`` and never overlap a base span.  Null text counts as empty and has no spans; repeated rows are scanned alike; extra
     columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
@@ -189,8 +213,9 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", share: float =
     )
     span = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"))
     long = F.filter("assign", lambda x: F.char_length(F.regexp_extract(x["match"], ASSIGN, 1)) >= ASSIGN_LEAST)
-    t = t.withColumn("base", F.concat(F.transform(long, span(0)), F.transform("access", span(1)), F.transform("hex", span(2))))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    base = F.concat(F.transform(long, span(0)), F.transform("access", span(1)), F.transform("hex", span(2)))
+    t = t.withColumn("base", F.array_sort(base))
+    free = F.flatten(F.transform("runs", lambda r: _left(r, F.col("base"))))
     tested = F.transform(
         free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), evidence(r["match"]).alias("evidence"))
     )
