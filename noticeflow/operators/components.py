@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,11 +48,28 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype=float)
 
 
+def close_ratio(least: float) -> Callable[[Column, Column], Column]:
+    """``sequence_ratio`` of pairs that can reach ``least``; null where the shared characters rule it out."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        def one(x: str, y: str) -> float | None:
+            m = SequenceMatcher(None, x, y)
+            return m.ratio() if m.quick_ratio() >= least else None
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+
+    return ratio
+
+
 def close_title_edges(rows: DataFrame, id: str, title: str, domain: str, day: str, days: int = 2, least: float = 0.92) -> DataFrame:
     """Edges between rows of one domain at most so many days apart whose titles are nearly equal.
 
-    Days are dealt to blocks of days + 1, a row also visits the block after its own, and lengths
-    that rule the ratio out are dropped before it is computed, so pairs are few.
+    Days are dealt to blocks of days + 1, a row also visits the block after its own, and lengths or
+    shared characters that rule the ratio out spare its computation.  Candidate pairs still grow with
+    the square of a domain's rows in a block.
     """
     width = days + 1
     at = F.datediff(F.to_date(day), F.lit("1970-01-01").cast("date"))
@@ -70,7 +87,7 @@ def close_title_edges(rows: DataFrame, id: str, title: str, domain: str, day: st
     first = F.col("id") < F.col("id2")
     x, y = F.when(first, F.col("title")).otherwise(F.col("title2")), F.when(first, F.col("title2")).otherwise(F.col("title"))
     scored = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"), x.alias("x"), y.alias("y"))
-    return scored.withColumn("r", sequence_ratio("x", "y")).where(F.col("r") >= least).select("a", "b", F.lit("near_title").alias("reason"))
+    return scored.withColumn("r", close_ratio(least)("x", "y")).where(F.col("r") >= least).select("a", "b", F.lit("near_title").alias("reason"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def near_duplicate_titles(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))
     rows = d.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.concat_ws("-", "lang", "source").alias("domain"), day.alias("day"))
-    return components.close_title_edges(rows.where(F.char_length("title") <= 200), "doc_id", "title", "domain", "day")
+    return components.close_title_edges(rows, "doc_id", "title", "domain", "day")
 
 
 @query("""
