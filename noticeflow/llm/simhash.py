@@ -13,11 +13,17 @@ The top trees are fitted on a bounded sample of fingerprints (``SAMPLE_MAX``).
 where shards are cut, never which pairs are found: every fingerprint is routed by the bounds.
 A shard returns, for each of its fingerprints that has a link, the smallest one it is connected
 to there, so a dense group costs one row per member and not one per pair.
+
+``near_dedup`` links fingerprints of three-word shingles at 3 bits or fewer.  ``near_copies`` looks for
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: two fingerprints
+of distinct word pairs (edits spoil fewer of them than of longer shingles) are searched at 9 bits with
+five trees each, one of whose five bands differs in at most one bit, and what is connected that way is
+confirmed by exact similarities (``confirm``).
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -26,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Scratch, joined_components, keep_decided, small_batches
+from .common import BROADCAST_ROWS, Scratch, joined_components, keep_decided, small_batches
+from .confirm import confirmed, shingle_hashes
 
 WORDS, RADIUS = 3, 3
 #: Distinct fingerprints that a shard is meant to be home to, sampled fingerprints per shard, and
@@ -34,9 +41,39 @@ WORDS, RADIUS = 3, 3
 SHARD_ROWS, SAMPLE_PER_SHARD, SAMPLE_MAX = 8192, 128, 1 << 20
 #: Below this many home fingerprints a leaf compares all; pairs held before they are merged.
 LEAF_ROWS, PAIRS_HELD = 96, 1 << 18
-HIGH, LOW, ALL = np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
-#: For each tree: sets of bits and the distance a sought pair can have on them.
-METRICS = (((HIGH, 1), (LOW, RADIUS), (ALL, RADIUS)), ((LOW, 1), (HIGH, RADIUS), (ALL, RADIUS)))
+#: Terms of ``near_copies``: words in a shingle and similarity; words in a shingle of the fingerprints,
+#: their number, and the bits in which they may differ.
+COPY_WORDS, COPY_SIMILARITY, PRINT_WORDS, PRINTS, PRINT_RADIUS = 5, 0.8, 2, 2, 9
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def tree_metrics(bands: int, radius: int) -> tuple:
+    """For each tree: sets of bits and the distance a sought pair can have on them.
+
+    The bits are cut into bands, one for each tree.  A pair within the radius differs in at most
+    radius // bands bits of one band at least, so each tree looks for that on its own band.
+    """
+    edges = [64 * k // bands for k in range(bands + 1)]
+    masks = [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(edges, edges[1:])]
+    return tuple(((m, radius // bands), (m ^ ALL, radius), (ALL, radius)) for m in reversed(masks))
+
+
+METRICS = tree_metrics(2, RADIUS)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def shingle_cuts(words: list[bytes], length: int):
+    """Slices of the space-joined words, one for each shingle of ``length`` words."""
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return map(slice, starts[: len(words) - length + 1].tolist(), ends[length - 1 :].tolist())
 
 
 def fingerprint(text: str | None) -> int:
@@ -50,15 +87,11 @@ def fingerprint(text: str | None) -> int:
     n = len(words) - WORDS + 1
     if n < 2:
         return xxhash.xxh64_intdigest(joined, 42)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    ones = np.zeros(64, np.int64)
+    cuts, ones = shingle_cuts(words, WORDS), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        to = min(n, at + (1 << 16))
-        cuts = map(slice, starts[at:to].tolist(), ends[at + WORDS - 1 : to + WORDS - 1].tolist())
-        h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), np.uint64, to - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+        part = map(joined.__getitem__, islice(cuts, 1 << 16))
+        ones += bit_counts(np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, min(n - at, 1 << 16)))
+    return majority(ones, n)
 
 
 def fingerprints(text: pa.Array) -> pa.Array:
@@ -67,6 +100,31 @@ def fingerprints(text: pa.Array) -> pa.Array:
     return pa.array(found.view(np.int64), pa.int64())
 
 
+def copy_fingerprints(text: str | None) -> list[int]:
+    """``PRINTS`` independent fingerprints of the distinct shingles of ``PRINT_WORDS`` words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) < PRINT_WORDS:
+        own = [joined]
+    else:
+        own = list(set(map(joined.__getitem__, shingle_cuts(words, PRINT_WORDS))))
+    out = []
+    for seed in range(PRINTS):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(own), 1 << 16):
+            part = own[at : at + (1 << 16)]
+            ones += bit_counts(np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(seed)), np.uint64, len(part)))
+        out.append(majority(ones, len(own)))
+    return out
+
+
+def copy_prints(text: pa.Array) -> pa.Array:
+    found = np.array([copy_fingerprints(t.as_py()) for t in text], np.uint64).reshape(-1, PRINTS).view(np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), PRINTS).cast(pa.list_(pa.int64()))
+
+
 def choose(points: np.ndarray, metrics, rng) -> tuple | None:
     """The vantage point, bits and radius that leave the least work; None if no cut helps."""
     if len(points) > 1024:
@@ -142,13 +200,14 @@ class Links:
 
 
 def search(points: np.ndarray, asked: np.ndarray, home: np.ndarray, metrics, rng, links: Links) -> None:
-    """Links every asked point with the home points within RADIUS of it."""
+    """Links every asked point with the home points within the radius (that of all bits, the last metric)."""
+    radius = metrics[-1][1]
     cut = choose(points[home], metrics, rng) if len(home) > LEAF_ROWS else None
     if cut is None:
         for at in range(0, len(home), 512):
             part = home[at : at + 512]
             for q in range(0, len(asked), 4096):
-                near = np.bitwise_count(points[part][:, None] ^ points[asked[q : q + 4096]][None, :]) <= RADIUS
+                near = np.bitwise_count(points[part][:, None] ^ points[asked[q : q + 4096]][None, :]) <= radius
                 i, j = np.nonzero(near)
                 i, j = part[i], asked[q + j]
                 links.add(i[i != j], j[i != j])
@@ -159,18 +218,18 @@ def search(points: np.ndarray, asked: np.ndarray, home: np.ndarray, metrics, rng
     search(points, asked[e + r > mu], home[d > mu], metrics, rng, links)
 
 
-def shard_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    points = rows["fp"].to_numpy().view(np.uint64)
-    links = Links(len(points))
-    order = np.arange(len(points))
-    search(points, order, order[rows["home"].to_numpy()], METRICS[key[0]], np.random.default_rng(7), links)
-    label = links.merge()
-    linked = label != order
-    return pd.DataFrame({"a": points[linked].view(np.int64), "b": points[label[linked]].view(np.int64)})
+def link_edges(fps: DataFrame, shard_rows: int = SHARD_ROWS, metrics: tuple = METRICS) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column ``fp``) whose components are those of all links."""
 
+    def shard_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        points = rows["fp"].to_numpy().view(np.uint64)
+        links = Links(len(points))
+        order = np.arange(len(points))
+        search(points, order, order[rows["home"].to_numpy()], metrics[key[0]], np.random.default_rng(7), links)
+        label = links.merge()
+        linked = label != order
+        return pd.DataFrame({"a": points[linked].view(np.int64), "b": points[label[linked]].view(np.int64)})
 
-def link_edges(fps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column ``fp``) whose components are those of all links."""
     n = fps.count()
     shards = max(1, -(-n // shard_rows))
     want = min(SAMPLE_MAX, shards * SAMPLE_PER_SHARD)
@@ -178,7 +237,7 @@ def link_edges(fps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(want).toPandas()
     sample = np.sort(drawn["fp"].to_numpy(np.int64)).view(np.uint64)
     leaf = max(SAMPLE_PER_SHARD, len(sample) // shards)
-    trees = [build(sample, m, leaf, np.random.default_rng(k)) if shards > 1 else None for k, m in enumerate(METRICS)]
+    trees = [build(sample, m, leaf, np.random.default_rng(k)) if shards > 1 else None for k, m in enumerate(metrics)]
 
     def routed(batches):
         for pdf in batches:
@@ -222,7 +281,58 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_ro
     )
 
 
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per row of ``docs``: id, ``text_hash``, ``component_id`` and ``kept``, by exact similarity.
+
+    Documents are linked if the Jaccard similarity of their sets of five-word shingles (of a shorter
+    text: its whole word sequence; words as in the fingerprints) is 0.8 or more and one of their
+    fingerprints leads to the other, directly or through documents between them.  Every link is exact;
+    what the fingerprints miss is measured in the tests.  Null and empty texts, and texts of white
+    space, have equal sets and are linked.  ``component_id`` is the smallest id of the component, null
+    only where it has no other; ``kept`` is true on the rows of one id and text of each component.  An
+    empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "near-copies")
+    prints = F.arrow_udf(copy_prints, "array<bigint>")(F.col(text))
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), prints.alias("prints"))
+    rows = rows.groupBy("id", "text_hash").agg(F.first("prints").alias("prints"), F.count(F.lit(1)).cast("int").alias("copies"))
+    rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "prints")
+    edges = []
+    for k in range(PRINTS):
+        own = rows.select("rid", F.col("prints")[k].alias("fp"))
+        nodes = scratch.keep(own.groupBy("fp").agg(F.min("rid").alias("first")), "nodes")
+        found = scratch.keep(link_edges(nodes.select("fp"), shard_rows, tree_metrics(5, PRINT_RADIUS)), "links")
+        near = found.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b").select("x", "y")
+        same = own.join(nodes, "fp").where("rid <> first").select("rid", "first")
+        edges += [near.toDF("a", "b"), same.toDF("a", "b")]
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    roots = joined_components(every, scratch)
+    group = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    group = scratch.keep(group.withColumnRenamed("node", "rid").join(rows.drop("prints", "copies"), "rid"), "candidates")
+    member = group.select("rid", "root", F.col("id").alias("group_id"), F.col("text_hash").alias("group_hash"))
+    member = F.broadcast(member) if group.count() <= BROADCAST_ROWS else member
+    slim = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    sets = slim.join(member, F.col("id").eqNullSafe(F.col("group_id")) & (F.xxhash64("text") == F.col("group_hash")))
+    sets = sets.select("rid", "root", shingle_hashes(F.col("text"), COPY_WORDS).alias("shingles")).dropDuplicates(["rid"])
+    links = confirmed(scratch.keep(sets, "sets"), scratch, COPY_SIMILARITY)
+    found = joined_components(links, scratch)
+    labelled = rows.drop("prints").join(found, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid")).drop("node")
+    labelled = scratch.keep(labelled, "labelled")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best")
+    best = scratch.keep(labelled.groupBy("root").agg(best), "best")
+    out = labelled.join(best, "root").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(F.col("id").alias(id), "text_hash", F.col("best.id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
+
+
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns."""
-    decided = near_dedup(docs, id, text)
-    return keep_decided(docs, decided, id, F.xxhash64(text), "text_hash", text)
+    """``docs`` with one document of each component of ``near_dedup``, the one with the smallest id; all columns."""
+    return keep_decided(docs, near_dedup(docs, id, text), id, F.xxhash64(text), "text_hash", text)
+
+
+def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``near_copies``, the one with the smallest id; all columns."""
+    return keep_decided(docs, near_copies(docs, id, text), id, F.xxhash64(text), "text_hash", text)

@@ -11,7 +11,7 @@ import corpus_pipeline
 from noticeflow.llm import byte_cnn
 
 from .test_mixing import brute_targets
-from .test_simhash import brute_components, brute_fp
+from .test_near_copies import components, shingles
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -50,7 +50,8 @@ def test_pipeline(spark, tmp_path):
     for r in kept:
         groups["".join(re.split(r"[\x20\x09-\x0D]+", r[1] or ""))].append(r)
     kept = [min(g, key=lambda r: (-len(r[1] or ""), r[0])) for g in groups.values()]
-    low = brute_components([(r[0], brute_fp(r[1])) for r in kept])
+    low, links = components({r[0]: shingles(r[1]) for r in kept})
+    assert links
     kept = {r[0]: r for r in kept if low[r[0]] == r[0]}
 
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
