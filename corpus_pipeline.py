@@ -25,8 +25,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of close fingerprints, the document with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of texts at a five-word similarity of 0.8 or more, the document with the smallest id."""
+    return simhash.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
