@@ -1,14 +1,15 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences, each sentence is normalised (lower case, runs of anything but ASCII
-letters and digits become one space) and looked up among the known licence sentences.  The
-identifiers found, in their order, are then matched against ordered licence rules: a rule asks for
-its identifiers one after the other, other known sentences aside, the first rules are the most
-specific, and what a rule has matched is taken out before the next is tried.
+letters and digits become one space, "this project is licensed under the terms of the" and its like
+become "under") and looked up among the known licence sentences.  The identifiers found, in their
+order, are then matched against ordered licence rules: a rule asks for its identifiers one after the
+other, other known sentences between them aside, the first rules are the most specific, and what a
+rule has matched is taken out before the next is tried.
 
-Some notices have an end of sentence inside: "SPDX-License-Identifier: MIT", "License, v. 2.0", "Foundation;
-either version 2".  They are known by the parts that the cutter leaves, each with its identifier,
-and their rules ask for the parts in order.
+Before the cutting, the colon of an SPDX tag and the full stop of "v. 2.0" go, since they end no
+sentence, and each operand of an SPDX expression gets a tag of its own.  Some notices are published
+with a semicolon or a comma at one place; they are known both whole and by their parts.
 
 Licence files break lines inside sentences, notices put one sentence on a line.  So a text is read
 twice, with line breaks as ends of sentences and as spaces, and the licences of both are reported.
@@ -16,166 +17,276 @@ twice, with line breaks as ends of sentences and as spaces, and the licences of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Normalised sentences of public licence texts and notices, by identifier.
-SENTENCES = {
-    "apache2-name": [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license",
-        "released under the apache license version 2 0",
-        "this project is licensed under the apache license 2 0",
-        "spdx license identifier apache 2 0",
-    ],
-    "apache2-title": ["apache license version 2 0 january 2004", "apache license"],
-    "apache2-comply": ["you may not use this file except in compliance with the license"],
-    "apache2-copy": [
-        "you may obtain a copy of the license at",
-        "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    ],
-    "apache2-law": [
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    ],
-    "apache2-see": [
-        "see the license for the specific language governing permissions and limitations under the license",
-    ],
-    "mit-name": [
-        "released under the mit license",
-        "licensed under the mit license",
-        "this project is licensed under the mit license",
-        "distributed under the mit license",
-        "spdx license identifier mit",
-    ],
-    "mit-title": ["mit license", "the mit license mit"],
-    "mit-grant": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    ],
-    "mit-notice": [
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    ],
-    "mit-warranty": [
-        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    ],
-    "isc-grant": [
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    ],
-    "isc-name": ["licensed under the isc license", "spdx license identifier isc"],
-    "bsd-grant": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    ],
-    "bsd-source": [
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    ],
-    "bsd-binary": [
-        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    ],
-    "bsd-endorse": [
-        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    ],
-    "bsd2-name": ["licensed under the bsd 2 clause license", "spdx license identifier bsd 2 clause"],
-    "bsd3-name": ["licensed under the bsd 3 clause license", "spdx license identifier bsd 3 clause"],
-    "gpl3-name": [
-        "this work is licensed under the gnu general public license version 3",
-        "licensed under the gnu general public license version 3",
-        "licensed under the gnu gpl v3",
-        "spdx license identifier gpl 3 0 only",
-    ],
-    "gpl2-name": [
-        "this work is licensed under the gnu general public license version 2",
-        "licensed under the gnu general public license version 2",
-        "spdx license identifier gpl 2 0 only",
-    ],
-    "gpl-or-later-3": [
-        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-        "spdx license identifier gpl 3 0 or later",
-    ],
-    "gpl-or-later-2": [
-        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-        "spdx license identifier gpl 2 0 or later",
-    ],
-    "gpl-published": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
-    "gpl-later-3": ["either version 3 of the license or at your option any later version"],
-    "gpl-later-2": ["either version 2 of the license or at your option any later version"],
-    "gpl-hope": [
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-        "this program is distributed in the hope that it will be useful but without any warranty",
-    ],
-    "mpl2-form": [
-        "this source code form is subject to the terms of the mozilla public license v 2 0",
-        "this source code form is subject to the terms of the mozilla public license v",
-        "spdx license identifier mpl 2 0",
-    ],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "cc0-name": ["licensed under cc0 1 0", "spdx license identifier cc0 1 0"],
-    "cc-by-4": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-sa-4": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "cc-by-nc-4": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "spdx": ["spdx license identifier"],
-    "spdx-apache2": ["apache 2 0"], "spdx-mit": ["mit"], "spdx-isc": ["isc"],
-    "spdx-bsd2": ["bsd 2 clause"], "spdx-bsd3": ["bsd 3 clause"],
-    "spdx-gpl3": ["gpl 3 0 only"], "spdx-gpl2": ["gpl 2 0 only"], "spdx-gpl3-later": ["gpl 3 0 or later"], "spdx-gpl2-later": ["gpl 2 0 or later"],
-    "spdx-mpl2": ["mpl 2 0"], "spdx-cc0": ["cc0 1 0"],
+# SPDX identifiers and the names by which notices call the licences, normalised.
+NAMES = {
+    "0BSD": ["bsd zero clause license", "zero clause bsd license"],
+    "AFL-3.0": ["academic free license version 3 0", "academic free license v3 0"],
+    "AGPL-3.0-only": ["gnu affero general public license version 3", "gnu affero general public license v3 0", "gnu agplv3", "agplv3 license"],
+    "AGPL-3.0-or-later": ["gnu affero general public license version 3 or later", "gnu affero general public license v3 0 or later"],
+    "Apache-1.1": ["apache software license version 1 1"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache software license 2 0", "apache license version 2 0 the license"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic license version 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license", "2 clause bsd license", "bsd 2 clause simplified license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause new or revised license"],
+    "BSD-4-Clause": ["bsd 4 clause license", "original bsd license", "bsd 4 clause original or old license"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0"],
+    "BlueOak-1.0.0": ["blue oak model license 1 0 0"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"],
+    "CC-BY-3.0": ["cc by 3 0", "creative commons attribution 3 0 unported license"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license", "creative commons attribution share alike 4 0 international license"],
+    "CC-BY-SA-3.0": ["cc by sa 3 0", "creative commons attribution sharealike 3 0 unported license", "creative commons attribution share alike 3 0 unported license"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution non commercial 4 0 international license"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0 international license"],
+    "CC0-1.0": ["cc0 1 0", "cc0 1 0 universal", "creative commons zero v1 0 universal", "creative commons cc0 1 0 universal public domain dedication"],
+    "CDDL-1.0": ["common development and distribution license version 1 0", "common development and distribution license 1 0"],
+    "ECL-2.0": ["educational community license version 2 0"],
+    "EPL-1.0": ["eclipse public license v1 0", "eclipse public license version 1 0", "eclipse public license 1 0"],
+    "EPL-2.0": ["eclipse public license v2 0", "eclipse public license version 2 0", "eclipse public license 2 0"],
+    "EUPL-1.2": ["european union public licence v 1 2", "european union public licence version 1 2", "eupl version 1 2"],
+    "GPL-2.0-only": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl v2", "gpl version 2", "gplv2 license"],
+    "GPL-2.0-or-later": ["gnu general public license version 2 or later", "gnu general public license v2 0 or later", "gnu general public license version 2 or any later version"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gnu general public license v3", "gnu general public license v3 0", "gnu gpl v3", "gpl version 3", "gplv3 license"],
+    "GPL-3.0-or-later": ["gnu general public license version 3 or later", "gnu general public license v3 0 or later", "gnu general public license version 3 or any later version"],
+    "ISC": ["isc license", "isc license isc"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl v2 1", "lgpl version 2 1"],
+    "LGPL-2.1-or-later": ["gnu lesser general public license version 2 1 or later", "gnu lesser general public license v2 1 or later"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3", "gnu lesser general public license v3 0", "gnu lgpl v3", "lgpl version 3"],
+    "LGPL-3.0-or-later": ["gnu lesser general public license version 3 or later", "gnu lesser general public license v3 0 or later"],
+    "MIT": ["mit license", "mit license mit", "expat license", "mit expat license"],
+    "MIT-0": ["mit no attribution license", "mit no attribution", "mit 0 license"],
+    "MPL-1.1": ["mozilla public license version 1 1", "mozilla public license 1 1"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mozilla public license v 2 0"],
+    "MS-PL": ["microsoft public license ms pl", "microsoft public license"],
+    "NCSA": ["university of illinois ncsa open source license"],
+    "ODbL-1.0": ["open database license odbl v1 0", "open data commons open database license odbl v1 0"],
+    "OFL-1.1": ["sil open font license version 1 1", "sil open font license 1 1"],
+    "OSL-3.0": ["open software license version 3 0", "open software license v 3 0"],
+    "PostgreSQL": ["postgresql license"],
+    "PSF-2.0": ["python software foundation license version 2", "python software foundation license"],
+    "Unlicense": ["unlicense"],
+    "UPL-1.0": ["universal permissive license v 1 0", "universal permissive license version 1 0"],
+    "WTFPL": ["do what the fuck you want to public license"],
+    "Zlib": ["zlib license", "zlib libpng license"],
+    "ZPL-2.1": ["zope public license zpl version 2 1"],
+}
+# Older SPDX identifiers and what they are called now.
+OLDER = {
+    "GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only",
+}
+# Sentences of published licence texts and notices, by identifier.
+TEXTS = {
+    "apache2-title": ["Apache License Version 2.0, January 2004"],
+    "apache2-title-name": ["Apache License"],
+    "apache2-title-date": ["Version 2.0, January 2004"],
+    "apache2-comply": ["you may not use this file except in compliance with the License"],
+    "apache2-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache2-law": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
+    "apache2-see": ["See the License for the specific language governing permissions and limitations under the License"],
+    "mit-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'],
+    "mit-grant-0": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'],
+    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "mit-warranty": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "postgresql-grant": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
+    "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-advertise": ["All advertising materials mentioning features or use of this software must display the following acknowledgement", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "gpl-published": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "lgpl-published": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "agpl-published": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "gpl-3-or-later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl-2-or-later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
+    "gpl-2-alone": ["you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "lgpl-3-or-later": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-3-or-later": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "later-2": ["either version 2 of the License, or (at your option) any later version"],
+    "later-2.1": ["either version 2.1 of the License, or (at your option) any later version"],
+    "later-3": ["either version 3 of the License, or (at your option) any later version"],
+    "gpl-title": ["GNU General Public License"],
+    "lgpl-title": ["GNU Lesser General Public License"],
+    "agpl-title": ["GNU Affero General Public License"],
+    "date-gpl2": ["Version 2, June 1991"],
+    "date-lgpl2.1": ["Version 2.1, February 1999"],
+    "date-gpl3": ["Version 3, 29 June 2007"],
+    "date-agpl3": ["Version 3, 19 November 2007"],
+    "gpl2-title": ["GNU General Public License Version 2, June 1991"],
+    "gpl3-title": ["GNU General Public License Version 3, 29 June 2007"],
+    "lgpl2.1-title": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "lgpl3-title": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "agpl3-title": ["GNU Affero General Public License Version 3, 19 November 2007"],
+    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY, without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "mpl2-form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v 2.0"],
+    "epl1-form": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "epl2-form": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "bsl-form": ["Distributed under the Boost Software License, Version 1.0"],
+    "bsl-grant": ['Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following'],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib-origin": ["The origin of this software must not be misrepresented", "1. The origin of this software must not be misrepresented"],
+    "ncsa-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'],
+    "ofl-form": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
+    "wtfpl-do": ["You just DO WHAT THE FUCK YOU WANT TO", "0. You just DO WHAT THE FUCK YOU WANT TO"],
+    "cc0-waive": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
 }
-
 # Fixed values: (licence, identifiers in order), the most specific rules first.
-RULES = [
-    ("Apache-2.0", ["apache2-name", "apache2-comply", "apache2-copy", "apache2-law", "apache2-see"]),
-    ("Apache-2.0", ["apache2-name", "apache2-comply", "apache2-copy"]),
+TEXT_RULES = [
+    ("Apache-2.0", ["under:Apache-2.0", "apache2-comply", "apache2-copy", "apache2-law", "apache2-see"]),
+    ("Apache-2.0", ["under:Apache-2.0", "apache2-comply", "apache2-copy"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("MIT", ["mit-title", "mit-grant", "mit-notice", "mit-warranty"]),
+    ("MIT", ["name:MIT", "mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("GPL-3.0-or-later", ["gpl-published", "gpl-later-3", "gpl-hope"]),
-    ("GPL-2.0-or-later", ["gpl-published", "gpl-later-2", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-or-later-3", "gpl-hope"]),
-    ("GPL-2.0-or-later", ["gpl-or-later-2", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-published", "gpl-later-3"]),
-    ("GPL-2.0-or-later", ["gpl-published", "gpl-later-2"]),
+    ("MIT-0", ["mit-grant-0", "mit-warranty"]),
+    ("GPL-3.0-or-later", ["gpl-published", "later-3", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl-published", "later-2", "gpl-hope"]),
+    ("GPL-3.0-or-later", ["gpl-3-or-later", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl-2-or-later", "gpl-hope"]),
+    ("GPL-2.0-only", ["gpl-2-alone", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl-published", "later-2.1"]),
+    ("LGPL-3.0-or-later", ["lgpl-published", "later-3"]),
+    ("AGPL-3.0-or-later", ["agpl-published", "later-3"]),
+    ("GPL-3.0-or-later", ["gpl-published", "later-3"]),
+    ("GPL-2.0-or-later", ["gpl-published", "later-2"]),
     ("MIT", ["mit-grant", "mit-notice"]),
-    ("Apache-2.0", ["spdx", "spdx-apache2"]),
-    ("MIT", ["spdx", "spdx-mit"]),
-    ("ISC", ["spdx", "spdx-isc"]),
-    ("BSD-2-Clause", ["spdx", "spdx-bsd2"]),
-    ("BSD-3-Clause", ["spdx", "spdx-bsd3"]),
-    ("GPL-3.0-only", ["spdx", "spdx-gpl3"]),
-    ("GPL-2.0-only", ["spdx", "spdx-gpl2"]),
-    ("GPL-3.0-or-later", ["spdx", "spdx-gpl3-later"]),
-    ("GPL-2.0-or-later", ["spdx", "spdx-gpl2-later"]),
-    ("MPL-2.0", ["spdx", "spdx-mpl2"]),
-    ("CC0-1.0", ["spdx", "spdx-cc0"]),
-    ("BSD-2-Clause", ["bsd2-name"]),
-    ("BSD-3-Clause", ["bsd3-name"]),
-    ("Apache-2.0", ["apache2-name"]),
-    ("MIT", ["mit-name"]),
+    ("NCSA", ["ncsa-grant", "mit-warranty"]),
+    ("Zlib", ["zlib-grant", "zlib-origin"]),
+    ("Apache-2.0", ["apache2-title-name", "apache2-title-date"]),
+    ("GPL-2.0-only", ["gpl-title", "date-gpl2"]),
+    ("GPL-3.0-only", ["gpl-title", "date-gpl3"]),
+    ("LGPL-2.1-only", ["lgpl-title", "date-lgpl2.1"]),
+    ("LGPL-3.0-only", ["lgpl-title", "date-gpl3"]),
+    ("AGPL-3.0-only", ["agpl-title", "date-agpl3"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("GPL-2.0-only", ["gpl2-title"]),
+    ("GPL-3.0-only", ["gpl3-title"]),
+    ("LGPL-2.1-only", ["lgpl2.1-title"]),
+    ("LGPL-3.0-only", ["lgpl3-title"]),
+    ("AGPL-3.0-only", ["agpl3-title"]),
+    ("GPL-3.0-or-later", ["gpl-3-or-later"]),
+    ("GPL-2.0-or-later", ["gpl-2-or-later"]),
+    ("GPL-2.0-only", ["gpl-2-alone"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-or-later"]),
+    ("AGPL-3.0-or-later", ["agpl-3-or-later"]),
     ("ISC", ["isc-grant"]),
-    ("ISC", ["isc-name"]),
-    ("GPL-3.0-only", ["gpl3-name"]),
-    ("GPL-2.0-only", ["gpl2-name"]),
-    ("GPL-3.0-or-later", ["gpl-or-later-3"]),
-    ("GPL-2.0-or-later", ["gpl-or-later-2"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("PostgreSQL", ["postgresql-grant"]),
     ("MPL-2.0", ["mpl2-form"]),
+    ("EPL-1.0", ["epl1-form"]),
+    ("EPL-2.0", ["epl2-form"]),
     ("Unlicense", ["unlicense"]),
-    ("CC0-1.0", ["cc0-name"]),
-    ("CC-BY-4.0", ["cc-by-4"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
+    ("BSL-1.0", ["bsl-form"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("OFL-1.1", ["ofl-form"]),
+    ("WTFPL", ["wtfpl-do"]),
+    ("CC0-1.0", ["cc0-waive"]),
 ]
 
-#: Every known sentence has one of these; texts without any are not cut into sentences.
-HINT = r"(?i)licen|copyright|permission|redistribut|warrant|unencumbered|^(apache|mit|isc|bsd|gpl|mpl|cc0)\b"
-#: Ends of sentences, with line breaks as ends and as spaces (a blank line always ends one).
+#: What notices put before a licence's name becomes "under"; sentences are normalised already.
+FORM = (
+    "^(?:and )?(?:(?:this|the) (?:[a-z]+ ){1,2}(?:is|are) |it is )?(?:(?:dual|also|made) )?(?:licensed|released|distributed|available|published|provided)"
+    " under (?:the )?(?:terms of (?:the )?)?(?:following license )?"
+)
+#: (pattern, replacement) before the cutting: SPDX tags lose their colon, older "+" means or later, each
+#: operand of an expression gets its own tag (two operators a pass), and "v. 2" its full stop.
+TAG = "SPDX-License-Identifier"
+BEFORE = (
+    (f"(?i){TAG}:[\\x20\\t]*", f"{TAG} "),
+    (f"({TAG} [^\\r\\n]*?[0-9])\\+", "$1-or-later"),
+    *[(f"({TAG} [^\\r\\n]*?)[\\x20\\t]+(?:OR|AND|WITH)[\\x20\\t]+([^\\r\\n]*)", f"$1\n{TAG} $2")] * 6,
+    ("(?i)\\bv\\.[\\x20\\x09-\\x0D]+([0-9])", "v $1"),
+)
+#: Ends of sentences, with line breaks as ends and as spaces (a line without letters, blank or with a
+#: comment's signs, always ends one).
 #: Signs between a full stop and the white space after it belong to the end.
 END = r"[.!?;:][^A-Za-z0-9\x20\x09-\x0D]*[\x20\x09-\x0D]+"
-BREAKS = (END + r"|[\x0A-\x0D]+", END + r"|[\x0A\x0D][\x20\x09-\x0D]*[\x0A\x0D]")
+BREAKS = (END + r"|[\x0A-\x0D]+", END + r"|[\x0A\x0D][^A-Za-z0-9]*[\x0A\x0D]")
+
+
+def plain(sentence: str) -> str:
+    """A sentence normalised as the scan does it, before its form is looked at."""
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def default_sentences() -> dict[str, list[str]]:
+    """The known sentences, normalised, by identifier: texts, names alone, names after "under", SPDX tags."""
+    out = {k: [re.sub(FORM, "under ", plain(s)) for s in own] for k, own in TEXTS.items()}
+    for spdx, names in NAMES.items():
+        out[f"name:{spdx}"] = [form + n for n in names for form in ("", "the ")]
+        out[f"under:{spdx}"] = ["under " + n for n in names]
+        out[f"spdx:{spdx}"] = [plain(f"{TAG} {spdx}")]
+    for old, spdx in OLDER.items():
+        out[f"spdx:{spdx}"].append(plain(f"{TAG} {old}"))
+    taken = {s for k, own in out.items() if k in TEXTS for s in own}
+    return {k: own if k in TEXTS else [s for s in own if s not in taken] for k, own in out.items()}
+
+
+SENTENCES = default_sentences()
+RULES = TEXT_RULES + [(spdx, [f"{kind}:{spdx}"]) for kind in ("spdx", "under", "name") for spdx in NAMES]
 
 
 def by_sentence(sentences: dict[str, list[str]]) -> dict[str, str]:
     return {s: name for name, known in sentences.items() for s in known}
 
 
+def hints(sentences: dict[str, list[str]]) -> list[str]:
+    """Patterns of which every text with a known sentence matches one: some word, or the first two, of each sentence.
+
+    Words are taken one by one, the one that the most remaining sentences have first.  Long words are
+    preferred, and "under" is none, since a form stands for it.
+    """
+    left = {}
+    for s in by_sentence(sentences):
+        words = [w for w in s.split() if w != "under"]
+        most = max(map(len, words))
+        left[s] = {w for w in words if len(w) >= min(6, most)} if most > 3 else {"[^A-Za-z0-9]+".join(words[:2])}
+    chosen = []
+    while left:
+        count: dict[str, int] = {}
+        for words in left.values():
+            for w in words:
+                count[w] = count.get(w, 0) + 1
+        best = max(sorted(count), key=count.__getitem__)
+        chosen.append(best)
+        left = {s: words for s, words in left.items() if best not in words and best not in s}
+    return chosen
+
+
+def hint(sentences: dict[str, list[str]]) -> str:
+    return "(?i)" + "|".join(hints(sentences))
+
+
+def hinted(low: Column, sentences: dict[str, list[str]]) -> Column:
+    """Whether a text in lower case matches the hint; words are looked for as they are, which is faster than a pattern."""
+    own = hints(sentences)
+    out = F.lit(False)
+    for w in own:
+        if w.isalnum():
+            out = out | F.contains(low, F.lit(w))
+    pairs = [w for w in own if not w.isalnum()]
+    return out | F.rlike(low, F.lit("(?i)" + "|".join(pairs))) if pairs else out
+
+
+def before(text: Column) -> Column:
+    """The text with what ``BEFORE`` replaces; tags are rare, and other texts are spared their passes."""
+    tagged = text
+    for pattern, new in BEFORE[:-1]:
+        tagged = F.regexp_replace(tagged, pattern, new)
+    return F.regexp_replace(F.when(F.rlike(text, F.lit(f"(?i){TAG}")), tagged).otherwise(text), *BEFORE[-1])
+
+
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), FORM, "under ")
 
 
 def identifiers(text: Column, breaks: str, sentences: dict[str, list[str]]) -> Column:
@@ -184,25 +295,30 @@ def identifiers(text: Column, breaks: str, sentences: dict[str, list[str]]) -> C
     return F.array_compact(F.transform(F.split(text, breaks), lambda s: F.element_at(known, normalised(s))))
 
 
+def rule_pattern(seq: list[str]) -> tuple[str, str]:
+    """Pattern of the identifiers in order with others between them, and what stays of a match."""
+    parts = ["\\|" + re.sub(r"([^A-Za-z0-9:-])", r"\\\1", i) + "\\|" for i in seq]
+    return "(.*?)".join(parts), "".join(f"${k + 1}" for k in range(len(seq) - 1))
+
+
 def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Array of the licences whose rules match, in the order of the rules.
 
-    The sequence is a string of identifiers, each between bars; every place where a rule matches is
-    taken out before the next rule is tried.
+    The sequence is a string of identifiers, each between bars; what a rule has matched is taken out,
+    wherever it matches, before the next rule is tried.
     """
-    state = F.struct(
-        F.concat(F.lit("||"), F.array_join(ids, "||"), F.lit("||")).alias("left"), F.array().cast("array<string>").alias("out")
-    )
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("||" + "||".join(seq) + "||").alias("seq")) for name, seq in rules])
+    text = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|"))
+    state = F.struct(text.alias("left"), F.array().cast("array<string>").alias("out"))
+    table = F.array(*[F.struct(F.lit(n).alias("name"), *map(lambda x, k: F.lit(x).alias(k), rule_pattern(seq), ("seq", "rest"))) for n, seq in rules])
 
     def step(acc: Column, rule: Column) -> Column:
-        hit = F.contains(acc["left"], rule["seq"])
+        hit = F.rlike(acc["left"], rule["seq"])
         return F.struct(
-            F.when(hit, F.replace(acc["left"], rule["seq"], F.lit("||"))).otherwise(acc["left"]).alias("left"),
+            F.when(hit, F.regexp_replace(acc["left"], rule["seq"], rule["rest"])).otherwise(acc["left"]).alias("left"),
             F.when(hit, F.concat(acc["out"], F.array(rule["name"]))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(table, state, step)["out"]
+    return F.when(F.size(ids) > 0, F.aggregate(table, state, step)["out"]).otherwise(F.array().cast("array<string>"))
 
 
 def scan(
@@ -216,9 +332,11 @@ def scan(
     no rows.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
-    hinted = F.when(F.rlike(F.col(text), F.lit(HINT)), F.col(text))
     none = F.array().cast("array<string>")
-    out = docs.select(F.col(id).alias("id"), *[identifiers(hinted, b, sentences).alias(f"ids{k}") for k, b in enumerate(BREAKS)])
+    # one step after the other: what a later step reads more than once is computed once
+    out = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.lower(text).alias("low"))
+    out = out.select("id", F.when(hinted(F.col("low"), sentences), before(F.col("text"))).alias("chosen"))
+    out = out.select("id", *[identifiers(F.col("chosen"), b, sentences).alias(f"ids{k}") for k, b in enumerate(BREAKS)])
     more = F.when(F.size("ids1") > F.size("ids0"), F.col("ids1")).otherwise(F.col("ids0"))
     both = F.array_sort(F.array_union(matched(F.col("ids0"), rules), matched(F.col("ids1"), rules)))
     return out.select(F.col("id").alias(id), F.coalesce(more, none).alias("sentence_ids"), F.coalesce(both, none).alias("licenses"))
@@ -234,20 +352,27 @@ def digest(scanned: DataFrame, id: str = "doc_id") -> DataFrame:
 def oracle_sql(sentences=SENTENCES, rules=RULES) -> str:
     """The same scan of ``documents`` in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    back = lambda s: quote(re.sub(r"\$([0-9])", r"\\\1", s))
     known = "MAP {" + ", ".join(f"{quote(s)}: {quote(n)}" for s, n in by_sentence(sentences).items()) + "}"
-    ids = lambda b: f"list_filter(list_transform(regexp_split_to_array(t, {quote(b)}), lambda s: k[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
-    steps, at = [], "s"
-    for n, (name, seq) in enumerate(rules):
-        q = quote("||" + "||".join(seq) + "||")
-        steps.append(f"r{n} AS (SELECT doc_id, ids0, ids1, CASE WHEN contains(l0, {q}) OR contains(l1, {q}) THEN list_append(out, {quote(name)}) ELSE out END AS out,"
-                     f" replace(l0, {q}, '||') AS l0, replace(l1, {q}, '||') AS l1 FROM {at})")
-        at = f"r{n}"
-    return f"""WITH h AS (
-  SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), {quote(HINT)}) THEN text ELSE '' END AS t, {known} AS k FROM documents
+    text = f"CASE WHEN regexp_matches(coalesce(text, ''), {quote(hint(sentences))}) THEN text ELSE '' END"
+    for pattern, new in BEFORE:
+        text = f"regexp_replace({text}, {quote(pattern)}, {back(new)}, 'g')"
+    norm = f"regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), {quote(FORM)}, 'under ')"
+    ids = lambda b: f"list_filter(list_transform(regexp_split_to_array(t, {quote(b)}), lambda s: k[{norm}]), lambda x: x IS NOT NULL)"
+    steps = []
+    for name, seq in rules:
+        p, rest = rule_pattern(seq)
+        steps.append(f"{{'name': {quote(name)}, 'seq': {quote(p)}, 'rest': {back(rest)}}}")
+    hits = lambda ids: (
+        f"list_reduce(list_transform([{', '.join(steps)}], lambda r: {{'left': '', 'out': [r.name], 'seq': r.seq, 'rest': r.rest}}),"
+        f" lambda a, r: {{'left': CASE WHEN regexp_matches(a.left, r.seq) THEN regexp_replace(a.left, r.seq, r.rest, 'g') ELSE a.left END,"
+        f" 'out': CASE WHEN regexp_matches(a.left, r.seq) THEN list_concat(a.out, r.out) ELSE a.out END, 'seq': '', 'rest': ''}},"
+        f" {{'left': '|' || array_to_string({ids}, '||') || '|', 'out': CAST([] AS VARCHAR[]), 'seq': '', 'rest': ''}}).out"
+    )
+    return f"""WITH h AS (SELECT doc_id, {text} AS t, {known} AS k FROM documents
 ), i AS (SELECT doc_id, {ids(BREAKS[0])} AS ids0, {ids(BREAKS[1])} AS ids1 FROM h
-), s AS (SELECT *, CAST([] AS VARCHAR[]) AS out, '||' || array_to_string(ids0, '||') || '||' AS l0, '||' || array_to_string(ids1, '||') || '||' AS l1 FROM i
-), {", ".join(steps)}
+), m AS (SELECT doc_id, ids0, ids1, CASE WHEN len(ids0) + len(ids1) > 0 THEN list_concat({hits("ids0")}, {hits("ids1")}) ELSE [] END AS out FROM i)
 SELECT doc_id, array_to_string(CASE WHEN len(ids1) > len(ids0) THEN ids1 ELSE ids0 END, ',') AS sentence_ids,
        array_to_string(list_sort(list_distinct(out)), ',') AS licenses,
        CAST(greatest(len(ids0), len(ids1)) AS BIGINT) AS n_sentences
-FROM {at}"""
+FROM m"""

@@ -21,24 +21,40 @@ TEXTS = {
     4: ("no end of line\nLicensed under CC BY-NC 4.0.\nnext", "CC-BY-NC-4.0"), 5: (None, ""), 6: ("", ""), 7: ("the license of poets", ""),
     8: ("Released$$$ under&&& the%%% MIT### License.*** and so on", "MIT"), 9: ("word " * 50000 + ". " + "Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
     10: ("This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License.", "GPL-3.0-only,MIT"),
-    11: (licenses.SENTENCES["mit-notice"][0] + ". " + licenses.SENTENCES["mit-grant"][0] + ".", ""), 12: ("SPDX-License-Identifier: MIT\n", ""),
+    11: (licenses.SENTENCES["mit-notice"][0] + ". " + licenses.SENTENCES["mit-grant"][0] + ".", ""), 12: ("SPDX-License-Identifier: MIT\n", "MIT"),
     13: ("Released under the MIT License.\n" * 3, "MIT"), 14: ("not Released under the MIT License.", ""),
 }
 
 
+def normalised(s):
+    return re.sub(licenses.FORM, "under ", re.sub("[^a-z0-9]+", " ", s.lower()).strip())
+
+
 def brute(text):
     best, found = [], set()
     known = licenses.by_sentence(licenses.SENTENCES)
+    text = text or ""
+    for pattern, new in licenses.BEFORE:
+        text = re.sub(pattern, re.sub(r"\$", r"\\", new), text)
     for b in licenses.BREAKS:
-        ids = [known[n] for s in re.split(b, text or "") if (n := re.sub("[^a-z0-9]+", " ", s.lower()).strip()) in known]
-        best = ids if len(ids) > len(best) else best
+        ids = [known[n] for s in re.split(b, text) if (n := normalised(s)) in known]
+        best = list(ids) if len(ids) > len(best) else best
         for name, seq in licenses.RULES:
             at = 0
-            while at + len(seq) <= len(ids):
-                if ids[at : at + len(seq)] == seq:
-                    found.add(name)
-                    ids = ids[:at] + [None] + ids[at + len(seq) :]
-                at += 1
+            while True:  # each identifier at its first place after the one before
+                places, p = [], at
+                for i in seq:
+                    if i not in ids[p:]:
+                        break
+                    p = ids.index(i, p) + 1
+                    places.append(p - 1)
+                if len(places) < len(seq):
+                    break
+                found.add(name)
+                for q in places:
+                    ids[q] = None
+                at = p
+            ids = [i for i in ids if i]
     return best, sorted(found)
 
 
@@ -47,12 +63,21 @@ def test_against_brute_force(spark):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     for i, (text, want) in TEXTS.items():
         assert (got[i].sentence_ids, got[i].licenses) == brute(text), i
-        if want or i != 12:
-            assert ",".join(got[i].licenses) == want, i
+        assert ",".join(got[i].licenses) == want, i
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_own_tables(spark):
+    """The prefilter follows the table that is given."""
+    docs = spark.createDataFrame([(1, "Gebt es weiter.\nNichts sonst.\nOhne Gewähr"), (2, "Gebt es weiter."), (3, "MIT License")], "doc_id long, text string")
+    sentences, rules = {"pass": ["gebt es weiter"], "none": ["ohne gew hr"]}, [("Own", ["pass", "none"])]
+    got = {r.doc_id: r for r in licenses.scan(docs, sentences=sentences, rules=rules).collect()}
+    assert (got[1].licenses, got[2].licenses, got[2].sentence_ids, got[3].licenses) == (["Own"], [], ["pass"], [])
+
+
 def test_tables():
     known = licenses.by_sentence(licenses.SENTENCES)
-    assert all(re.search(licenses.HINT, s) and s == re.sub("[^a-z0-9]+", " ", s.lower()).strip() for s in known)
+    assert all(re.search(licenses.hint(licenses.SENTENCES), s) and s == normalised(s) for s in known)
     assert {i for _, seq in licenses.RULES for i in seq} <= set(licenses.SENTENCES)
+    assert sum(map(len, licenses.SENTENCES.values())) == len(known)  # no sentence has two identifiers
+    assert len({name for name, _ in licenses.RULES}) >= 50
