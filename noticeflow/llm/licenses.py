@@ -289,9 +289,15 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), FORM, "under ")
 
 
+def _texts(values) -> Column:
+    """A constant array of texts without line breaks, as one literal."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def identifiers(text: Column, breaks: str, sentences: dict[str, list[str]]) -> Column:
     """Array of the identifiers of the known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for pair in by_sentence(sentences).items() for x in pair])
+    table = by_sentence(sentences)
+    known = F.map_from_arrays(_texts(table), _texts(table.values()))
     return F.array_compact(F.transform(F.split(text, breaks), lambda s: F.element_at(known, normalised(s))))
 
 
@@ -309,7 +315,8 @@ def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """
     text = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|"))
     state = F.struct(text.alias("left"), F.array().cast("array<string>").alias("out"))
-    table = F.array(*[F.struct(F.lit(n).alias("name"), *map(lambda x, k: F.lit(x).alias(k), rule_pattern(seq), ("seq", "rest"))) for n, seq in rules])
+    columns = zip(*[(name, *rule_pattern(seq)) for name, seq in rules])
+    table = F.arrays_zip(*[_texts(c).alias(k) for k, c in zip(("name", "seq", "rest"), columns)])
 
     def step(acc: Column, rule: Column) -> Column:
         hit = F.rlike(acc["left"], rule["seq"])
