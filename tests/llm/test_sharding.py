@@ -58,3 +58,62 @@ def test_rows_come_back(spark, docs):
     want = Counter((r.doc_id, r.file, None if r.text is None else hashlib.sha256(r.text.encode()).hexdigest()) for r in docs.collect())
     assert Counter((r.doc_id, r.file, r.text_sha256) for r in got.collect()) == want
     assert sharding.stored(docs.limit(0)).count() == 0
+
+
+def test_vacuum_spares_another_writer(spark, docs, tmp_path):
+    """What a second writer has written and not yet committed stays, and its commit is whole."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    for part in range(5):
+        store.append(docs.where(F.pmod(F.xxhash64("text"), F.lit(5)) == part).coalesce(1))
+    folder = "data/other"
+    with store.registered(folder):
+        docs.limit(7).write.parquet(f"file://{tmp_path}/s/{folder}")
+        store.compact(docs.schema)
+        assert store.vacuum() == 5
+        new = store._written(folder)
+        version, shards = store.manifest()
+        store.commit(version, shards + new)
+    assert store.vacuum() == 0 and store.read(docs.schema).count() == 3007
+    # a folder nobody registered, written after the newest version, stays as well
+    docs.limit(3).write.parquet(f"file://{tmp_path}/s/data/late")
+    assert store.vacuum() == 0
+    late = store._written("data/late")
+    for f in (tmp_path / "s" / "data" / "late").glob("part-*"):
+        f.unlink()
+    with pytest.raises(FileNotFoundError):
+        store.commit(*(lambda v, s: (v, s + late))(*store.manifest()))
+    assert store.read(docs.schema).count() == 3007
+
+
+def test_concurrent_appends_and_compaction(spark, docs, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/s"
+    one = docs.coalesce(1)
+
+    def work(k):
+        store = sharding.ShardStore(spark, root)
+        store.append(one, 1000)
+        if k % 2:
+            store.compact(docs.schema)
+            store.vacuum(keep=50)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    store = sharding.ShardStore(spark, root)
+    assert store.read(docs.schema).count() == 12000 == sum(s.rows for s in store.manifest()[1])
+
+
+def test_large_shards_are_cut(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=20_000)
+    store.append(docs.coalesce(1))
+    assert len(store.manifest()[1]) == 1 and store.manifest()[1][0].bytes > 2 * store.target
+    store.compact(docs.schema)
+    assert max(s.bytes for s in store.manifest()[1]) <= 2 * store.target
+    assert Counter(map(tuple, store.read(docs.schema).collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_places(spark, docs):
+    got = sharding.stored(docs, target_bytes=60_000)
+    own = {(r.shard, r.tier, r.manifest_version, r.runs_left) for r in got.select("shard", "tier", "manifest_version", "runs_left").collect()}
+    assert len(own) > 1 and {x[3] for x in own} == {0} and all(x[2] >= 2 and x[1] >= 1 for x in own)
