@@ -4,21 +4,21 @@ A text is cut by the pre-tokenizer's pattern.  Pieces that are tokens as they st
 The others are bucketed by length into padded matrices of token ids; in each round every row merges
 its leftmost pair of least rank, found by a hash table over pairs, and rows without a pair left are
 done and compacted away.  Each round shortens every remaining row by one column.  Pieces over
-``MATRIX_BYTES`` bytes, such as a book without white space, would need as many rounds as bytes;
-their pairs are kept in a heap instead, with the same result.
+``MATRIX_BYTES`` bytes, such as a book without white space, would need as many rounds as bytes; such
+a piece is a matrix of one row, and a round merges all places of its least pair from the left, up to
+the first merge that makes a pair of lower rank, which is what single merges would do.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
@@ -107,7 +107,6 @@ class Bpe:
                     keys.append((a << 32) | b)
                     values.append(r)
         self.pairs = PairRanks(np.array(keys, np.int64), np.array(values, np.int32))
-        self.pair_dict = dict(zip(keys, values))
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -151,25 +150,29 @@ class Bpe:
                 rank[ok, side[ok]] = self.pairs.find(ids[ok, side[ok]], ids[ok, side[ok] + 1])
 
     def merge_long(self, piece: bytes) -> bytes:
-        """The same merges for one long piece: a heap of (rank, place), neighbours as linked places."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n, find = len(ids), self.pair_dict.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda i: find((ids[i] << 32) | ids[after[i]]) if i >= 0 and after[i] < n else None
-        heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank(i) != r:
-                continue
-            j = after[i]
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if (q := rank(k)) is not None:
-                    heapq.heappush(heap, (q, k))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        """The same merges for one long piece: per round all places of the least pair, as far as order allows."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].astype(np.int64)
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (low := rank.min()) != NONE:
+            at = np.flatnonzero(rank == low)
+            # places that follow each other share an id: from the left every second one is merged
+            first = np.append(True, np.diff(at) > 1)
+            at = at[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0]
+            # what a merge has beside it at its turn: on the left merged places already, on the right none
+            left = np.where(at > 0, ids[at - 1], -1)
+            left[1:][np.diff(at) == 2] = low
+            right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            merged = np.full(len(at), low, np.int64)
+            sooner = np.minimum(self.pairs.find(left, merged), self.pairs.find(merged, right)) < low
+            if sooner.any():
+                at = at[: int(sooner.argmax()) + 1]
+            ids[at] = low
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            here = at - np.arange(len(at))
+            for side in (here - 1, here):
+                side = side[(side >= 0) & (side < len(rank))]
+                rank[side] = self.pairs.find(ids[side], ids[side + 1])
+        return ids.astype("<u4").tobytes()
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         out: list = [b""] * len(pieces)
@@ -225,44 +228,17 @@ def _model(key: tuple[str, str], shared) -> Bpe:
     return _models[key]
 
 
-class Tokenizer:
-    """Spark columns that encode and decode by a rank file.
+#: Largest rank file that the driver reads and broadcasts.
+FILE_MAX = 64 << 20
 
-    The driver reads the file (under ``FILE_MAX`` bytes, checked) and broadcasts it.
-    """
-
-    FILE_MAX = 64 << 20
-
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        with open(path, "rb") as f:
-            data = f.read(self.FILE_MAX + 1)
-        if len(data) > self.FILE_MAX:
-            raise ValueError(f"{path} is larger than {self.FILE_MAX} bytes")
-        shared, key = spark.sparkContext.broadcast(data), (hashlib.sha256(data).hexdigest(), pattern)
-
-        def encode(texts: pa.Array) -> pa.Array:
-            return pa.array(_model(key, shared).encode_batch(texts.to_pylist()), pa.binary())
-
-        def decode(ids: pa.Array) -> pa.Array:
-            model = _model(key, shared)
-            return pa.array([model.decode(x) for x in ids.to_pylist()], pa.binary())
-
-        self._encode, self._decode = F.arrow_udf(encode, BinaryType()), F.arrow_udf(decode, BinaryType())
-        self.key, self.shared = key, shared
 
-    def encode(self, text: Column) -> Column:
-        return self._encode(text)
-
-    def decode(self, ids: Column) -> Column:
-        return self._decode(ids)
-
-
-def round_trip(self, text: Column) -> Column:
-        """Struct of ``ids`` and the bytes ``decoded`` from them.
-
-        One function, because Spark would evaluate encode(text) a second time inside decode(encode(text)).
-        """
-        return self._both(text)
+def shared_ranks(spark: SparkSession, path: str, pattern: str):
+    """Key of a model and the broadcast rank file, whose size is checked."""
+    with open(path, "rb") as f:
+        data = f.read(FILE_MAX + 1)
+    if len(data) > FILE_MAX:
+        raise ValueError(f"{path} is larger than {FILE_MAX} bytes")
+    return (hashlib.sha256(data).hexdigest(), pattern), spark.sparkContext.broadcast(data)
 
 
 def round_trip(
@@ -274,8 +250,7 @@ def round_trip(
     are replaced.  Rows are independent: repeated rows and any order are fine.
     """
     small_batches(docs.sparkSession)
-    t = Tokenizer(docs.sparkSession, path, pattern)
-    key, shared = t.key, t.shared
+    key, shared = shared_ranks(docs.sparkSession, path, pattern)
     kept = [c for c in docs.columns if c.lower() not in (ids.lower(), decoded.lower())]
     schema = StructType([docs.schema[c] for c in kept]).add(ids, BinaryType()).add(decoded, BinaryType())
 

@@ -89,18 +89,39 @@ class Network:
         own = np.ones(len(marks), bool)
         own[np.cumsum(np.array(counts) + 1)[:-1] - 1] = False
         top = self.pooled(data, marks)[own]
-        assert len(top) == len(starts) == len(docs)
+        if not len(top) == len(starts) == len(docs):
+            raise RuntimeError("a portion's chunks do not fit its documents")
         return np.array(docs), top
 
 
 def draw_chunks(text: str | None, seed: int = 5) -> bytes:
-    """At most TRAIN_CHUNKS chunks of a text, spread over it, padded and joined."""
+    """At most TRAIN_CHUNKS chunks of a text, spread over it: each with its number of windows (two bytes), padded.
+
+    The windows are those that scoring sees: the text ends in WIDTH - 1 zeros, and what pads a chunk
+    beyond them is never looked at.
+    """
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, -(-len(data) // CHUNK))
     rng = np.random.default_rng([seed, len(data)])
     chosen = range(n) if n <= TRAIN_CHUNKS else np.sort(rng.choice(n, TRAIN_CHUNKS, replace=False))
     size = CHUNK + WIDTH - 1
-    return b"".join(data[i * CHUNK : i * CHUNK + size].ljust(size, b"\0") for i in chosen)
+    windows = lambda i: int(min(CHUNK, max(1, len(data)) - i * CHUNK))
+    return b"".join(windows(i).to_bytes(2, "little") + data[i * CHUNK : i * CHUNK + size].ljust(size, b"\0") for i in chosen)
+
+
+def drawn_chunks(drawn: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and bytes of the chunks of ``draw_chunks``."""
+    rows = np.frombuffer(drawn, np.uint8).reshape(-1, CHUNK + WIDTH + 1)
+    return np.ascontiguousarray(rows[:, :2]).view("<u2")[:, 0].astype(np.int64), rows[:, 2:]
+
+
+def chunk_responses(tables: np.ndarray, windows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Responses of each filter at each window (chunks, CHUNK, FILTERS), lowest beyond a chunk's own windows."""
+    conv = tables[0][x[:, :CHUNK]]
+    for w in range(1, WIDTH):
+        conv += tables[w][x[:, w : w + CHUNK]]
+    conv[np.arange(CHUNK) >= windows[:, None]] = -np.inf
+    return conv
 
 
 def train(samples: list[tuple[bytes, int]], seed: int = 3) -> Network:
@@ -112,8 +133,8 @@ def train(samples: list[tuple[bytes, int]], seed: int = 3) -> Network:
     if not samples:
         net.weights[:] = 0
         return net
-    size = CHUNK + WIDTH - 1
-    docs = [np.frombuffer(b, np.uint8).reshape(-1, size) for b, _ in samples]
+    drawn = [drawn_chunks(b) for b, _ in samples]
+    docs, all_windows = [x for _, x in drawn], [n for n, _ in drawn]
     labels = np.array([y for _, y in samples], float)
     params = {"tables": net.tables, "bias": net.bias, "weights": net.weights}
     first = {k: np.zeros_like(v, dtype=float) for k, v in params.items()} | {"level": 0.0}
@@ -129,9 +150,7 @@ def train(samples: list[tuple[bytes, int]], seed: int = 3) -> Network:
             counts = np.array([len(docs[i]) for i in batch])
             owner = np.repeat(np.arange(len(batch)), counts)
             bounds = np.concatenate(([0], np.cumsum(counts)[:-1]))
-            conv = net.tables[0][x[:, :CHUNK]]
-            for w in range(1, WIDTH):
-                conv += net.tables[w][x[:, w : w + CHUNK]]
+            conv = chunk_responses(net.tables, np.concatenate([all_windows[i] for i in batch]), x)
             place = conv.argmax(axis=1)  # (chunks, FILTERS)
             top = np.take_along_axis(conv, place[:, None, :], 1)[:, 0]
             h = np.tanh(top + net.bias)

@@ -32,7 +32,7 @@ def op1_secrets(spark, sf_dir):
 
 
 def op2_warc(spark, sf_dir):
-    return warc.digest(warc.round_trip(read(spark, sf_dir, "pages")))
+    return warc.digest(warc.checked_round_trip(read(spark, sf_dir, "pages")))
 
 
 OP2_SQL = r"""
@@ -95,7 +95,7 @@ FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
 
 
 def op8_mixing(spark, sf_dir):
-    return mixing.draws(read(spark, sf_dir, "documents")).drop("shards")
+    return mixing.draws(read(spark, sf_dir, "documents")).withColumn("shards", F.array_join("shards", ","))
 
 
 def op9_byte_cnn(spark, sf_dir):

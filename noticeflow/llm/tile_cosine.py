@@ -14,6 +14,8 @@ a row per member and tile, not one per pair.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from .simhash import Links
 THRESHOLD = 0.95
 #: Vectors in a block, and the rows of a tile that are multiplied at once.
 BLOCK, STRIP = 8192, 512
+#: Vectors that a block has at least on average, however many cores there are.
+LEAST_BLOCK = 512
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -117,7 +121,9 @@ def near_vectors(
         .select(F.monotonically_increasing_id().alias("node"), "low_id", "copies", "v"), "nodes"
     )
     number = nodes.count()
-    blocks = max(1, -(-number // block))
+    # blocks of bounded size, and more of them where they would give fewer tiles than four a core
+    wanted = math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))
+    blocks = max(1, -(-number // block), min(wanted, number // LEAST_BLOCK))
 
     def quantised(batches):
         for pdf in batches:

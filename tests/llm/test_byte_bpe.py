@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import heapq
 import random
 
 import numpy as np
@@ -45,6 +47,58 @@ def test_heap_and_matrix_agree(model):
         assert out[0] == model.merge_long(piece)
 
 
+def heap_merge(model, piece):
+    """Single merges by a heap of (rank, place), neighbours as linked places."""
+    pair = {(a, b): r for t, r in model.ranks.items() for i in range(1, len(t)) if (a := model.ranks.get(t[:i])) is not None and (b := model.ranks.get(t[i:])) is not None}
+    ids = [model.ranks[bytes([c])] for c in piece]
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = lambda i: pair.get((ids[i], ids[after[i]])) if i >= 0 and after[i] < n else None
+    heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if ids[i] < 0 or rank(i) != r:
+            continue
+        j = after[i]
+        ids[i], ids[j], after[i] = r, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if (q := rank(k)) is not None:
+                heapq.heappush(heap, (q, k))
+    return [x for x in ids if x >= 0]
+
+
+class Small:
+    """A model of a small made-up vocabulary in which merges often make pairs of lower rank."""
+
+    def __init__(self, seed):
+        rng = random.Random(seed)
+        tokens = [bytes([i]) for i in range(256)]
+        while len(tokens) < 300:
+            t = rng.choice(tokens[97:100] + tokens[256:]) + rng.choice(tokens[97:100] + tokens[256:])
+            if t not in tokens and len(t) < 9:
+                tokens.append(t)
+        more = tokens[256:]
+        rng.shuffle(more)
+        lines = b"\n".join(base64.b64encode(t) + b" %d" % r for r, t in enumerate(tokens[:256] + more))
+        self.model = byte_bpe.Bpe(lines, P.PATTERN)
+
+
+def test_long_rows_against_single_merges(model):
+    rng = random.Random(8)
+    for alphabet in (b"a", b"ab", b"aeinst", b"abcdefghijklmnopqrstuvwxyz0123456789"):
+        for n in (257, 1000, 5000):
+            piece = bytes(rng.choices(alphabet, k=n))
+            assert np.frombuffer(model.merge_long(piece), "<u4").tolist() == heap_merge(model, piece)
+    for seed in range(30):
+        small = Small(seed).model
+        for n in (2, 3, 7, 40, 400):
+            piece = bytes(rng.choices(b"abc", k=n))
+            assert np.frombuffer(small.merge_long(piece), "<u4").tolist() == heap_merge(small, piece)
+
+
 def test_every_code_point_is_cut_alike(model, reference):
     """A vocabulary that joins 'a', '1' and '!' to any character shows what the pattern takes as a piece."""
     every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]

@@ -99,3 +99,24 @@ def test_read_ranges(spark, tmp_path):
     rows = warc.read_archives(spark, archives, 700)
     assert sorted(r.page_id for r in rows.where("kind = 'record'").collect()) == [i for i in range(50) if i != 20]
     assert [(r.end - r.start, r.reason) for r in rows.where("kind = 'gap'").collect()] == [(40, "member does not unpack")]
+
+
+def test_lost_records_are_not_passed_over(spark, tmp_path):
+    """A damaged archive raises, and its gaps are in the quarantine table."""
+    import re
+
+    from noticeflow.llm.common import Scratch
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    scratch = Scratch(spark, "damaged")
+    archives = scratch.keep(warc.write_archives(pages, f"file://{tmp_path}/a"), "archives")
+    assert warc.checked(spark, archives, scratch).count() == 40
+    path = next((tmp_path / "a").glob("*.warc.gz"))
+    data = bytearray(path.read_bytes())
+    for at in range(len(data) // 2, len(data) // 2 + 30):
+        data[at] ^= 255
+    path.write_bytes(bytes(data))
+    with pytest.raises(warc.Incomplete) as e:
+        warc.checked(spark, archives, scratch)
+    gaps = spark.read.parquet(re.search(r"gaps in (\S+)", str(e.value))[1]).collect()
+    assert len(gaps) == 1 and gaps[0].start <= len(data) // 2 < gaps[0].end and gaps[0].reason
