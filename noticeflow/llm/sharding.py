@@ -171,14 +171,19 @@ class ShardStore:
             except Conflict:
                 pass  # the new files are in no manifest; the next round starts from the new version
 
-    def compact(self, schema) -> int:
+    def compact(self, schema, vacuum: bool = False) -> int:
         """Cuts shards above twice the target and merges until no tier has a run to merge; returns the version then.
 
+        With ``vacuum`` what a round has replaced is removed before the next: for stores that nobody
+        reads yet, so that they never hold more than two copies.
+
         Only the manifest of file sizes is planned on the driver.  Each merge is one task over one
         run of at most 5/4 of the target size; the merges of a round are one job.
         """
         rows_of = lambda own: self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.file}" for s in own])
         while True:
+            if vacuum:
+                self.vacuum()
             version, shards = self.manifest()
             large = [s for s in shards if s.bytes > 2 * self.target and s.rows > 1]
             if large:
@@ -229,8 +234,7 @@ def arrivals_to_store(docs: DataFrame, shard_rows: int | None = None, **options)
     store = ShardStore(spark, f"{Scratch(spark, 'sharding').root}/store", **options)
     rows = shard_rows or max(1, min(ARRIVING_ROWS, -(-docs.count() // ARRIVING_SHARDS)))
     store.append(docs, rows)
-    store.compact(docs.schema)
-    store.vacuum()
+    store.compact(docs.schema, vacuum=True)
     return store
 
 
