@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .shared import Scratch
 
 
 def key_edges(rows: DataFrame, id: str, keys: Mapping[str, Column]) -> DataFrame:
@@ -40,6 +23,10 @@ def key_edges(rows: DataFrame, id: str, keys: Mapping[str, Column]) -> DataFrame
     return each.join(hubs, ["reason", "key"]).where("a <> b").select("a", "b", "reason")
 
 
+#: Parts of a block of titles that are compared in different tasks.
+SALTS = 8
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters in order, of the standard library's sequence matcher; not symmetric."""
@@ -67,35 +54,56 @@ def close_ratio(least: float) -> Callable[[Column, Column], Column]:
 def close_title_edges(rows: DataFrame, id: str, title: str, domain: str, day: str, days: int = 2, least: float = 0.92) -> DataFrame:
     """Edges between rows of one domain at most so many days apart whose titles are nearly equal.
 
-    Days are dealt to blocks of days + 1, a row also visits the block after its own, and lengths or
-    shared characters that rule the ratio out spare its computation.  Candidate pairs still grow with
-    the square of a domain's rows in a block.
+    Rows of one domain, title and day are one node: each points to the smallest id, and only nodes are
+    compared, so copies never multiply.  Equal titles on different days need no ratio.  Days are dealt
+    to blocks of days + 1, and a node also visits the block after its own.  A ratio of r needs titles
+    that share r / 2 of all their characters, so lengths and then counts of characters by class (one
+    array per title, compared in built-in functions) rule out nearly all pairs before the sequence is
+    looked at.
     """
     width = days + 1
     at = F.datediff(F.to_date(day), F.lit("1970-01-01").cast("date"))
     base = rows.where(F.col(title).isNotNull() & F.col(day).isNotNull()).select(
-        F.col(id).alias("id"), F.col(title).alias("title"), F.col(domain).alias("domain"), at.alias("at"), F.floor(at / width).alias("block")
+        F.col(id).alias("id"), F.col(title).alias("title"), F.col(domain).alias("domain"), at.alias("at")
     )
-    ends = base.select(*base.columns, F.explode(F.array("block", F.col("block") + 1)).alias("meet"))
-    right = base.toDF("id2", "title2", "domain2", "at2", "block2")
-    n1, n2 = F.char_length("title"), F.char_length("title2")
-    pairs = ends.join(right, (F.col("domain") == F.col("domain2")) & (F.col("meet") == F.col("block2"))).where(
+    nodes = base.groupBy("domain", "title", "at").agg(F.min("id").alias("id"))
+    n = F.char_length("title")
+    # characters by the last four bits of their code: two titles share at most the lesser count of each class
+    codes = F.transform(F.split("title", ""), lambda c: F.ascii(c).bitwiseAND(15))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(F.col("codes"), lambda c: c == k)))
+    nodes = nodes.withColumn("codes", codes).withColumn("counts", counts).drop("codes").withColumn("n", n).withColumn("block", F.floor(F.col("at") / width))
+    nodes = Scratch(rows.sparkSession, "titles").keep(nodes, "nodes")
+    own = base.join(nodes.select("domain", "title", "at", F.col("id").alias("first")), ["domain", "title", "at"]).where("id <> first")
+    ends = nodes.withColumn("meet", F.explode(F.array("block", F.col("block") + 1)))
+    right = nodes.select(*[F.col(c).alias(f"{c}2") for c in nodes.columns])
+    both = F.aggregate(F.zip_with("counts", "counts2", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    # salted: a node meets the parts of its block one by one, so that no task has all of a busy domain
+    salt = F.pmod(F.xxhash64("id2"), F.lit(SALTS)).cast("int")
+    ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = ends.join(right.withColumn("salt2", salt), (F.col("domain") == F.col("domain2")) & (F.col("meet") == F.col("block2")) & (F.col("salt") == F.col("salt2"))).where(
         ((F.col("block") < F.col("block2")) | (F.col("id") < F.col("id2")))
         & (F.abs(F.col("at") - F.col("at2")) <= days)
-        & (2.0 * F.least(n1, n2) >= least * (n1 + n2))
+        & (2.0 * F.least("n", "n2") >= least * (F.col("n") + F.col("n2")))
+        & (2.0 * both >= least * (F.col("n") + F.col("n2")))
     )
     first = F.col("id") < F.col("id2")
     x, y = F.when(first, F.col("title")).otherwise(F.col("title2")), F.when(first, F.col("title2")).otherwise(F.col("title"))
     scored = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"), x.alias("x"), y.alias("y"))
-    return scored.withColumn("r", close_ratio(least)("x", "y")).where(F.col("r") >= least).select("a", "b", F.lit("near_title").alias("reason"))
+    same = scored.where("x = y").select("a", "b")
+    close = scored.where("x <> y").withColumn("r", close_ratio(least)("x", "y")).where(F.col("r") >= least).select("a", "b")
+    every = own.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(same).unionByName(close)
+    return every.select("a", "b", F.lit("near_title").alias("reason"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes with an edge, root the smallest id of the component.
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root) of all nodes with an edge (a, b) to a smaller one, root the smallest node of the component.
 
-    Large-star and small-star contraction in turn, each round written to the shared folder.
+    Large-star and small-star contraction in turn.  Each round is two grouped minima, which combine
+    before they shuffle, and two joins on the node, which Spark can split when one node has a large
+    share of the edges; it is written to the shared folder, and the round before it is removed.
     """
-    cur = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    cur = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -103,28 +111,41 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        mark = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new = scratch.keep(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        scratch.drop(cur)
+        cur = new
         if mark == seen:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
 
 
-def duplicate_groups(edges: DataFrame, reasons: Sequence[str]) -> DataFrame:
+#: Members of a group whose ids are listed to make its own id.
+LISTED = 10_000
+
+
+def duplicate_groups(edges: DataFrame, reasons: Sequence[str], listed: int = LISTED) -> DataFrame:
     """(group_id, root, members, reason) of the components of two rows or more.
 
-    The group id is a hash of the sorted member ids; the reason is the first in the given order.
+    The group id is a hash of the sorted member ids; of a group with more than ``listed`` members,
+    whose ids do not belong into one row, it is a hash of their number and of the sum of their
+    hashes, which any order of adding gives alike.  The reason is the first in the given order.
     """
-    roots = written(components(edges), "roots")
+    scratch = Scratch(edges.sparkSession, "groups")
+    roots = scratch.keep(components(edges, scratch), "roots")
     members = roots.select("root", F.col("node").alias("id")).unionByName(roots.select("root", F.col("root").alias("id")).distinct())
     rank = F
     for n, r in enumerate(reasons):
         rank = rank.when(F.col("reason") == r, n)
     why = edges.join(roots, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("root"), rank.alias("k"))
     why = why.groupBy("root").agg(F.min("k").alias("k"))
-    ids = members.groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+    sizes = scratch.keep(sizes, "sizes")
+    small = members.join(sizes.where(F.col("members") <= listed).select("root"), "root", "left_semi")
+    ids = small.groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     text = F.array_join(F.transform("ids", lambda i: i.cast("string")), "|")
-    return ids.join(why, "root").select(
-        F.concat(F.lit("dup-"), F.substring(F.sha2(text, 256), 1, 12)).alias("group_id"), "root", F.size("ids").alias("members"),
+    text = F.coalesce(text, F.concat_ws("#", "members", F.col("sum").cast("string")))
+    return sizes.join(ids, "root", "left").join(why, "root").select(
+        F.concat(F.lit("dup-"), F.substring(F.sha2(text, 256), 1, 12)).alias("group_id"), "root", "members",
         F.element_at(F.array(*[F.lit(r) for r in reasons]), F.col("k") + 1).alias("reason"),
-    )
+    )

@@ -9,18 +9,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import Scratch
+
+
+def numbered_in_order(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the running number of each row in order, from 1, without gathering the rows in one task.
+
+    Rows are dealt to partitions by ranges of the order and sorted there; a row's number is its place
+    in its partition plus the rows of the partitions before, of which there is one count each.
+    """
+    mark, start = f"_{name}_mark", f"_{name}_start"
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id())
+    placed = Scratch(rows.sparkSession, "numbered").keep(placed, "placed")
+    counts = placed.groupBy(F.shiftright(mark, 33).alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias(start))
+    out = placed.join(F.broadcast(counts), F.shiftright(mark, 33) == F.col("_part"))
+    return out.withColumn(name, F.col(start) + F.col(mark).bitwiseAND((1 << 33) - 1) + 1).select(*rows.columns, name)
+
 
 def repair_ids(rows: DataFrame, id: str, order: Sequence[str]) -> DataFrame:
     """Text ids for all rows: the first row keeps a given id, missing and repeated ids are numbered on.
 
     New numbers go on from the largest numeric id, in order.  Only the rows in need of a number are
-    ranked in one sequence; the first row of each id is found per id.
+    numbered; the first row of each id is found per id, by a minimum that combines before it shuffles.
     """
     given = F.when(F.trim(F.coalesce(F.col(id).cast("string"), F.lit(""))) != "", F.trim(F.col(id).cast("string")))
-    place = F.row_number().over(Window.partitionBy("_given").orderBy(*order))
-    marked = rows.withColumn("_given", given).withColumn("_good", F.col("_given").isNotNull() & (place == 1))
+    marked = Scratch(rows.sparkSession, "ids").keep(rows.withColumn("_given", given).withColumn("_row", F.monotonically_increasing_id()), "given")
+    firsts = marked.where("_given is not null").groupBy("_given").agg(F.min(F.struct(*order, "_row")).alias("_best"))
+    firsts = firsts.select(F.col("_best._row").alias("_row"), F.lit(True).alias("_good"))
+    marked = marked.join(firsts, "_row", "left")
     top = marked.agg(F.coalesce(F.max(F.col("_given").try_cast("bigint")), F.lit(0)).alias("_top"))
-    bad = marked.where(~F.col("_good")).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    bad = numbered_in_order(marked.where("_good is null").select(*rows.columns), order, "_n")
     bad = bad.join(F.broadcast(top)).withColumn(id, (F.col("_top") + F.col("_n")).cast("string"))  # top is one row
     good = marked.where("_good").withColumn(id, F.col("_given"))
     return good.select(*rows.columns).unionByName(bad.select(*rows.columns))
@@ -68,12 +88,19 @@ def provider_states(
 def sequential_quota(rows: DataFrame, group: str, order: Sequence[str], total: int, per_group: int, exclusive: str) -> DataFrame:
     """Quota sample in which a row is also refused if its ``exclusive`` value was taken before.
 
-    What is refused depends on what was taken, across groups, so this is one ordered pass.  At most
-    ``total * (per_group + 1)`` rows can matter per exclusive value, and candidates are cut to the
-    first row of each exclusive value and group before they meet in one task.
+    What is refused depends on what was taken, across groups, so this is one ordered pass, over a
+    bounded number of rows.  Of a group and exclusive value only the first row counts.  At most
+    ``total`` exclusive values are taken, so the first total + per_group rows of a group decide for it;
+    at most ``total`` groups are full, so the first total + 1 rows of an exclusive value decide for
+    it.  What is taken, refused for its value or refused for its group is then at most
+    total * (2 * total + per_group + 2) rows before the last place is gone.
     """
     first = F.row_number().over(Window.partitionBy(exclusive, group).orderBy(*order))
     candidates = rows.withColumn("_first", first).where("_first = 1").drop("_first")
+    for key, most in ((group, total + per_group), (exclusive, total + 1)):
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        candidates = candidates.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    candidates = candidates.orderBy(*order).limit(total * (2 * total + per_group + 2))
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         taken, groups, seen = 0, {}, set()

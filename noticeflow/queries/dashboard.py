@@ -108,11 +108,11 @@ def ordered_by_score(spark, sf_dir):
 WITH s AS (SELECT o_orderkey, o_orderdate, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'closed' ELSE 'unknown' END AS status FROM orders)
 SELECT * FROM s ORDER BY CASE status WHEN 'active' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END,
   CASE WHEN status = 'active' THEN o_orderdate END ASC NULLS LAST, CASE WHEN status = 'closed' THEN o_orderdate END DESC NULLS LAST,
-  CASE WHEN status = 'unknown' THEN o_orderdate END DESC NULLS LAST, o_orderkey LIMIT 100""")
+  CASE WHEN status = 'unknown' THEN o_orderdate END DESC NULLS LAST, o_orderkey""")
 def ordered_by_status(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "closed").otherwise("unknown")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", status.alias("status"))
-    return topk.by_status(o, "status", "o_orderdate", "o_orderdate", "o_orderkey").limit(100)
+    return topk.by_status(o, "status", "o_orderdate", "o_orderdate", "o_orderkey")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 12")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import components, joins, windows
 from .registry import query, table
 
@@ -178,25 +179,38 @@ def provider_state(spark, sf_dir):
 
 
 def document_edges(spark, sf_dir):
+    """Whole fields as keys: the text, its words, and its first line with language and source."""
     d = table(spark, sf_dir, "documents")
-    keys = {"same_text": F.sha2("text", 256), "same_start": F.sha2(F.when(F.char_length("text") >= 80, F.substring("text", 1, 80)), 256)}
+    words, head = text.unicode_words("text"), text.unicode_words(F.substring_index("text", "\n", 1))
+    keys = {
+        "same_text": F.sha2("text", 256), "same_words": F.when(words != "", F.sha2(words, 256)),
+        "same_title": F.when(head != "", F.sha2(F.concat_ws("|", "lang", "source", head), 256)),
+    }
     return components.key_edges(d, "doc_id", keys)
 
 
-@query("""
-WITH RECURSIVE k AS (
-  SELECT doc_id, sha256(text) AS key FROM documents UNION ALL SELECT doc_id, 's' || sha256(substr(text, 1, 80)) FROM documents WHERE length(text) >= 80
-), e AS (SELECT doc_id AS a, b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS b FROM k) WHERE doc_id <> b
+EDGES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, text, lang, source, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS words,
+  trim(regexp_replace(lower(coalesce(split_part(text, chr(10), 1), '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS head FROM documents
+), k AS (
+  SELECT doc_id, 0 AS reason, sha256(text) AS key FROM w WHERE text IS NOT NULL UNION ALL SELECT doc_id, 1, sha256(words) FROM w WHERE words <> ''
+  UNION ALL SELECT doc_id, 2, sha256(concat_ws('|', lang, source, head)) FROM w WHERE head <> ''
+), e AS (SELECT doc_id AS a, b, reason FROM (SELECT doc_id, reason, min(doc_id) OVER (PARTITION BY reason, key) AS b FROM k) WHERE doc_id <> b
 ), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e
-), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
-SELECT node, min(root) AS root FROM r GROUP BY node HAVING min(root) <> node""")
+), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node
+), c AS (SELECT node, min(root) AS root FROM r GROUP BY node)"""
+
+
+@query(EDGES_SQL + " SELECT node, root FROM c WHERE root <> node")
 def duplicate_components(spark, sf_dir):
     return components.components(document_edges(spark, sf_dir))
 
 
-@query()
+@query(EDGES_SQL + """, y AS (SELECT root, min(reason) AS reason FROM e JOIN c ON node = a GROUP BY root)
+SELECT 'dup-' || substr(sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY node)), 1, 12) AS group_id, c.root, CAST(count(*) AS INTEGER) AS members,
+  ['same_text', 'same_words', 'same_title'][any_value(y.reason) + 1] AS reason FROM c JOIN y ON y.root = c.root GROUP BY c.root""")
 def duplicate_groups(spark, sf_dir):
-    return components.duplicate_groups(document_edges(spark, sf_dir), ["same_text", "same_start"])
+    return components.duplicate_groups(document_edges(spark, sf_dir), ["same_text", "same_words", "same_title"])
 
 
 @query()

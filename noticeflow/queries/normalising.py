@@ -23,6 +23,14 @@ MORE_SQL = "('fbclid', 'gclid', 'dclid', 'msclkid', 'mc_cid', 'mc_eid', 'ref', '
 KEPT_SQL = "list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN {})"
 
 
+def _clean_sql(x: str) -> str:
+    """Tags as spaces, character references as their signs, white space collapsed, in SQL."""
+    out = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, sign in html.REFERENCES:
+        out = f"replace({out}, '{name}', chr({ord(sign)}))"
+    return f"trim(regexp_replace({out}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))"
+
+
 def _pages(spark, sf_dir):
     return table(spark, sf_dir, "pages")
 
@@ -135,11 +143,9 @@ SELECT doc_id, CASE WHEN regexp_matches(t, '[\x{3040}-\x{30FF}]') THEN 'ja' WHEN
   WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language,
   CAST(CASE WHEN regexp_matches(t, '[\x{3040}-\x{30FF}]') THEN 0.75 WHEN regexp_matches(t, '[\x{AC00}-\x{D7A3}]') THEN 0.75 WHEN regexp_matches(t, '[\x{4E00}-\x{9FFF}]') THEN 0.65
   WHEN regexp_matches(t, '[A-Za-z]') THEN 0.55 ELSE 0 END AS DOUBLE) AS confidence
-FROM (SELECT doc_id, coalesce(CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '모듈러 주택' WHEN 2 THEN '建築ニュース' WHEN 3 THEN '新闻' ELSE '12 34' END, '') AS t FROM documents)""")
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def script_language_guess(spark, sf_dir):
-    k = F.col("doc_id") % 5
-    t = F.when(k == 0, F.col("text")).when(k == 1, "모듈러 주택").when(k == 2, "建築ニュース").when(k == 3, "新闻").otherwise("12 34")
-    d = table(spark, sf_dir, "documents").select("doc_id", text.script_language(t).alias("g"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.script_language("text").alias("g"))
     return d.select("doc_id", "g.language", "g.confidence")
 
 
@@ -258,16 +264,20 @@ def json_field_extract(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
-  CAST(len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS INTEGER) AS links,
-  array_to_string(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>.*?</a>', 1), ' ') AS hrefs
-FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>\s*[^\s<&][^<&]*</title>')""")
+WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT *, regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS head FROM t)
+SELECT page_id, """ + _clean_sql("CASE WHEN trim(title) <> '' THEN title ELSE head END") + r""" AS title,
+  CAST(len(regexp_extract_all(h, '(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS INTEGER) AS links,
+  array_to_string(regexp_extract_all(h, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>.*?</a>', 1), ' ') AS hrefs FROM f""")
 def html_title_links(spark, sf_dir):
-    p = _pages(spark, sf_dir).where(F.rlike("html", F.lit(r"(?is)<title[^>]*>\s*[^\s<&][^<&]*</title>")))
     found = html.links("html")
-    return p.select("page_id", html.title("html").alias("title"), F.size(found).alias("links"), F.array_join(F.transform(found, lambda x: x["href"]), " ").alias("hrefs"))
+    return _pages(spark, sf_dir).select("page_id", html.title("html").alias("title"), F.size(found).alias("links"), F.array_join(F.transform(found, lambda x: x["href"]), " ").alias("hrefs"))
 
 
-@query()
+#: Scripts and styles are taken out one after the other, since this SQL's patterns have no back references.
+@query("SELECT page_id, " + _clean_sql(r"regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')") + " AS text, " + r"""
+  CAST(len(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>'),
+    lambda a: """ + _clean_sql("a") + r""" || ' ' || regexp_extract(a, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1)),
+    lambda x: regexp_matches(x, '(?i)\.(pdf|hwp|hwpx|doc|docx|xls|xlsx|zip)($|[?#&\s])'))) AS INTEGER) AS files FROM pages""")
 def html_plain_text(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", html.plain_text("html").alias("text"), F.size(html.attachments("html")).alias("files"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from ..operators.components import shared_folder
+from ..operators.shared import shared_folder
 from ..streaming import streams
 from .registry import query, table
 
@@ -12,9 +12,7 @@ from .registry import query, table
 def _run(spark, sf_dir, build, mode):
     events = table(spark, sf_dir, "events")
     stream = streams.file_stream(spark, f"{sf_dir}/events.parquet*", events.schema, "ts")
-    name = f"stream_{uuid.uuid4().hex}"
-    streams.run_available(build(stream), name, mode, f"{shared_folder(spark)}/{name}")
-    return spark.table(name)
+    return streams.run_to_files(build(stream), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("SELECT DISTINCT event_type, user_id FROM events")

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Items of a JSON document at most, since it is one row.
+DOCUMENT_ITEMS = 20_000
+
+
 def next_snapshot(df: DataFrame, path: str, version: int) -> None:
     """Writes a snapshot version; it fails if that version exists, so a version never changes."""
     df.write.mode("errorifexists").parquet(f"{path}/v={version}")
@@ -17,7 +21,12 @@ def json_rows(df: DataFrame, path: str) -> None:
 
 
 def json_document(df: DataFrame, limit: int) -> DataFrame:
-    """One row with a JSON document {count, items}, of at most ``limit`` items (a report, so bounded)."""
+    """One row with a JSON document {count, items}, of at most ``limit`` items (a report, so bounded).
+
+    ``limit`` is checked: what is larger than ``DOCUMENT_ITEMS`` belongs into ``json_rows``.
+    """
+    if limit > DOCUMENT_ITEMS:
+        raise ValueError(f"a document holds at most {DOCUMENT_ITEMS} items; write JSON Lines")
     items = df.limit(limit).agg(F.collect_list(F.struct(*df.columns)).alias("items"))
     return items.select(F.to_json(F.struct(F.size("items").alias("count"), "items"), {"ignoreNullFields": "false"}).alias("document"))
 

@@ -82,3 +82,24 @@ def run_available(result: DataFrame, name: str, mode: str, checkpoint: str) -> S
     query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_to_files(result: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs what is there, writes the result as Parquet below the folder and reads it.
+
+    Rows are appended by the file sink; of a complete or updated result each batch is a version of its
+    own, which a repeated batch overwrites, and the last one is read (complete) or all (update).
+    """
+    spark = result.sparkSession
+    out = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(result.schema).parquet(f"{folder}/rows")
+    last = [0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/v={number}")
+        last[0] = number
+
+    out.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{folder}/rows/v={last[0] if mode == 'complete' else '*'}")
