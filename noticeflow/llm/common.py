@@ -2,74 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..operators.shared import Scratch, delete, hadoop_path, shared_folder
+
+__all__ = ["Scratch", "components", "delete", "hadoop_path", "shared_folder"]
+
 #: Body of a regular-expression class with the six ASCII white-space characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 #: The same characters as a string, for trim and translate.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables written as Parquet into the shared folder and read again.
-
-    This cuts lineage: a later job rereads files instead of recomputing, and a lost executor costs
-    only its running tasks.  ``drop`` removes a table that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = getattr(t, "_scratch_path", None)
-            if path:
-                delete(self.spark, path)
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    """(file system, Path) of a path, through Hadoop, so that any store Spark knows works."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
 #: Bytes of an Arrow batch for functions over whole texts.
 BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes: ten thousand whole texts at once, the default, can be any size."""
+    """Bounds Arrow batches by bytes: ten thousand whole texts at once, the default, can be any size.
+
+    A setting of the session that stays: results are computed after the operators return.  A smaller
+    bound that is set already is kept.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -102,37 +58,9 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def joined_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, root), root the smallest node of its component.
 
-    Alternates large-star and small-star contraction.  Each round is two grouped minima, which
-    combine before they shuffle, and two joins on the node, which Spark can split when one node
-    has a large share of the edges.  Nodes without an edge to another node are not returned.
+    Nodes without an edge to another node, and roots, are not returned as nodes.
     """
-    spark = scratch.spark
-    cur = scratch.keep(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
-    state = None
-    while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = (
-            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        new = scratch.keep(small, "edges")
-        mark = new.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        scratch.drop(cur)
-        cur = new
-        if state == mark:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = mark
+    return components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")), scratch)
 
 
 #: Decisions on at most so many rows are broadcast; beyond, the join shuffles.
