@@ -128,14 +128,16 @@ def unapproved_removals(before: DataFrame, after: DataFrame, allowed: DataFrame,
     return before.join(after.select(key), key, "left_anti").join(ok, key, "left_anti")
 
 
-def upsert(snapshot: DataFrame, batch: DataFrame, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
+def upsert(snapshot: DataFrame, batch: DataFrame, keys: Sequence[str], compared: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The snapshot after a batch, with ``status`` of each row: inserted, updated, skipped or kept.
 
     A batch row equal to its snapshot row on the compared columns (nulls equal) is skipped.  Several
-    batch rows with a key count as one, the last by all columns; keys match null-safely.
+    batch rows with a key count as one, the last in the batch's arrival ``order`` (columns of the batch;
+    ties, and a batch without an order, go by all columns); keys match null-safely.
     """
     columns = snapshot.columns
-    newest = latest(batch.select(*columns), keys, [c for c in columns if c not in keys])
+    ordered = batch.select(*[F.col(o).alias(f"_o{n}") for n, o in enumerate(order)], *columns)
+    newest = latest(ordered, keys, [*[f"_o{n}" for n in range(len(order))], *[c for c in columns if c not in keys]]).select(*columns)
     s = snapshot.select(*[F.col(c).alias(f"s_{c}") for c in columns], F.lit(True).alias("s_there"))
     b = newest.select(*[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("b_there"))
     on = F.lit(True)
@@ -150,6 +152,34 @@ def upsert(snapshot: DataFrame, batch: DataFrame, keys: Sequence[str], compared:
     return out.select(*[F.when(take, F.col(f"b_{c}")).otherwise(F.col(f"s_{c}")).alias(c) for c in columns], "status")
 
 
+def applied_in_order(snapshot: DataFrame, batch: DataFrame, keys: Sequence[str], compared: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The batch rows with the ``status`` each has when they are applied one by one in arrival order.
+
+    A row meets what the row of its key before it left, the first one the snapshot's row: inserted,
+    updated, or skipped when the compared columns are equal (nulls equal).
+    """
+    s = snapshot.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.struct(*compared).alias("_stored"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"s_{k}"))
+    now = F.struct(*compared)
+    out = batch.join(s, on, "left").withColumn("_now", now)
+    before = F.coalesce(F.lag("_now").over(Window.partitionBy(*keys).orderBy(*order)), F.col("_stored"))
+    out = out.withColumn("_before", before)
+    status = F.when(F.col("_before").isNull(), "inserted").when(F.col("_before").eqNullSafe(F.col("_now")), "skipped").otherwise("updated")
+    return out.withColumn("status", status).select(*batch.columns, "status")
+
+
+def resolved_keys(batch: DataFrame, snapshot: DataFrame, tiers: Sequence[Sequence[str]], key: str, name: str = "stored_key") -> DataFrame:
+    """The batch rows with the key of the stored row they stand for, and the ``tier`` that found it.
+
+    Tiers of columns are tried in turn, such as the hash, the address, then title and day; of several
+    stored rows the largest key counts.  Rows that no tier finds have no stored key.
+    """
+    right = snapshot.select(F.col(key).alias(name), *dict.fromkeys(c for t in tiers for c in t))
+    return cascade_lookup(batch, right, tiers, [name], [name])
+
+
 def add_missing(known: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """Rows of ``more`` whose key is not known yet, each key once."""
     return more.join(known.select(key), key, "left_anti").dropDuplicates([key])

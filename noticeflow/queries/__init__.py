@@ -1,6 +1,6 @@
 """Registered queries of the engine (without the llm subpackage) and their DuckDB statements."""
 
-from . import dashboard, evaluation, merging, normalising, records, reports, rules, streams  # noqa: F401
+from . import dashboard, evaluation, items, merging, normalising, records, reports, rules, streams  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -48,9 +48,9 @@ def semi_favorites(spark, sf_dir):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi")
 
 
-@query("SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def anti_missing(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 450000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 
 
@@ -132,6 +132,49 @@ def upsert_status(spark, sf_dir):
     return joins.upsert(existing, batch, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
+@query("""
+WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events WHERE event_id % 3 = 0 GROUP BY user_id),
+b AS (SELECT event_id, user_id, event_type AS t, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_id % 3 <> 0 AND user_id % 4 <> 1)
+SELECT event_id, b.user_id, b.t AS event_type, CASE WHEN coalesce(before, s.t) IS NULL THEN 'inserted' WHEN coalesce(before, s.t) = b.t THEN 'skipped' ELSE 'updated' END AS status
+FROM b LEFT JOIN s ON b.user_id = s.user_id""")
+def upsert_in_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    stored = joins.latest(e.where("event_id % 3 = 0"), ["user_id"], ["ts", "event_id"])
+    batch = e.where("event_id % 3 <> 0 AND user_id % 4 <> 1")
+    return joins.applied_in_order(stored, batch, ["user_id"], ["event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type, value, event_id FROM events WHERE event_id % 2 = 0), b AS (SELECT * FROM events WHERE event_id % 2 = 1),
+n AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max((ts, event_id)).event_id AS event_id FROM (SELECT user_id, event_type, value, ts, event_id FROM b) GROUP BY 1, 2),
+o AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM s GROUP BY 1, 2)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_type, o.event_type) AS event_type, CASE WHEN n.user_id IS NULL THEN o.value ELSE n.value END AS value,
+  CASE WHEN n.user_id IS NULL THEN 'kept' WHEN o.user_id IS NULL THEN 'inserted' WHEN n.value IS NOT DISTINCT FROM o.value THEN 'skipped' ELSE 'updated' END AS status
+FROM n FULL JOIN o ON n.user_id = o.user_id AND n.event_type = o.event_type""".replace("max((ts, event_id)).event_id", "arg_max(event_id, (ts, event_id))"))
+def upsert_last_arrival(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    stored = joins.latest(e.where("event_id % 2 = 0").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], ["event_id"])
+    return joins.upsert(stored.drop("event_id"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], ["value"], ["ts", "event_id"])
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'h' || (o_orderkey // 2) END AS hash, CASE WHEN o_orderkey % 5 = 0 THEN 'http://x/' || (o_orderkey // 7) END AS url,
+  o_orderpriority AS title, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 2 = 1),
+b AS (SELECT o_orderkey AS no, CASE WHEN o_orderkey % 4 = 0 THEN 'h' || (o_orderkey // 2 + 1) END AS hash, CASE WHEN o_orderkey % 3 <> 0 THEN 'http://x/' || (o_orderkey // 7) END AS url,
+  o_orderpriority AS title, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 2 = 0),
+h AS (SELECT hash, max(id) AS id FROM s GROUP BY hash), u AS (SELECT url, max(id) AS id FROM s GROUP BY url), t AS (SELECT title, day, max(id) AS id FROM s GROUP BY title, day)
+SELECT no, coalesce(h.id, u.id, t.id) AS stored_key, CASE WHEN h.id IS NOT NULL THEN 0 WHEN u.id IS NOT NULL THEN 1 WHEN t.id IS NOT NULL THEN 2 END AS tier
+FROM b LEFT JOIN h ON b.hash = h.hash LEFT JOIN u ON b.url = u.url LEFT JOIN t ON b.title = t.title AND b.day = t.day""")
+def upsert_key_cascade(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("*", F.col("o_orderpriority").alias("title"), F.to_date("o_orderdate").alias("day"))
+    name = lambda when, prefix, number: F.when(when, F.concat(F.lit(prefix), number.cast("string")))
+    half, seventh = F.floor(k / 2), F.floor(k / 7)
+    stored = o.where("o_orderkey % 2 = 1").select(k.alias("id"), name(k % 3 == 0, "h", half).alias("hash"), name(k % 5 == 0, "http://x/", seventh).alias("url"), "title", "day")
+    batch = o.where("o_orderkey % 2 = 0").select(k.alias("no"), name(k % 4 == 0, "h", half + 1).alias("hash"), name(k % 3 != 0, "http://x/", seventh).alias("url"), "title", "day")
+    return joins.resolved_keys(batch, stored, [["hash"], ["url"], ["title", "day"]], "id").select("no", "stored_key", "tier")
+
+
 @query("""
 SELECT event_id, user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1""")
 def first_wins_dedup(spark, sf_dir):
