@@ -66,3 +66,29 @@ def test_bounds_never_miss_a_pair():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert tile_cosine.near_vectors(df).count() == 0
+
+
+def test_hash_of_two_vectors(spark, monkeypatch):
+    data = rows()[:120]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(tile_cosine.F, "xxhash64", lambda *a: F.lit(1).cast("long"))
+    got = tile_cosine.near_vectors(df).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(data)
+
+
+def test_open_pairs_are_the_same_in_both_passes():
+    rng = np.random.default_rng(3)
+    x = tile_cosine.unit(np.repeat(rng.normal(size=(20, 64)), 30, axis=0) + rng.normal(size=(600, 64)) * np.where(np.arange(600) < 300, 0.05, 0.22)[:, None])
+    codes, scale, error = tile_cosine.quantise(x)
+
+    def judged(at):
+        found = tile_cosine.possible_pairs(codes[at], scale[at], error[at], np.arange(len(at)), np.arange(len(at)), 0.95)
+        return {(at[i], at[j]): s for p, q, sure in found for i, j, s in zip(p.tolist(), q.tolist(), sure.tolist())}
+
+    first = judged(np.arange(600))
+    open_ = np.array(sorted({k for (i, j), sure in first.items() if not sure and i != j for k in (i, j)}))
+    second = judged(open_)
+    assert second == {k: s for k, s in first.items() if k[0] in set(open_) and k[1] in set(open_)}
+    assert any(first.values()) and 20 < len(open_) < 600
+    exact = np.einsum("id,jd->ij", x, x)
+    assert all(exact[k] >= 0.95 for k, sure in first.items() if sure)
