@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -133,3 +133,9 @@ def similar_titles(a: Column | str, b: Column | str, hits: int = 3, length: int
 def mentions(columns: Sequence[Column | str], names: Sequence[str]) -> Column:
     """Whether a name stands in the space-joined columns; null counts as empty, blank names are skipped."""
     return any_term(F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in columns]), [n for n in names if n.strip()])
+
+
+def named_among(c: Column | str, names: Iterable[str]) -> Column:
+    """Whether a name is one of ``names``, both lower-cased and without all but ASCII letters and digits; null does not count."""
+    plain = sorted({"".join(x for x in n.lower() if x.isascii() and x.isalnum()) for n in names})
+    return F.coalesce(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]", "").isin(plain), F.lit(False))

@@ -136,3 +136,14 @@ def newest_status(log: DataFrame, key: str, order: Sequence[str], columns: Seque
     """Newest log row per key and how often each key ran and failed."""
     newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("newest")
     return log.groupBy(key).agg(newest, F.count(F.lit(1)).alias("runs")).select(key, "newest.*", "runs")
+
+
+def reconciled(df: DataFrame, key: str, published: Column) -> DataFrame:
+    """Per key: rows stored, rows published, and the decision between all, most, some and none filtered.
+
+    A ``published`` that is null is not published.
+    """
+    p, s = F.col("published"), F.col("stored")
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("stored"), F.count_if(F.coalesce(published, F.lit(False))).alias("published"))
+    decision = F.when(p == 0, "all_filtered").when(p < s / 2, "mostly_filtered").when(p < s, "some_filtered").otherwise("complete")
+    return per.withColumn("decision", decision)

@@ -23,7 +23,7 @@ def listed(pages: DataFrame, record: str) -> DataFrame:
 
     ``pages`` has source, page_no, status and html.  ``record`` is a regular expression with the id as its
     group.  Paging stops per source at a failed first page and at the first later page without a record; a
-    failed later page is passed over.
+    failed later page is passed over.  Pages without a source are read to the end.
     """
     found = F.filter(html.links("html"), lambda a: F.regexp_extract(a["href"], record, 1) != "")
     fine = F.coalesce((F.col("status") == 200) & (F.col("html") != ""), F.lit(False))

@@ -89,3 +89,9 @@ def update_where(items: DataFrame, condition: Column, values: Mapping[str, Colum
 def violations(rules: Mapping[str, Column]) -> Column:
     """Array of the names of the rules that a row breaks."""
     return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules.items()]))
+
+
+def since(c: Column | str, cutoff: Column) -> Column:
+    """Whether a date lies at or after ``cutoff``; dates that are missing pass."""
+    day = F.to_date(c)
+    return day.isNull() | F.coalesce(day >= cutoff, F.lit(True))

@@ -197,3 +197,9 @@ def tagged_by_packs(rows: DataFrame, text: Column, packs: Mapping[str, Sequence[
     all_packs = F.array(*[F.struct(F.lit(p).alias("pack"), F.array(*[F.lit(t) for t in terms]).alias("terms")) for p, terms in packs.items()])
     hit = F.transform(all_packs, lambda p: F.struct(p["pack"].alias("pack"), F.filter(p["terms"], lambda t: F.contains(low, F.lower(t))).alias("terms")))
     return F.filter(hit, lambda p: F.size(p["terms"]) > 0)
+
+
+def vanished(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, before): groups of ``old`` without a row in ``new``, with their rows; both are reduced to keys first."""
+    counts = old.groupBy(key).agg(F.count(F.lit(1)).alias("before"))
+    return counts.join(new.select(key).distinct(), key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import aggregates, joins, topk, windows
+from ..operators import aggregates, filters, joins, topk, windows
 from ..plans import dashboard
 from .registry import query, table
 
@@ -65,8 +65,8 @@ SELECT DISTINCT o_custkey, count(*) AS before FROM orders WHERE o_orderdate < TI
 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01') GROUP BY o_custkey""")
 def vanished_groups(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    old, new = (o.where(f"o_orderdate {sign} TIMESTAMP '1999-01-01'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("before")) for sign in ("<", ">="))
-    return old.join(new, "o_custkey", "left_anti")
+    old, new = (o.where(f"o_orderdate {sign} TIMESTAMP '1999-01-01'") for sign in ("<", ">="))
+    return joins.vanished(old, new, "o_custkey")
 
 
 @query("""
@@ -75,20 +75,15 @@ SELECT k, stored, coalesce(published, 0) AS published,
   CASE WHEN published IS NULL THEN 'all_filtered' WHEN published < stored / 2.0 THEN 'mostly_filtered' WHEN published < stored THEN 'some_filtered' ELSE 'complete' END AS decision
 FROM a LEFT JOIN b USING (k)""")
 def reconciliation(spark, sf_dir):
-    per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
-        F.count(F.lit(1)).alias("stored"), F.count_if(F.coalesce(F.col("o_orderstatus") != "P", F.lit(False))).alias("published")
-    )
-    p, s = F.col("published"), F.col("stored")
-    return per.withColumn("decision", F.when(p == 0, "all_filtered").when(p < s / 2, "mostly_filtered").when(p < s, "some_filtered").otherwise("complete"))
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
+    return aggregates.reconciled(o, "k", F.col("o_orderstatus") != "P")
 
 
 @query("""
 SELECT n_nationkey, n_name, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') IN ('unitedkingdom', 'uk', 'nation3', 'nation7', 'canada') AS matches FROM nation""")
 def country_match(spark, sf_dir):
     names = ("United Kingdom", "U.K.", "Nation-3", "NATION_7", "Canada")
-    plain = [n.lower().translate({ord(c): None for c in " .-_"}) for n in names]
-    n = table(spark, sf_dir, "nation")
-    return n.select("n_nationkey", "n_name", F.regexp_replace(F.lower("n_name"), "[^a-z0-9]", "").isin(plain).alias("matches"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", text.named_among("n_name", names).alias("matches"))
 
 
 @query("""
@@ -104,7 +99,7 @@ SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, CASE WHEN o_orderstatus
 WHERE o_orderdate IS NULL OR CAST(o_orderdate AS DATE) >= DATE '2000-08-02'""")
 def lookback_null_passes(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("o_orderdate"))
-    return o.where(F.col("o_orderdate").isNull() | (F.to_date("o_orderdate") >= F.lit("2000-08-02").cast("date")))
+    return o.where(filters.since("o_orderdate", F.lit("2000-08-02").cast("date")))
 
 
 @query("""
