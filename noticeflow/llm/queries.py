@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, byte_cnn, licenses, mixing, secrets, sharding, simhash, tile_cosine, warc
+from . import block_naming, byte_bpe, byte_cnn, divergence, lexical_search, licenses, mixing, secrets, sharding, simhash, tile_cosine, token_store, warc
 from .common import read
 
 
@@ -109,5 +109,74 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op5_sharding": op5_sharding, "op6_licenses": op6_licenses, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
-ORACLE = {"op7_tile_cosine": OP7_SQL, "op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op6_licenses": licenses.oracle_sql(), "op10_block_naming": OP10_SQL}
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: Only A-Z become lower case.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), n AS (SELECT doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS t FROM n) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, docs),
+q AS (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL
+), s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN p USING (t), c GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+k AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n)::BIGINT AS total FROM c GROUP BY ALL),
+x AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+         1 + (1000000000 * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)
+), l AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n)::BIGINT + 5)) // ((SELECT sum(total)::BIGINT FROM s WHERE s.lang = c.lang) + 5 * any_value(v)) AS q
+  FROM c JOIN v USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT m.lang, m.source, o.source AS item, sum(abs(m.p - o.p)) AS f
+             FROM x m JOIN x o ON m.lang = o.lang AND m.term = o.term GROUP BY ALL) f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM x JOIN l USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms
+), o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_token_store(spark, sf_dir):
+    import public_tokenizers
+
+    return token_store.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_divergence": op12_divergence, "op13_token_store": op13_token_store, "op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op5_sharding": op5_sharding, "op6_licenses": op6_licenses, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
+ORACLE = {"op11_lexical_search": OP11_SQL, "op12_divergence": OP12_SQL, "op7_tile_cosine": OP7_SQL, "op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op6_licenses": licenses.oracle_sql(), "op10_block_naming": OP10_SQL}
