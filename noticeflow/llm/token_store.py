@@ -21,7 +21,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import Scratch, free_name, small_batches
+from .common import Scratch, free_name, release_memory, small_batches
 
-#: Bytes of text in a shard and keys in an index bucket, about; chunks that a worker remembers, and the longest of them.
-SHARD_BYTES, BUCKET_KEYS, REMEMBERED, LONGEST = 48 << 20, 1 << 16, 400_000, 48
+#: Bytes of text in a shard and keys in an index bucket, about; chunks that a worker remembers, and
+#: characters of texts whose chunks are held at once.
+SHARD_BYTES, BUCKET_KEYS, REMEMBERED, PORTION = 48 << 20, 1 << 16, 400_000, 1 << 20
 END = 2
 MAGIC, INDEX_MAGIC = b"NFTOKEN1", b"NFINDEX1"
 #: Bits of a level for each key that is still there; levels at most (keys of one 128-bit hash would need more).
@@ -46,6 +49,8 @@ RUN = np.dtype([("shard", "<u4"), ("record", "<u8"), ("count", "<u8")])
 WHITE = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff"
 #: A space that a piece begins with for certain, and any other one.
 CUT, ODD = re.compile(rf"\x20(?=[^{WHITE}])"), re.compile(rf"\x20(?:[{WHITE}]|$)")
+#: A place between an ASCII letter or digit and an ASCII sign or line break.
+PARTS = re.compile(r"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~\n])")
 
 
 def open_store(path: str):
@@ -60,9 +65,10 @@ def open_store(path: str):
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer of the tokenizers library.
 
-    Its pre-tokenizer begins a piece at every space before a visible character, and pieces are encoded
-    one by one; so a text may be cut there, and the library encodes each distinct chunk once while the
-    worker remembers it.  Strings of special tokens are ordinary text.
+    Its pre-tokenizer begins a piece at every space before a visible character, and between an ASCII
+    letter or digit and an ASCII sign; pieces are encoded one by one.  So a text may be cut
+    there, and the library encodes each distinct part once while the worker remembers it: chunks between such spaces
+    have numbers, and a batch's ids are gathered by them.  Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, end: int):
@@ -71,28 +77,74 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.width = 2 if max(end + 1, self.library.get_vocab_size()) <= 1 << 16 else 4
-        self.end = end.to_bytes(self.width, "little")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.kind, self.end = f"<u{self.width}", end.to_bytes(self.width, "little")
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.parts: dict[str, bytes] = {}
+        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text and the end id."""
-        cut = [CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
-        forget = [(self.first, self.learn({c[0] for c in cut}, self.first, "")), (self.later, self.learn({x for c in cut for x in c[1:]}, self.later, " "))]
-        out = [self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:])) + self.end for c in cut]
-        for known, chunks in forget:
-            for c in chunks:
-                del known[c]
-        return out
-
-    def learn(self, chunks: set[str], known: dict[str, bytes], before: str) -> list[str]:
-        """Encodes what is not known; returns what is too long to be remembered."""
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [c for c in chunks if c not in known]
-        found = self.library.encode_batch([before + c for c in new], add_special_tokens=False)
-        known.update((c, np.array(e.ids, f"<u{self.width}").tobytes()) for c, e in zip(new, found))
-        return [c for c in new if len(c) > LONGEST]
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, counts, chunks = [], [], []
+        size = 0
+        for i, text in enumerate(texts):
+            for part, length in segments(text):
+                owners.append(i)
+                counts.append(len(part))
+                chunks += part
+                size += length
+                if size >= PORTION:
+                    self.gather(owners, counts, chunks, out)
+                    owners, counts, chunks, size = [], [], [], 0
+        self.gather(owners, counts, chunks, out)
+        return [b"".join(x) + self.end for x in out]
+
+    def gather(self, owners: list[int], counts: list[int], chunks: list[str], out: list[list[bytes]]) -> None:
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        numbers = np.fromiter(map(self.numbers.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            self.learn(list(dict.fromkeys(chunks[i] for i in new)))
+            numbers[new] = [self.numbers[chunks[i]] for i in new]
+        lengths = self.lengths[numbers]
+        upto = np.cumsum(lengths)
+        ids = self.pool[np.repeat(self.starts[numbers] - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[np.cumsum([0, *counts])].tolist()
+        for owner, a, b in zip(owners, ends, ends[1:]):
+            out[owner].append(ids[a:b].tobytes())
+
+    def learn(self, chunks: list[str]) -> None:
+        """Numbers chunks; a first chunk bears a space before it, others stand for what follows a space."""
+        cut = [PARTS.split(c[1:] if c[:1] == " " else " " + c) for c in chunks]
+        new = list({p for ps in cut for p in ps} - self.parts.keys())
+        form = "H" if self.width == 2 else "I"
+        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            self.parts[p] = array(form, e.ids).tobytes()
+        found = [b"".join([self.parts[p] for p in ps]) for ps in cut]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        starts = len(self.pool) + np.cumsum(lengths) - lengths
+        self.numbers.update(zip(chunks, range(len(self.numbers), len(self.numbers) + len(chunks))))
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), self.kind)])
+
+
+def segments(text: str) -> Iterator[tuple[list[str], int]]:
+    """The chunks of a text, a bounded stretch at a time, and the stretch's length; the first chunk bears a space before it."""
+    at, first = 0, " "
+    while True:
+        found = CUT.search(text, at + PORTION) if len(text) - at > PORTION else None
+        part = text[at : found.start() if found else len(text)]
+        chunks = CUT.split(part) if ODD.search(part) else part.split(" ")
+        if first:
+            chunks[0] = first + chunks[0]
+        yield chunks, len(part)
+        if not found:
+            return
+        at, first = found.end(), ""
 
 
 def footer(records: int, ids: int, width: int, crc: int) -> bytes:
@@ -135,16 +187,19 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id: str, text: st
             lengths.append(np.array([len(x) for x in ids], "<u8"))
         if out is None:
             return
-        at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<u8") // encoder.width
+        width = encoder.width
+        at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<u8") // width
         names = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype("<u8")
-        out.write(b"".join(keys) + names.tobytes() + at.tobytes() + footer(len(keys), int(at[-1]), encoder.width, crc))
+        out.write(b"".join(keys) + names.tobytes() + at.tobytes() + footer(len(keys), int(at[-1]), width, crc))
         out.close()
+        encoder = None
+        release_memory()
         for lo in range(0, len(keys), 10_000):
             part = slice(lo, min(lo + 10_000, len(keys)))
             n = part.stop - lo
             named = [None if k == b"\xff" else k.decode() for k in keys[part]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * n, pa.int32()), pa.array([path] * n), pa.array(named, pa.string()), pa.array(np.arange(lo, part.stop)), pa.array(np.diff(at)[part].astype("<i8")), pa.array([encoder.width] * n, pa.int32())],
+                [pa.array([shard] * n, pa.int32()), pa.array([path] * n), pa.array(named, pa.string()), pa.array(np.arange(lo, part.stop)), pa.array(np.diff(at)[part].astype("<i8")), pa.array([width] * n, pa.int32())],
                 names=["shard", "path", "key", "record", "n", "width"],
             )
 
