@@ -34,9 +34,9 @@ from pyspark.sql.types import StructType
 
 from .common import Scratch, free_name, release_memory, small_batches
 
-#: Bytes of text in a shard and keys in an index bucket, about; chunks that a worker remembers, and
-#: characters of texts whose chunks are held at once.
-SHARD_BYTES, BUCKET_KEYS, REMEMBERED, PORTION = 48 << 20, 1 << 16, 400_000, 1 << 20
+#: Bytes of text in a shard and keys in an index bucket, about; parts that a worker remembers, and
+#: characters of texts whose parts are held at once.
+SHARD_BYTES, BUCKET_KEYS, REMEMBERED, PORTION = 48 << 20, 1 << 16, 500_000, 1 << 20
 END = 2
 MAGIC, INDEX_MAGIC = b"NFTOKEN1", b"NFINDEX1"
 #: Bits of a level for each key that is still there; levels at most (keys of one 128-bit hash would need more).
@@ -47,10 +47,10 @@ SLOT = np.dtype([("mark", "<u8"), ("run", "<u4"), ("runs", "<u4")])
 RUN = np.dtype([("shard", "<u4"), ("record", "<u8"), ("count", "<u8")])
 #: Body of a regular-expression class of what any rule may take for white space, and more.
 WHITE = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff"
-#: A space that a piece begins with for certain, and any other one.
-CUT, ODD = re.compile(rf"\x20(?=[^{WHITE}])"), re.compile(rf"\x20(?:[{WHITE}]|$)")
-#: A place between an ASCII letter or digit and an ASCII sign or line break.
-PARTS = re.compile(r"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~\n])")
+#: A space that a piece begins with for certain.
+CUT = re.compile(rf"\x20(?=[^{WHITE}])")
+#: Parts of a text: an ASCII word with its space that ends before a sign, white space or the end, or all up to the next such space.
+PART = re.compile(rf"(?s)\x20[A-Za-z0-9]+(?=[!-/:-@\[-`{{-~\n\x20]|\Z)|.[^\x20]*(?:\x20(?![^{WHITE}])[^\x20]*)*")
 
 
 def open_store(path: str):
@@ -65,9 +65,9 @@ def open_store(path: str):
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer of the tokenizers library.
 
-    Its pre-tokenizer begins a piece at every space before a visible character, and between an ASCII
-    letter or digit and an ASCII sign; pieces are encoded one by one.  So a text may be cut
-    there, and the library encodes each distinct part once while the worker remembers it: chunks between such spaces
+    Its pre-tokenizer begins a piece at every space before a visible character, and where a word of
+    ASCII letters and digits ends before a sign or white space; pieces are encoded one by one.  So a text may
+    be cut there, and the library encodes each distinct part once while the worker remembers it: parts
     have numbers, and a batch's ids are gathered by them.  Strings of special tokens are ordinary text.
     """
 
@@ -78,38 +78,49 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.width = 2 if max(end + 1, self.library.get_vocab_size()) <= 1 << 16 else 4
         self.kind, self.end = f"<u{self.width}", end.to_bytes(self.width, "little")
-        self.forget()
+        self.numbers: dict[str, int] = {}
+        self.starts, self.lengths, self.uses, self.pool = *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, self.kind)
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.parts: dict[str, bytes] = {}
-        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        """Drops the parts that were seen least: those seen once or twice, or more where they are too many."""
+        often = 3
+        while (kept := self.uses >= often).sum() > REMEMBERED // 2:
+            often *= 2
+        old = np.flatnonzero(kept)
+        starts, lengths = self.starts[old], self.lengths[old]
+        upto = np.cumsum(lengths)
+        self.pool = self.pool[np.repeat(starts - upto + lengths, lengths) + np.arange(lengths.sum())]
+        self.starts, self.lengths, self.uses = upto - lengths, lengths, self.uses[old]
+        numbered = np.cumsum(kept) - 1
+        self.numbers = {p: int(numbered[n]) for p, n in self.numbers.items() if kept[n]}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text and the end id."""
         out: list[list[bytes]] = [[] for _ in texts]
-        owners, counts, chunks = [], [], []
+        owners, counts, parts = [], [], []
         size = 0
         for i, text in enumerate(texts):
-            for part, length in segments(text):
+            for stretch in stretches(text):
+                found = PART.findall(stretch)
                 owners.append(i)
-                counts.append(len(part))
-                chunks += part
-                size += length
+                counts.append(len(found))
+                parts += found
+                size += len(stretch)
                 if size >= PORTION:
-                    self.gather(owners, counts, chunks, out)
-                    owners, counts, chunks, size = [], [], [], 0
-        self.gather(owners, counts, chunks, out)
+                    self.gather(owners, counts, parts, out)
+                    owners, counts, parts, size = [], [], [], 0
+        self.gather(owners, counts, parts, out)
         return [b"".join(x) + self.end for x in out]
 
-    def gather(self, owners: list[int], counts: list[int], chunks: list[str], out: list[list[bytes]]) -> None:
+    def gather(self, owners: list[int], counts: list[int], parts: list[str], out: list[list[bytes]]) -> None:
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        numbers = np.fromiter(map(self.numbers.get, chunks, repeat(-1)), np.int64, len(chunks))
+        numbers = np.fromiter(map(self.numbers.get, parts, repeat(-1)), np.int64, len(parts))
         new = np.flatnonzero(numbers < 0).tolist()
         if new:
-            self.learn(list(dict.fromkeys(chunks[i] for i in new)))
-            numbers[new] = [self.numbers[chunks[i]] for i in new]
+            self.learn(list(dict.fromkeys([parts[i] for i in new])))
+            numbers[new] = [self.numbers[parts[i]] for i in new]
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         lengths = self.lengths[numbers]
         upto = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.starts[numbers] - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)]
@@ -117,34 +128,30 @@ class Encoder:
         for owner, a, b in zip(owners, ends, ends[1:]):
             out[owner].append(ids[a:b].tobytes())
 
-    def learn(self, chunks: list[str]) -> None:
-        """Numbers chunks; a first chunk bears a space before it, others stand for what follows a space."""
-        cut = [PARTS.split(c[1:] if c[:1] == " " else " " + c) for c in chunks]
-        new = list({p for ps in cut for p in ps} - self.parts.keys())
-        form = "H" if self.width == 2 else "I"
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            self.parts[p] = array(form, e.ids).tobytes()
-        found = [b"".join([self.parts[p] for p in ps]) for ps in cut]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        starts = len(self.pool) + np.cumsum(lengths) - lengths
-        self.numbers.update(zip(chunks, range(len(self.numbers), len(self.numbers) + len(chunks))))
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), self.kind)])
-
-
-def segments(text: str) -> Iterator[tuple[list[str], int]]:
-    """The chunks of a text, a bounded stretch at a time, and the stretch's length; the first chunk bears a space before it."""
-    at, first = 0, " "
+    def learn(self, parts: list[str]) -> None:
+        known, ids = len(self.numbers), array("H" if self.width == 2 else "I")
+        lengths = []
+        for e in self.library.encode_batch_fast(parts, add_special_tokens=False):
+            own = e.ids
+            lengths.append(len(own))
+            ids.extend(own)
+        self.numbers.update(zip(parts, range(known, known + len(parts))))
+        upto = np.cumsum(lengths)
+        self.starts = np.concatenate([self.starts, len(self.pool) + upto - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(parts), np.int64)])
+        self.pool = np.concatenate([self.pool, np.array(ids, self.kind)])
+
+
+def stretches(text: str) -> Iterator[str]:
+    """The text in parts of bounded length, cut before spaces where pieces begin."""
+    at = 0
     while True:
         found = CUT.search(text, at + PORTION) if len(text) - at > PORTION else None
-        part = text[at : found.start() if found else len(text)]
-        chunks = CUT.split(part) if ODD.search(part) else part.split(" ")
-        if first:
-            chunks[0] = first + chunks[0]
-        yield chunks, len(part)
+        yield text[at : found.start() if found else len(text)]
         if not found:
             return
-        at, first = found.end(), ""
+        at = found.start()
 
 
 def footer(records: int, ids: int, width: int, crc: int) -> bytes:

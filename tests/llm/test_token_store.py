@@ -42,6 +42,12 @@ def test_cut_texts_encode_as_whole_ones(library, encoder, text):
     assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == ids_of(library, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.characters(max_codepoint=127), st.characters(exclude_categories=["Cs"])), max_size=30).map("".join))
+def test_parts_are_the_text(text):
+    assert "".join(token_store.PART.findall(text)) == text
+
+
 def test_long_texts_go_in_stretches(library, encoder, monkeypatch):
     monkeypatch.setattr(token_store, "PORTION", 7)
     monkeypatch.setattr(token_store, "REMEMBERED", 20)
