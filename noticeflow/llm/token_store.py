@@ -17,6 +17,7 @@ own attempt, and only names that came back with its rows are ever read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..sources.stores import open_store
 from .common import Scratch, free_name, release_memory, small_batches
 
 #: Bytes of text in a shard and keys in an index bucket, about; parts that a worker remembers, and
 #: characters of texts whose parts are held at once.
-SHARD_BYTES, BUCKET_KEYS, REMEMBERED, PORTION = 48 << 20, 1 << 16, 500_000, 1 << 20
+SHARD_BYTES, BUCKET_KEYS, REMEMBERED, PORTION = 48 << 20, 1 << 16, 500_000, 1 << 19
 END = 2
 MAGIC, INDEX_MAGIC = b"NFTOKEN1", b"NFINDEX1"
 #: Bits of a level for each key that is still there; levels at most (keys of one 128-bit hash would need more).
@@ -49,24 +51,24 @@ RUN = np.dtype([("shard", "<u4"), ("record", "<u8"), ("count", "<u8")])
 WHITE = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff"
 #: A space that a piece begins with for certain.
 CUT = re.compile(rf"\x20(?=[^{WHITE}])")
-#: Parts of a text: an ASCII word with its space that ends before a sign, white space or the end, or all up to the next such space.
-PART = re.compile(rf"(?s)\x20[A-Za-z0-9]+(?=[!-/:-@\[-`{{-~\n\x20]|\Z)|.[^\x20]*(?:\x20(?![^{WHITE}])[^\x20]*)*")
-
-
-def open_store(path: str):
-    """(file system, path in it) of a URI or a plain path."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+#: Latin letters, which every Unicode version knows as letters.
+LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: Parts of a text: a Latin word with its space that ends before a sign, white space or the end, or all up to the next such space.
+PART = re.compile(rf"(?s)\x20[{LATIN}0-9]+(?=[!-/:-@\[-`{{-~\n\x20]|\Z)|.[^\x20]*(?:\x20(?![^{WHITE}])[^\x20]*)*")
+#: Parts that are one piece for the pre-tokenizer, so that they can go to the model at once.
+WORD = re.compile(rf"\x20?[{LATIN}]+")
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others as the characters from 256 on.
+SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+WRITTEN_BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+#: Parts that go to the library at once.
+AT_ONCE = 4096
 
 
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer of the tokenizers library.
 
     Its pre-tokenizer begins a piece at every space before a visible character, and where a word of
-    ASCII letters and digits ends before a sign or white space; pieces are encoded one by one.  So a text may
+    Latin letters and digits ends before a sign or white space; pieces are encoded one by one.  So a text may
     be cut there, and the library encodes each distinct part once while the worker remembers it: parts
     have numbers, and a batch's ids are gathered by them.  Strings of special tokens are ordinary text.
     """
@@ -74,6 +76,11 @@ class Encoder:
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        cut = made["pre_tokenizer"] or {}
+        if made["normalizer"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
+            raise ValueError("texts can only be cut for byte-level tokenizers without normaliser and prefix space")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.width = 2 if max(end + 1, self.library.get_vocab_size()) <= 1 << 16 else 4
@@ -130,9 +137,18 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> None:
         known, ids = len(self.numbers), array("H" if self.width == 2 else "I")
-        lengths = []
-        for e in self.library.encode_batch_fast(parts, add_special_tokens=False):
-            own = e.ids
+        space, tokenize, whole, lengths = WRITTEN_BYTES[32], self.library.model.tokenize, {}, []
+        rest = [p for p in parts if not (p[0] == " " and p[1:].isalpha() and p.isascii() or WORD.fullmatch(p))]
+        for at in range(0, len(rest), AT_ONCE):
+            own = rest[at : at + AT_ONCE]
+            whole |= {p: e.ids for p, e in zip(own, self.library.encode_batch_fast(own, add_special_tokens=False))}
+        for p in parts:
+            if p in whole:
+                own = whole[p]
+            elif p[0] == " " and p.isascii():
+                own = [t.id for t in tokenize(space + p[1:])]
+            else:
+                own = [t.id for t in tokenize(p.encode().decode("latin-1").translate(WRITTEN_BYTES))]
             lengths.append(len(own))
             ids.extend(own)
         self.numbers.update(zip(parts, range(known, known + len(parts))))

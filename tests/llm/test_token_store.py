@@ -33,7 +33,7 @@ def ids_of(library, text):
     return [*library.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-PIECES = ["a", "the", " ", " ", "  ", "\n", "\t", "\xa0", " ", "　", "​", "\x85", "\x1c", "᠎", "\xe9", "中", "'s", "1", "!", "\x7f", "﻿", "<|endoftext|>", "️", "\x00", " x"]
+PIECES = ["a", "the", " ", " ", "  ", "\n", "\t", "\xa0", " ", "　", "​", "\x85", "\x1c", "᠎", "\xe9", "中", "'s", "1", "!", "\x7f", "﻿", "<|endoftext|>", "️", "\x00", " x", " né,", "ÿĀɏ", " Ñandú.", " ×", "÷a", "ɐ"]
 
 
 @settings(max_examples=600, deadline=None)
