@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import col, collapse
 
-#: Character references that notices use.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+#: Names that count without a semicolon too, and all others; two characters that no value has part the entries.
+SHORT = {n: v for n, v in html5.items() if not n.endswith(";")}
+NAMED = {n[:-1]: v for n, v in html5.items() if n.endswith(";")}
+#: What the numbers 128 to 159 mean in pages (a dot: the character of that number).
+LATIN = "€.‚ƒ„…†‡ˆ‰Š‹Œ.Ž..‘’“”•–—˜™š›œ.žŸ"
+
+
+def _table(entries: dict[str, str]) -> Column:
+    return F.map_from_arrays(*[F.split(F.lit("\x01".join(x)), "\x01") for x in (entries, entries.values())])
+
+
+def _numbered(n: Column) -> Column:
+    """The character of a number, as pages mean it; null for a number beyond reading."""
+    own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    latin = F.substring(F.lit(LATIN), (n - 127).cast("int"), F.lit(1))
+    bad = (n == 0) | ((n >= 0xD800) & (n <= 0xDFFF)) | (n > 0x10FFFF) | n.isNull()
+    none = ((n >= 1) & (n <= 8)) | ((n >= 0xE) & (n <= 0x1F)) | ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n == 0xB) | (n.bitwiseAND(0xFFFE) == 0xFFFE) | (n == 127)
+    return F.when(bad, "\ufffd").when(n == 13, "\r").when((n >= 128) & (n <= 159), F.when(latin == ".", own).otherwise(latin)).when(none, "").otherwise(own)
+
+
+def _reference(part: Column) -> Column:
+    """What stands after an ampersand, with the reference at its beginning decoded; with the ampersand if it is none."""
+    number = F.regexp_extract(part, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+    digits = F.regexp_extract(number, r"[0-9a-fA-F]+", 0)
+    hexed = F.rlike(number, F.lit("^#[xX]"))
+    value = F.when(F.char_length(F.ltrim(digits, F.lit("0"))) <= 8, F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("long")).otherwise(F.lit(0x110000))
+    word = F.regexp_extract(part, "^[A-Za-z][A-Za-z0-9]*", 0)
+    named = F.when(F.substring(part, F.char_length(word) + 1, F.lit(1)) == ";", F.element_at(_table(NAMED), word))
+    longest = F.filter(F.sequence(F.least(F.lit(6), F.char_length(word)), F.lit(2), F.lit(-1)), lambda k: F.element_at(_table(SHORT), F.substring(word, F.lit(1), k)).isNotNull())
+    size = F.when(F.char_length(word) >= 2, F.get(longest, 0))
+    rest = lambda n: F.substring(part, n + 1, F.char_length(part))
+    return (
+        F.when(number != "", F.concat(_numbered(value), rest(F.char_length(number))))
+        .when(named.isNotNull(), F.concat(named, rest(F.char_length(word) + 1)))
+        .when(size.isNotNull(), F.concat(F.element_at(_table(SHORT), F.substring(word, F.lit(1), size)), rest(size)))
+        .otherwise(F.concat(F.lit("&"), part))
+    )
 
 
 def unescaped(c: Column | str) -> Column:
-    out = col(c)
-    for name, sign in REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return out
+    """The text with its character references decoded, each once: by name, with or without semicolon where pages may, or number."""
+    text = col(c)
+    parts = F.split(text, "&")
+    decoded = F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _reference), "")
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, 0), decoded)).otherwise(text)
 
 
 def title(html: Column | str) -> Column:
@@ -31,13 +69,17 @@ def plain_text(html: Column | str) -> Column:
     return collapse(unescaped(F.regexp_replace(t, r"(?s)<[^>]*>", " ")))
 
 
+#: An address in double, single or no quotation marks.
+HREF = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def links(html: Column | str) -> Column:
-    """Array of (href, text) of the anchors, in order."""
-    anchors = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a>"""), F.lit(0))
+    """Array of (href, text) of the anchors, in order; references in both are decoded."""
+    anchors = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(rf"(?is)<a\b[^>]*?\s{HREF}[^>]*>.*?</a>"), F.lit(0))
     return F.transform(
         anchors,
         lambda a: F.struct(
-            F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1).alias("href"),
+            unescaped(F.concat(*[F.regexp_extract(a, rf"(?is)^<a\b[^>]*?\s{HREF}", g) for g in (1, 2, 3)])).alias("href"),
             collapse(unescaped(F.regexp_replace(a, r"(?s)<[^>]*>", " "))).alias("text"),
         ),
     )

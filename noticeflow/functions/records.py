@@ -1,13 +1,11 @@
-"""Expressions over whole records: redaction, masking, action lists, selection of lines, flattening."""
+"""Expressions over whole records: redaction, masking, action lists, selection of lines."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
 
 from .text import col, collapse
 
@@ -38,31 +36,6 @@ def redacted_json(payload: Column | str) -> Column:
     return F.regexp_replace(t, r'"(?:javascript|file|data):[^"]*"', '""')
 
 
-@F.pandas_udf(MapType(StringType(), StringType()))
-def flattened_json(payload: pd.Series) -> pd.Series:
-    """Leaves of nested JSON by their own key; the last one wins, list items get their number."""
-    import json
-
-    def walk(value, name, out):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                walk(v, k, out)
-        elif isinstance(value, list):
-            for i, v in enumerate(value, 1):
-                walk(v, f"{name}_{i}", out)
-        else:
-            out[name] = None if value is None else str(value)
-        return out
-
-    def one(text):
-        try:
-            return walk(json.loads(text), "value", {}) if text else {}
-        except ValueError:
-            return {}
-
-    return payload.map(one)
-
-
 def actions(choices: Sequence[tuple[str, Column]]) -> Column:
     """Distinct names of the actions that apply, in order."""
     return F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in choices])))

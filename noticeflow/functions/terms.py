@@ -20,7 +20,9 @@ COMPETITORS = ("유창이앤씨", "플랜엠", "금강공업", "엠쓰리시스
 NEWS_PACKS = {
     "핵심 모듈러": ("모듈러 건축", "모듈러 주택", "OSC 건설", "공업화주택", "프리패브 건축", "프리팹 건축", "스마트건설 모듈러"),
     "공공·정책": ("LH 모듈러", "GH 모듈러", "SH 모듈러", "국방부 병영생활관", "군간부숙소 모듈러", "학교 모듈러", "임시교사 모듈러", "공공임대 모듈러"),
-    "경쟁사·시장": tuple(f"{c} 모듈러" for c in COMPETITORS),
+    "경쟁사·시장": (
+        "유창이앤씨 모듈러", "플랜엠 모듈러", "금강공업 모듈러", "엠쓰리시스템즈 모듈러", "희림 모듈러", "자이가이스트 모듈러", "삼성물산 모듈러", "현대건설 모듈러", "DL이앤씨 모듈러",
+    ),
 }
 
 # Stages of a notice (first match wins), stages that are open, and terms that titles drop.
@@ -61,7 +63,7 @@ CONTEXT_WEIGHTS = {
     "accommodation": 5, "developer": 5, "architecture": 5, "project": 9, "facility": 5, "council": 5,
 }
 WEAK_TERMS = ("modular", "prefab", "prefabricated", "off site", "offsite")
-#: Reason -> (phrases that suffice, indicators, terms that must stand beside an indicator).
+# Reason -> (phrases that suffice, indicators, terms that must stand beside an indicator).
 EXCLUSION_RULES = {
     "software_component": ((), ("software", "log4j", "digital flaw", "vulnerability", "cyber", "computer security", "programming"), ("modular component", "software module", "module")),
     "defense_modular_system": (
@@ -71,5 +73,6 @@ EXCLUSION_RULES = {
     "non_building_military_infrastructure": (("modular bridge", "assault bridge", "military bridge"), ("military", "army", "forces", "adversaries"), ("bridge", "modular")),
     "non_building_use_of_modular": ((), ("electronics", "electronic", "computer architecture", "smartphone", "battery", "camera", "memory"), ("modular", "module")),
 }
+# Weights of terms.
 STRONG_WEIGHT, SUPPORTING_WEIGHT, EXCLUSION_WEIGHT, NOISE_WEIGHT, WEAK_WEIGHT = 70, 18, -80, -20, 40
 PUBLISH_AT, REVIEW_AT = 80, 50

@@ -81,13 +81,26 @@ def crawl_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def list_health(pages: DataFrame, row: str = r"(?is)<tr[^>]*>\s*<td[^>]*>\s*\d+.*?</tr>", call: str = "openBidblancDetail") -> DataFrame:
+def table_rows(page: Column, cell: str = r"^[0-9]+$") -> Column:
+    """The table rows whose first cell, without its tags, matches; rows and cells may be closed or not.
+
+    What follows a row's opening tag up to the next one, or its closing tag, is the row.
+    """
+    parts = F.split(page, r"(?i)<tr\b")
+    rows = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.get(F.split(p, r"(?i)</tr\b|</table\b"), 0))
+    cells = lambda r: F.split(r, r"(?i)<t[dh]\b")
+    inner = lambda r: F.regexp_replace(F.regexp_replace(F.get(cells(r), 1), r"^[^>]*>|(?is)</t[dh]\b.*$", ""), r"(?s)<[^>]*>", " ")
+    return F.filter(rows, lambda r: F.coalesce(F.rlike(text.collapse(html.unescaped(inner(r))), F.lit(cell)), F.lit(False)) & (F.size(cells(r)) > 1))
+
+
+def list_health(pages: DataFrame, call: str = "openBidblancDetail", cell: str = r"^[0-9]+$") -> DataFrame:
     """Per list page (source, page_no): rows, rows with a title, calls, table, ratio to three places, and state.
 
-    The state is ``empty`` without rows, ``parser_mismatch`` below ``LEAST_PARSED``, else ``ok``.
+    Rows are those of :func:`table_rows`, numbered ones.  The state is ``empty`` without rows, ``parser_mismatch``
+    below ``LEAST_PARSED``, else ``ok``.
     """
     page = F.coalesce(F.col("html"), F.lit(""))
-    blocks = F.regexp_extract_all(page, F.lit(row), F.lit(0))
+    blocks = table_rows(page, cell)
     titled = F.filter(blocks, lambda b: F.exists(html.links(b), lambda a: a["text"] != ""))
     out = pages.select(
         "source", "page_no", F.size(blocks).alias("rows"), F.size(titled).alias("rows_with_title"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -111,8 +111,12 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.keep(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges_now = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        # counted while they are written: no job of its own, no second read
+        count = Observation()
+        observed = edges_now.observe(count, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        new = scratch.keep(observed, "edges")
+        mark = (count.get.get("n"), count.get.get("sum"))
         scratch.drop(cur)
         cur = new
         if mark == seen:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import numbered_in_order
+
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The row with the largest order per key (nulls lowest), all columns."""
@@ -185,10 +187,10 @@ def add_missing(known: DataFrame, more: DataFrame, key: str) -> DataFrame:
     return more.join(known.select(key), key, "left_anti").dropDuplicates([key])
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], name: str, template: str = "") -> DataFrame:
-    """Adds a running number by a total order, formatted if there is a template."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn(name, F.format_string(template, n) if template else n)
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str, template: str = "") -> DataFrame:
+    """Adds a running number by a total order, formatted if there is a template; no task gets all rows."""
+    out = numbered_in_order(rows, order, name)
+    return out.withColumn(name, F.format_string(template, name)) if template else out
 
 
 def tagged_by_packs(rows: DataFrame, text: Column, packs: Mapping[str, Sequence[str]]) -> Column:

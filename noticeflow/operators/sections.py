@@ -1,4 +1,4 @@
-"""Sections of the dashboard and the filters that its pages add, limits in the order they apply, and API answers."""
+"""Sections of the dashboard and the filters that its pages add, and limits in the order they apply."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from ..functions.text import col, contains_text
 # Kinds of items by section, and words of calls for research projects.
 SECTION_KINDS = {"bid": ("bid", "입찰/조달"), "news": ("news", "뉴스"), "patent": ("patent",)}
 CALL_WORDS = ("공고", "지원", "사업")
-# Result codes of the public APIs by kind of error, and words of the messages.
-GOOD_CODES, KEY_CODES, PARAMETER_CODES = ("0", "00"), ("10", "20", "30", "31", "32"), ("11", "12", "22")
 #: The order of classes of candidates; others come last.
 LAST_CLASS = 99
 
@@ -98,32 +96,3 @@ def amount_shown(c: Column | str) -> Column:
 def joined_values(values: Column) -> Column:
     """The values of an array for a CSV field, separated by semicolons; records as JSON."""
     return F.array_join(values if isinstance(values, Column) else F.col(values), ";")
-
-
-def api_answer(payload: Column | str, item: str) -> Column:
-    """Struct (total, items, error) of an API's JSON answer, wrapped in ``response`` or not.
-
-    ``item`` is the DDL of an item; one item or a list, below ``items`` or ``items.item``.  ``error`` is
-    null, or AUTH_ERROR, PARAM_ERROR or API_ERROR with code and message, so that a bad page is a row to
-    reject and not the end of the job.
-    """
-    t = col(payload)
-    at = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(t, p), F.lit("")) for p in paths])
-    code = F.coalesce(F.trim(at("$.response.header.resultCode", "$.header.resultCode", "$.resultCode")), F.lit(""))
-    names = [f"{w}{n}" for w in ("$.response.header.", "$.header.", "$.") for n in ("resultMsg", "resultMag")]
-    message = F.coalesce(F.trim(at(*names)), F.lit(""))
-    said = F.upper(F.concat_ws(" ", code, message))
-    kind = (
-        F.when((code == "") | code.isin(*GOOD_CODES) | F.contains(F.upper(message), F.lit("NORMAL SERVICE")), F.lit(None).cast("string"))
-        .when(code.isin(*KEY_CODES) | F.contains(said, F.lit("SERVICE KEY")), "AUTH_ERROR")
-        .when(code.isin(*PARAMETER_CODES) | F.contains(said, F.lit("PARAMETER")) | F.contains(message, F.lit("필수")), "PARAM_ERROR")
-        .otherwise("API_ERROR")
-    )
-    total = F.coalesce(at("$.response.body.totalCount", "$.body.totalCount", "$.totalCount").try_cast("bigint"), F.lit(0).cast("bigint"))
-    raw = at(*[f"$.{p}items{i}" for i in (".item", "") for p in ("response.body.", "body.", "")])
-    listed = F.when(F.startswith(F.ltrim(raw), F.lit("[")), raw).when(F.startswith(F.ltrim(raw), F.lit("{")), F.concat(F.lit("["), raw, F.lit("]"))).otherwise("[]")
-    items = F.coalesce(F.from_json(listed, f"array<struct<{item}>>"), F.array().cast(f"array<struct<{item}>>"))
-    return F.struct(
-        total.alias("total"), F.filter(items, lambda x: x.isNotNull()).alias("items"),
-        F.when(kind.isNotNull(), F.trim(F.concat(kind, F.lit(": "), code, F.lit(" "), message))).alias("error"),
-    )

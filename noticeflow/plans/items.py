@@ -28,7 +28,7 @@ RECORD_NOS = ("source_record_no", "bid_order", "raw.bidNtceOrd", "raw.bidOdr", "
 DETAIL_URLS = ("detail_url", "original_url", "raw.bidNtceDtlUrl", "raw.ntceDtlUrl", "raw.dtlUrl", "raw.detailUrl")
 SUMMARY_KEYWORD_FIELDS = ("title", "summary", "description", "keywords", "organization", "demand_org", "category", "progress_status", "contract_method", "bid_method")
 
-#: What every item has, with the aliases of a source without rules of its own.
+# What every item has, with the aliases of a source without rules of its own.
 GENERIC = {
     "title": ("title",), "organization": ("organization",), "posted_at": ("posted_at",), "due_at": ("due_at",), "amount": ("amount",),
     "region": ("region",), "summary": ("summary", "description"), "url": ("url",), "bid_no": ("bid_no",), "bid_order": ("bid_order",),
@@ -92,6 +92,7 @@ def _news(r: Reader, as_of: Column) -> Column:
     return scoring.news_relevance(r.joined("title"), r.joined("summary"), posted, as_of, has)
 
 
+# The sources with their names, aliases and rules.
 SOURCES = (
     Source(
         G2B, PLAN,

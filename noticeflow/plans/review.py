@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dates, identity, text, urls
 from ..operators import aggregates, components, joins, scoring
+from ..operators.shared import Scratch
 
 
 def ngram_candidates(rows: DataFrame, phrases: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -76,3 +77,60 @@ def report(candidates: DataFrame) -> DataFrame:
         "decisions_add_up": F.col("total") == sum((F.col(d) for d in decisions), F.lit(0)), "joins_add_up": F.col("total") == F.col("joined") + F.col("unjoined"),
         "ids_are_unique": F.col("ids") == F.col("total"),
     })
+
+
+def report_counts() -> dict[str, Column]:
+    """The counts of a review as aggregates over its candidates, by name.
+
+    The candidates have ``decision`` (of :func:`reviewed`, malformed among them), ``group_id`` and ``representative`` of their duplicate group
+    (null and false without one), ``country_status``, ``country_eligible``, ``joinable``, ``joined``, ``strength`` (strong, weak or excluded), ``noise``,
+    ``positives``, ``exclusions``, ``language``.
+    """
+    c = F.col
+    malformed = c("decision") == "malformed"
+    member = ~malformed & c("group_id").isNotNull()
+    suppressed = member & ~F.coalesce(c("representative"), F.lit(False))
+    unique = ~malformed & ~suppressed
+    eligible = unique & F.coalesce(c("country_eligible"), F.lit(False))
+    joinable = unique & F.coalesce(c("joinable"), F.lit(False))
+    decisions, states = ("publish_candidate", "review_required", "irrelevant"), ("confirmed", "inferred", "unresolved", "conflicting")
+    counts = {
+        "input": F.lit(True), "malformed": malformed, "valid": ~malformed, "duplicate_member": member, "duplicate_group": member & F.coalesce(c("representative"), F.lit(False)),
+        "duplicate_suppressed": suppressed, "unique_valid": unique, "classified": unique & c("decision").isin(*decisions), "country_eligible": eligible, "join_attempt": joinable,
+        "join_success": joinable & F.coalesce(c("joined"), F.lit(False)), "noise": F.coalesce(c("noise"), F.lit(False)), "with_positives": F.size("positives") > 0,
+        "with_exclusions": F.size("exclusions") > 0, "language_known": unique & c("language").isNotNull(), "language_unknown": unique & c("language").isNull(),
+    }
+    for d in decisions:
+        counts |= {f"{d}_input": c("decision") == d, f"{d}_unique": unique & (c("decision") == d), f"{d}_suppressed": suppressed & (c("decision") == d)}
+    for s in states:
+        counts |= {f"country_{s}_{k}": w & (c("country_status") == s) for k, w in (("input", F.lit(True)), ("valid", ~malformed), ("eligible", eligible))}
+    counts |= {f"{s}_match": unique & (c("strength") == s) for s in ("strong", "weak", "excluded")}
+    return {k: F.count_if(F.coalesce(v, F.lit(False))) for k, v in counts.items()}
+
+
+def written_with_report(candidates: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The candidates as a table, and the report that was counted while they were written: one row of counts, ratios and identities.
+
+    No second scan is made: the counts are metrics observed in the write.  ``all_hold`` tells whether all eight identities hold.
+    """
+    spark = candidates.sparkSession
+    counts = report_counts()
+    seen = Observation()
+    kept = scratch.keep(candidates.observe(seen, *[v.alias(k) for k, v in counts.items()]), "candidates")
+    found = seen.get if candidates.columns else {}
+    row = spark.createDataFrame([tuple(int(found.get(k) or 0) for k in counts)], ", ".join(f"{k} long" for k in counts))
+    c = F.col
+    ratio = lambda a, b: F.when(c(b) > 0, F.round(c(a) / c(b), 4))
+    total = lambda *names: sum((c(n) for n in names), F.lit(0).cast("bigint"))
+    states = [f"country_{s}_eligible" for s in ("confirmed", "inferred", "unresolved", "conflicting")]
+    row = row.withColumns({
+        "country_success": total("country_confirmed_eligible", "country_inferred_eligible"), "join_ratio": ratio("join_success", "join_attempt"),
+    }).withColumn("country_ratio", ratio("country_success", "country_eligible"))
+    return kept, aggregates.conserved(row, {
+        "inputs_hold": c("input") == total("valid", "malformed"),
+        "valid_ones_hold": c("valid") == total("publish_candidate_input", "review_required_input", "irrelevant_input"),
+        "duplicates_hold": c("unique_valid") == c("valid") - c("duplicate_suppressed"), "classes_hold": c("classified") == c("unique_valid"),
+        "buckets_hold": c("classified") == total("publish_candidate_unique", "review_required_unique", "irrelevant_unique"),
+        "input_buckets_hold": c("input") == total("malformed", "duplicate_suppressed", "publish_candidate_unique", "review_required_unique", "irrelevant_unique"),
+        "countries_hold": c("country_eligible") == total(*states), "country_successes_hold": c("country_success") == c("country_eligible") - total("country_unresolved_eligible", "country_conflicting_eligible"),
+    })

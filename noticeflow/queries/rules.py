@@ -43,7 +43,6 @@ def favorites_added(spark, sf_dir):
 SELECT user_id, event_id, 'GN-' || lpad(CAST(row_number() OVER (ORDER BY n DESC, user_id) AS VARCHAR), 4, '0') AS review_id
 FROM (SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 100)""")
 def review_numbers(spark, sf_dir):
-    # a review page holds at most a hundred rows, so one task numbers them
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("user_id")]
     return joins.numbered(users.orderBy(*order).limit(100), order, "review_id", "GN-%04d").drop("n")

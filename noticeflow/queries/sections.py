@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sections
+from ..sources import payloads
 from .registry import query, table
 
 #: Items made from events: kinds by number, texts with and without the words that count.
@@ -78,8 +79,10 @@ def api_answers(spark, sf_dir):
         .when(k == 3, '{"resultCode":"99","resultMag":"필수 값"}')
         .otherwise('{"header":{"resultCode":500,"resultMsg":"down"},"body":{}}')
     )
-    e = table(spark, sf_dir, "events").select("event_id", sections.api_answer(answer, "n string").alias("r"))
-    return e.select("event_id", F.col("r.total").cast("int").alias("total"), sections.joined_values(F.transform("r.items", lambda x: x["n"])).alias("names"), "r.error")
+    read = payloads.unwrapped(table(spark, sf_dir, "events").select("event_id", answer.alias("body")))
+    names = sections.joined_values(F.transform("items", lambda x: F.get_json_object(x, "$.n")))
+    error = F.when(F.col("error").isNotNull(), F.concat("error", F.lit("_ERROR: "), "code", F.lit(" "), "message"))
+    return read.select("event_id", F.col("total").cast("int").alias("total"), names.alias("names"), error.alias("error"))
 
 
 @query("""

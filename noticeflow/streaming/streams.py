@@ -42,10 +42,10 @@ def session_counts(stream: DataFrame, time: str, key: str, gap: str, delay: str)
     )
 
 
-def upsert_batches(snapshots: str, keys: Sequence[str], compared: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def upsert_batches(snapshots: str, keys: Sequence[str], compared: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: upserts each batch into the snapshot before and writes the next version.
 
-    The version is the batch id, so a batch that runs again after a failure overwrites its own
+    Of several rows of a key in a batch the last by ``order``, columns that tell the arrival, counts.  The version is the batch id, so a batch that runs again after a failure overwrites its own
     version and nothing else.
     """
 
@@ -55,7 +55,7 @@ def upsert_batches(snapshots: str, keys: Sequence[str], compared: Sequence[str])
             before = batch.limit(0)
         else:
             before = spark.read.schema(batch.schema).parquet(f"{snapshots}/v={batch_id - 1}")
-        upsert(before, batch, keys, compared).drop("status").write.mode("overwrite").parquet(f"{snapshots}/v={batch_id}")
+        upsert(before, batch, keys, compared, order).drop("status").write.mode("overwrite").parquet(f"{snapshots}/v={batch_id}")
 
     return run
 

@@ -1,8 +1,10 @@
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from noticeflow.operators import joins, sections
+from noticeflow.sources import payloads
 
 
 def test_candidates_by_class(spark):
@@ -26,11 +28,26 @@ def test_limit_then_filter_then_limit(spark):
     assert [r.id for r in sections.announcements(df, [F.asc("id")], 1).collect()] == [0] and sections.announcements(df, [F.desc("id")], 1).count() == 0
 
 
-def test_api_answers_that_are_broken(spark):
-    df = spark.createDataFrame([(1, None), (2, "no json"), (3, "{}"), (4, '{"items":[{"n":"a"},5,null]}'), (5, '{"items":{"n":"a"}}')], "id int, t string")
-    got = {r.id: r.r for r in df.select("id", sections.api_answer("t", "n string").alias("r")).collect()}
-    assert [len(got[i]["items"]) for i in (1, 2, 3)] == [0, 0, 0] and all(got[i].error is None and got[i].total == 0 for i in got)
-    assert got[5]["items"][0].n == "a"
+def test_answers_as_they_come(spark):
+    """CDATA, attributes, nested and empty children, prefixes, repeated fields, references, separators, arrays and broken texts."""
+    long = '<?xml version="1.0" encoding="UTF-8"?>\n<n:r xmlns:n="u"><n:header><n:resultCode>00</n:resultCode></n:header><n:body><n:items>'
+    cases = {
+        "<r><resultCode>00</resultCode><items><item><t><![CDATA[a & b]]></t><no type='x'>1</no></item></items><totalCount>1,234</totalCount></r>": (None, 1234, [{"t": "a & b", "no": "1"}]),
+        long + "<item id='3'><no>1</no><sub><no>2</no></sub><e/></item><n:item><n:no>007</n:no></n:item></n:items><totalCount> 2 </totalCount></n:body></n:r>": (None, 2, [{"no": "1", "sub": "", "e": ""}, {"no": "007"}]),
+        "<r><item><a>x &amp; &#8217;</a><a> y </a></item></r>": (None, 0, [{"a": "y"}]),
+        "<r><items/></r>": (None, 0, []),
+        '[{"no":"1"},{"no":2},5,null]': (None, 0, [{"no": "1"}, {"no": 2}]),
+        '{"response":{"header":{"resultCode":"00"},"body":{"items":{"item":{"n":"a"}},"totalCount":"1,234"}}}': (None, 1234, [{"n": "a"}]),
+        '{"items":[{"n":"a"},5,null]}': (None, 0, [{"n": "a"}]),
+        "{}": (None, 0, []),
+        "<r><resultCode>30</resultCode><item><a>1</a></item></r>": ("AUTH", 0, []),
+        "<r><header><resultCode>99</resultCode><resultMag>no PARAMETER</resultMag></header></r>": ("PARAM", 0, []),
+        "<r><resultCode>00</resultCode>": ("PARSE", 0, []),
+        "no json": ("PARSE", 0, []), "[1": ("PARSE", 0, []), "": ("PARSE", 0, []), "<": ("PARSE", 0, []),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None)], "id int, body string").withColumn("items", F.lit("clash"))
+    got = {r.id: (r.error, r.total, [json.loads(x) for x in r["items"]]) for r in payloads.unwrapped(df).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases and got[99] == ("PARSE", 0, [])
 
 
 def test_arrival_order_decides(spark):
