@@ -6,9 +6,9 @@ learned table of one weight per byte and place in the window; a chunk keeps ever
 response.  The mean and the largest of these over all chunks of the document go into one logistic
 unit, whose output is the probability of label 1.
 
-The network is trained on the driver from at most ``TRAIN_ROWS`` labelled rows outside the held-out
-fold, each giving at most ``TRAIN_CHUNKS`` chunks drawn from the whole document (about 16 MB in
-all).  Scoring covers every byte of every document.
+The network is trained on the driver from a sample of labelled rows outside the held-out fold, each with all
+of its chunks: at most ``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` bytes in all, taken in the order of a hash, among rows of
+at most ``LONGEST`` bytes.  Scoring covers every byte of every document.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql.types import BinaryType, DoubleType
 from .common import free_name, small_batches
 
 FILTERS, WIDTH, CHUNK = 24, 5, 512
-#: Bounds of the training sample, least number of passes and of steps.
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, STEPS, BATCH = 4000, 8, 8, 300, 64
+#: Bounds of the training sample: rows, bytes in all, bytes of a row.
+TRAIN_ROWS, TRAIN_BYTES, LONGEST = 4000, 16 << 20, 1 << 16
+#: Least number of passes and of steps; rows and (but for a single longer one) chunks of a step.
+EPOCHS, STEPS, BATCH, BATCH_CHUNKS = 8, 300, 64, 512
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Chunks whose responses are computed at once, and texts that are held as strings.
 PORTION, ROWS = 256, 256
@@ -94,24 +96,22 @@ class Network:
         return np.array(docs), top
 
 
-def draw_chunks(text: str | None, seed: int = 5) -> bytes:
-    """At most TRAIN_CHUNKS chunks of a text, spread over it: each with its number of windows (two bytes), padded.
+def all_chunks(text: str | None) -> bytes:
+    """The chunks of a text, each with its number of windows (two bytes), padded.
 
     The windows are those that scoring sees: the text ends in WIDTH - 1 zeros, and what pads a chunk
     beyond them is never looked at.
     """
     data = (text or "").encode("utf-8", "surrogatepass")
-    n = max(1, -(-len(data) // CHUNK))
-    rng = np.random.default_rng([seed, len(data)])
-    chosen = range(n) if n <= TRAIN_CHUNKS else np.sort(rng.choice(n, TRAIN_CHUNKS, replace=False))
     size = CHUNK + WIDTH - 1
     windows = lambda i: int(min(CHUNK, max(1, len(data)) - i * CHUNK))
-    return b"".join(windows(i).to_bytes(2, "little") + data[i * CHUNK : i * CHUNK + size].ljust(size, b"\0") for i in chosen)
+    n = max(1, -(-len(data) // CHUNK))
+    return b"".join(windows(i).to_bytes(2, "little") + data[i * CHUNK : i * CHUNK + size].ljust(size, b"\0") for i in range(n))
 
 
-def drawn_chunks(drawn: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and bytes of the chunks of ``draw_chunks``."""
-    rows = np.frombuffer(drawn, np.uint8).reshape(-1, CHUNK + WIDTH + 1)
+def windows_and_chunks(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and bytes of the chunks of ``all_chunks``."""
+    rows = np.frombuffer(packed, np.uint8).reshape(-1, CHUNK + WIDTH + 1)
     return np.ascontiguousarray(rows[:, :2]).view("<u2")[:, 0].astype(np.int64), rows[:, 2:]
 
 
@@ -125,7 +125,7 @@ def chunk_responses(tables: np.ndarray, windows: np.ndarray, x: np.ndarray) -> n
 
 
 def train(samples: list[tuple[bytes, int]], seed: int = 3) -> Network:
-    """Fits the network by Adam on (drawn chunks, label) pairs; without rows every score is one half."""
+    """Fits the network by Adam on (chunks, label) pairs; without rows every score is one half."""
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.full(FILTERS, -1.5), rng.normal(0, 0.3, 2 * FILTERS), 0.0
@@ -133,19 +133,17 @@ def train(samples: list[tuple[bytes, int]], seed: int = 3) -> Network:
     if not samples:
         net.weights[:] = 0
         return net
-    drawn = [drawn_chunks(b) for b, _ in samples]
+    drawn = [windows_and_chunks(b) for b, _ in samples]
     docs, all_windows = [x for _, x in drawn], [n for n, _ in drawn]
     labels = np.array([y for _, y in samples], float)
     params = {"tables": net.tables, "bias": net.bias, "weights": net.weights}
     first = {k: np.zeros_like(v, dtype=float) for k, v in params.items()} | {"level": 0.0}
     second = {k: np.zeros_like(v, dtype=float) for k, v in params.items()} | {"level": 0.0}
-    batches = -(-len(docs) // BATCH)
-    epochs = max(EPOCHS, -(-STEPS // batches))
-    step, total = 0, epochs * batches
-    for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), BATCH):
-            batch = order[at : at + BATCH]
+    epochs = max(EPOCHS, -(-STEPS // -(-len(docs) // BATCH)))
+    passes = [batched(rng.permutation(len(docs)), [len(d) for d in docs]) for _ in range(epochs)]
+    step, total = 0, sum(map(len, passes))
+    for batches in passes:
+        for batch in batches:
             x = np.concatenate([docs[i] for i in batch])
             counts = np.array([len(docs[i]) for i in batch])
             owner = np.repeat(np.arange(len(batch)), counts)
@@ -180,6 +178,18 @@ def train(samples: list[tuple[bytes, int]], seed: int = 3) -> Network:
     return net
 
 
+def batched(order: np.ndarray, chunks: list[int]) -> list[np.ndarray]:
+    """The rows in order, cut into steps of bounded rows and chunks."""
+    out, held = [[]], 0
+    for i in order:
+        if out[-1] and (len(out[-1]) == BATCH or held + chunks[i] > BATCH_CHUNKS):
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += chunks[i]
+    return [np.array(b) for b in out]
+
+
 def held_out(id: Column) -> Column:
     """The fold that is never learned from: crc32 of the id as text, modulo FOLDS."""
     return F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
@@ -193,9 +203,19 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         .groupBy(F.col(id).alias("id")).agg(F.min(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
     )
-    drawn = F.arrow_udf(lambda texts: pa.array([draw_chunks(t) for t in texts.to_pylist()], pa.binary()), BinaryType())
+    own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = own.select("id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.max("size").alias("size"))
+    sizes = sizes.where(F.col("size") <= LONGEST).orderBy(F.xxhash64("id"), "id").collect()  # TRAIN_ROWS at most
+    room, taken = TRAIN_BYTES, []
+    for r in sizes:
+        room -= r["size"]
+        if room < 0:
+            break
+        taken.append((r.id, r.label))
+    chosen = docs.sparkSession.createDataFrame(taken, chosen.schema)
+    drawn = F.arrow_udf(lambda texts: pa.array([all_chunks(t) for t in texts.to_pylist()], pa.binary()), BinaryType())
     rows = (
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+        own.join(F.broadcast(chosen), "id")
         .select("id", "label", drawn("text").alias("chunks"))
         .groupBy("id").agg(F.min("chunks").alias("chunks"), F.first("label").alias("label"))
     )

@@ -8,7 +8,10 @@ other, other known sentences between them aside, the first rules are the most sp
 rule has matched is taken out before the next is tried.
 
 Before the cutting, the colon of an SPDX tag and the full stop of "v. 2.0" go, since they end no
-sentence, and each operand of an SPDX expression gets a tag of its own.  Some notices are published
+sentence, each operand of an SPDX expression, however long it is, gets a tag of its own, and
+"License: X" becomes "licensed under X".  After "under" every listed name counts ("the MIT License and
+the Apache License, Version 2.0"), of several that begin alike the longest, and a notice may go on
+after it ("see the LICENSE file for details").  Some notices are published
 with a semicolon or a comma at one place; they are known both whole and by their parts.
 
 Licence files break lines inside sentences, notices put one sentence on a line.  So a text is read
@@ -192,18 +195,25 @@ TEXT_RULES = [
     ("CC0-1.0", ["cc0-waive"]),
 ]
 
+#: What "or later" is called after a licence's name.
+LATER = ("or later", "or any later version", "or at your option any later version", "or newer", "or above")
+VERBS = "licensed|released|distributed|available|published|provided"
 #: What notices put before a licence's name becomes "under"; sentences are normalised already.
 FORM = (
-    "^(?:and )?(?:(?:this|the) (?:[a-z]+ ){1,2}(?:is|are) |it is )?(?:(?:dual|also|made) )?(?:licensed|released|distributed|available|published|provided)"
-    " under (?:the )?(?:terms of (?:the )?)?(?:following license )?"
+    "^(?:and )?(?:(?:(?:this|the|all|our|its) )?(?:[a-z]+ ){1,3}(?:is|are) |it is )?(?:(?:dual|also|made|double) )?"
+    f"(?:{VERBS}) under (?:(?:either|both) )?(?:of )?(?:the )?(?:terms of )?(?:either )?(?:the )?(?:following license )?"
 )
-#: (pattern, replacement) before the cutting: SPDX tags lose their colon, older "+" means or later, each
-#: operand of an expression gets its own tag (two operators a pass), and "v. 2" its full stop.
+#: Words that a name may follow in the list after "under"; what shows that a name is not at its end; words of the longest name.
+LISTED = ("under", "and", "or", "the", "either", "both", "license", "licenses", "of")
+GOES_ON = "^(?:[0-9].*|v[0-9].*|version|later|newer)$"
+MOST_WORDS = 14
+#: Operators of SPDX expressions, the tag with its colon, and lines that begin with "License:".
 TAG = "SPDX-License-Identifier"
+OPERATORS = r"[\x20\t]+(?:OR|AND|WITH)[\x20\t]+"
+TAGGED = rf"(?i){TAG}:[\x20\t]*"
+#: (pattern, replacement) before the cutting.
 BEFORE = (
-    (f"(?i){TAG}:[\\x20\\t]*", f"{TAG} "),
-    (f"({TAG} [^\\r\\n]*?[0-9])\\+", "$1-or-later"),
-    *[(f"({TAG} [^\\r\\n]*?)[\\x20\\t]+(?:OR|AND|WITH)[\\x20\\t]+([^\\r\\n]*)", f"$1\n{TAG} $2")] * 6,
+    (r"(?i)(^|[\r\n])([^A-Za-z0-9\r\n]*)licen[sc]es?[\x20\t]*:{1,2}[\x20\t]*(?:OSI[\x20\t]+Approved[\x20\t]*::[\x20\t]*)?([^\x20\t\r\n])", "$1$2licensed under $3"),
     ("(?i)\\bv\\.[\\x20\\x09-\\x0D]+([0-9])", "v $1"),
 )
 #: Ends of sentences, with line breaks as ends and as spaces (a line without letters, blank or with a
@@ -218,12 +228,32 @@ def plain(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def names() -> dict[str, list[str]]:
+    """Names by licence: the fixed ones, and for each "or later" those of the version alone with what ``LATER`` lists."""
+    out = {k: list(own) for k, own in NAMES.items()}
+    for spdx, own in NAMES.items():
+        later = spdx.replace("-only", "-or-later")
+        if later != spdx:
+            out[later] += [f"{n} {more}" for n in own for more in LATER if f"{n} {more}" not in out[later]]
+    return out
+
+
+def listed_names() -> dict[str, str]:
+    """Names and SPDX identifiers, normalised, as they stand after "under", with the identifiers of their sentences."""
+    out = {n: f"under:{spdx}" for spdx, own in names().items() for n in own}
+    for spdx in NAMES:
+        out.setdefault(plain(spdx), f"under:{spdx}")
+    for old, spdx in OLDER.items():
+        out.setdefault(plain(old), f"under:{spdx}")
+    return out
+
+
 def default_sentences() -> dict[str, list[str]]:
     """The known sentences, normalised, by identifier: texts, names alone, names after "under", SPDX tags."""
     out = {k: [re.sub(FORM, "under ", plain(s)) for s in own] for k, own in TEXTS.items()}
-    for spdx, names in NAMES.items():
-        out[f"name:{spdx}"] = [form + n for n in names for form in ("", "the ")]
-        out[f"under:{spdx}"] = ["under " + n for n in names]
+    for spdx, own in names().items():
+        out[f"name:{spdx}"] = [form + n for n in own for form in ("", "the ")]
+        out[f"under:{spdx}"] = ["under " + n for n, k in LISTED_NAMES.items() if k == f"under:{spdx}"]
         out[f"spdx:{spdx}"] = [plain(f"{TAG} {spdx}")]
     for old, spdx in OLDER.items():
         out[f"spdx:{spdx}"].append(plain(f"{TAG} {old}"))
@@ -231,6 +261,7 @@ def default_sentences() -> dict[str, list[str]]:
     return {k: own if k in TEXTS else [s for s in own if s not in taken] for k, own in out.items()}
 
 
+LISTED_NAMES = listed_names()
 SENTENCES = default_sentences()
 RULES = TEXT_RULES + [(spdx, [f"{kind}:{spdx}"]) for kind in ("spdx", "under", "name") for spdx in NAMES]
 
@@ -249,7 +280,10 @@ def hints(sentences: dict[str, list[str]]) -> list[str]:
     for s in by_sentence(sentences):
         words = [w for w in s.split() if w != "under"]
         most = max(map(len, words))
-        left[s] = {w for w in words if len(w) >= min(6, most)} if most > 3 else {"[^A-Za-z0-9]+".join(words[:2])}
+        if most > 3:
+            left[s] = {w for w in words if len(w) >= min(6, most)}
+        else:  # a short name alone, such as MIT: what must stand before it
+            left[s] = {f"(?:{VERBS})[^A-Za-z0-9]+under|licen[sc]es?[ \\t]*:"} if s.startswith("under ") else {"[^A-Za-z0-9]+".join(words[:2])}
     chosen = []
     while left:
         count: dict[str, int] = {}
@@ -277,12 +311,24 @@ def hinted(low: Column, sentences: dict[str, list[str]]) -> Column:
     return out | F.rlike(low, F.lit("(?i)" + "|".join(pairs))) if pairs else out
 
 
+def operands(text: Column) -> Column:
+    """The text with a tag, without its colon, before every operand of the expression that follows a tag on its line."""
+    parts = F.split(text, TAGGED)
+
+    def own(part: Column) -> Column:
+        line = F.regexp_extract(part, r"^[^\r\n]*", 0)
+        later = F.regexp_replace(line, r"([0-9])\+", "$1-or-later")
+        return F.concat(F.lit(f"{TAG} "), F.regexp_replace(later, OPERATORS, f"\n{TAG} "), F.regexp_replace(part, r"^[^\r\n]*", ""))
+
+    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), own), ""))
+
+
 def before(text: Column) -> Column:
-    """The text with what ``BEFORE`` replaces; tags are rare, and other texts are spared their passes."""
-    tagged = text
-    for pattern, new in BEFORE[:-1]:
-        tagged = F.regexp_replace(tagged, pattern, new)
-    return F.regexp_replace(F.when(F.rlike(text, F.lit(f"(?i){TAG}")), tagged).otherwise(text), *BEFORE[-1])
+    """The text as it is cut; tags are rare, and other texts are spared their pass."""
+    out = F.when(F.rlike(text, F.lit(TAGGED)), operands(text)).otherwise(text)
+    for pattern, new in BEFORE:
+        out = F.regexp_replace(out, pattern, new)
+    return out
 
 
 def normalised(sentence: Column) -> Column:
@@ -294,11 +340,34 @@ def _texts(values) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
-def identifiers(text: Column, breaks: str, sentences: dict[str, list[str]]) -> Column:
-    """Array of the identifiers of the known sentences, in order."""
+def listed(words: Column, known: Column) -> Column:
+    """Identifiers of the names in the list after "under", in order; at each place the longest."""
+
+    def at(p: Column) -> Column:
+        sizes = F.sequence(F.least(F.lit(MOST_WORDS), F.size(words) - p), F.lit(1), F.lit(-1))
+        found = F.transform(
+            sizes,
+            lambda k: F.when(~F.coalesce(F.rlike(F.get(words, p + k), F.lit(GOES_ON)), F.lit(False)), F.element_at(known, F.array_join(F.slice(words, p + 1, k), " "))),
+        )
+        return F.get(F.array_compact(found), 0)
+
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: (p > 0) & F.get(words, p - 1).isin(*LISTED))
+    return F.array_compact(F.transform(places, at))
+
+
+def identifiers(text: Column, breaks: str, sentences: dict[str, list[str]], names: dict[str, str]) -> Column:
+    """Array of the identifiers of the known sentences, and of the names in other notices, in order."""
     table = by_sentence(sentences)
     known = F.map_from_arrays(_texts(table), _texts(table.values()))
-    return F.array_compact(F.transform(F.split(text, breaks), lambda s: F.element_at(known, normalised(s))))
+    known_names = F.map_from_arrays(_texts(names), _texts(names.values())) if names else None
+
+    def of(s: Column) -> Column:
+        whole = F.array_compact(F.array(F.element_at(known, s)))
+        if known_names is None:
+            return whole
+        return F.when(F.startswith(s, F.lit("under ")) & (F.size(whole) == 0), listed(F.split(s, " "), known_names)).otherwise(whole)
+
+    return F.flatten(F.transform(F.transform(F.split(text, breaks), normalised), of))
 
 
 def rule_pattern(seq: list[str]) -> tuple[str, str]:
@@ -307,6 +376,15 @@ def rule_pattern(seq: list[str]) -> tuple[str, str]:
     return "(.*?)".join(parts), "".join(f"${k + 1}" for k in range(len(seq) - 1))
 
 
+def linear_pattern(seq: list[str]) -> tuple[str, str]:
+    """The same matches in one pass: each begins where the last ended, and no part is ever tried again.
+
+    If the first place of an identifier leads to no match, a later one does not either.
+    """
+    parts = ["\\|" + re.sub(r"([^A-Za-z0-9:-])", r"\\\1", i) + "\\|" for i in seq]
+    return "\\G" + "".join(f"(?>(.*?){p})" for p in parts), "".join(f"${k + 1}" for k in range(len(seq)))
+
+
 def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Array of the licences whose rules match, in the order of the rules.
 
@@ -315,7 +393,7 @@ def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """
     text = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|"))
     state = F.struct(text.alias("left"), F.array().cast("array<string>").alias("out"))
-    columns = zip(*[(name, *rule_pattern(seq)) for name, seq in rules])
+    columns = zip(*[(name, *linear_pattern(seq)) for name, seq in rules])
     table = F.arrays_zip(*[_texts(c).alias(k) for k, c in zip(("name", "seq", "rest"), columns)])
 
     def step(acc: Column, rule: Column) -> Column:
@@ -329,7 +407,8 @@ def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
 
 
 def scan(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", sentences: dict[str, list[str]] | None = None, rules: list | None = None
+    docs: DataFrame, id: str = "doc_id", text: str = "text", sentences: dict[str, list[str]] | None = None, rules: list | None = None,
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``sentence_ids`` and ``licenses`` (arrays of strings).
 
@@ -339,11 +418,13 @@ def scan(
     no rows.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
+    if names is None:
+        names = LISTED_NAMES if sentences is SENTENCES else {}
     none = F.array().cast("array<string>")
     # one step after the other: what a later step reads more than once is computed once
     out = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.lower(text).alias("low"))
     out = out.select("id", F.when(hinted(F.col("low"), sentences), before(F.col("text"))).alias("chosen"))
-    out = out.select("id", *[identifiers(F.col("chosen"), b, sentences).alias(f"ids{k}") for k, b in enumerate(BREAKS)])
+    out = out.select("id", *[identifiers(F.col("chosen"), b, sentences, names).alias(f"ids{k}") for k, b in enumerate(BREAKS)])
     more = F.when(F.size("ids1") > F.size("ids0"), F.col("ids1")).otherwise(F.col("ids0"))
     both = F.array_sort(F.array_union(matched(F.col("ids0"), rules), matched(F.col("ids1"), rules)))
     return out.select(F.col("id").alias(id), F.coalesce(more, none).alias("sentence_ids"), F.coalesce(both, none).alias("licenses"))
@@ -356,16 +437,33 @@ def digest(scanned: DataFrame, id: str = "doc_id") -> DataFrame:
     )
 
 
-def oracle_sql(sentences=SENTENCES, rules=RULES) -> str:
+def oracle_sql(sentences=SENTENCES, rules=RULES, names=LISTED_NAMES) -> str:
     """The same scan of ``documents`` in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     back = lambda s: quote(re.sub(r"\$([0-9])", r"\\\1", s))
     known = "MAP {" + ", ".join(f"{quote(s)}: {quote(n)}" for s, n in by_sentence(sentences).items()) + "}"
-    text = f"CASE WHEN regexp_matches(coalesce(text, ''), {quote(hint(sentences))}) THEN text ELSE '' END"
+    listed = "MAP {" + ", ".join(f"{quote(s)}: {quote(n)}" for s, n in names.items()) + "}"
+    chosen = f"CASE WHEN regexp_matches(coalesce(text, ''), {quote(hint(sentences))}) THEN text ELSE '' END"
+    line = "regexp_extract(x, '^[^\\r\\n]*')"
+    own = (
+        f"{quote(TAG + ' ')} || regexp_replace(regexp_replace({line}, '([0-9])\\+', '\\1-or-later', 'g'), {quote(OPERATORS)}, chr(10) || {quote(TAG + ' ')}, 'g')"
+        " || regexp_replace(x, '^[^\\r\\n]*', '')"
+    )
+    text = f"p[1] || array_to_string(list_transform(p[2:], lambda x: {own}), '')"
     for pattern, new in BEFORE:
         text = f"regexp_replace({text}, {quote(pattern)}, {back(new)}, 'g')"
     norm = f"regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), {quote(FORM)}, 'under ')"
-    ids = lambda b: f"list_filter(list_transform(regexp_split_to_array(t, {quote(b)}), lambda s: k[{norm}]), lambda x: x IS NOT NULL)"
+    longest = (
+        f"list_filter(list_transform(range(least({MOST_WORDS}, len(w) - q + 1), 0, -1), lambda j:"
+        f" CASE WHEN NOT coalesce(regexp_full_match(w[q + j], {quote(GOES_ON)}), false) THEN n[array_to_string(w[q : q + j - 1], ' ')] END), lambda y: y IS NOT NULL)[1]"
+    )
+    words = ", ".join(map(quote, LISTED))
+    in_list = f"list_filter(list_transform(list_filter(range(2, len(w) + 1), lambda q: w[q - 1] IN ({words})), lambda q: {longest}), lambda y: y IS NOT NULL)"
+    of = (
+        f"CASE WHEN k[u] IS NOT NULL THEN [k[u]] WHEN starts_with(u, 'under ') THEN list_transform([string_split(u, ' ')], lambda w: {in_list})[1]"
+        " ELSE CAST([] AS VARCHAR[]) END"
+    )
+    ids = lambda b: f"flatten(list_transform(list_transform(regexp_split_to_array(t, {quote(b)}), lambda s: {norm}), lambda u: {of}))"
     steps = []
     for name, seq in rules:
         p, rest = rule_pattern(seq)
@@ -376,7 +474,8 @@ def oracle_sql(sentences=SENTENCES, rules=RULES) -> str:
         f" 'out': CASE WHEN regexp_matches(a.left, r.seq) THEN list_concat(a.out, r.out) ELSE a.out END, 'seq': '', 'rest': ''}},"
         f" {{'left': '|' || array_to_string({ids}, '||') || '|', 'out': CAST([] AS VARCHAR[]), 'seq': '', 'rest': ''}}).out"
     )
-    return f"""WITH h AS (SELECT doc_id, {text} AS t, {known} AS k FROM documents
+    return f"""WITH g AS (SELECT doc_id, regexp_split_to_array({chosen}, {quote(TAGGED)}) AS p FROM documents
+), h AS (SELECT doc_id, {text} AS t, {known} AS k, {listed} AS n FROM g
 ), i AS (SELECT doc_id, {ids(BREAKS[0])} AS ids0, {ids(BREAKS[1])} AS ids1 FROM h
 ), m AS (SELECT doc_id, ids0, ids1, CASE WHEN len(ids0) + len(ids1) > 0 THEN list_concat({hits("ids0")}, {hits("ids1")}) ELSE [] END AS out FROM i)
 SELECT doc_id, array_to_string(CASE WHEN len(ids1) > len(ids0) THEN ids1 ELSE ids0 END, ',') AS sentence_ids,

@@ -5,8 +5,9 @@ times its own words, the excess going to the others by weight.  Documents are de
 their id to the blocks of their source, and the blocks of a source stand in a permuted order; the
 target is whole passes over them and a part of one more.  That gives each source an exact quota of
 block draws.  A splitting tree shares the quotas among the output shards: at every node half of the
-draws go left, how many of each source being drawn from the multivariate hypergeometric law, one
-urn draw per block.  A shard's quotas are then intervals of the sources' permuted draws, disjoint
+draws go left, how many of each source being drawn from the multivariate hypergeometric law: source by
+source, one hypergeometric count by the inverse of its distribution, so that a node costs some standard deviations
+a source and not a step a block.  A shard's quotas are then intervals of the sources' permuted draws, disjoint
 from those of other shards, and its documents are shuffled locally by a hash.
 
 Documents themselves only meet the plan: one small row per block.  The number of blocks is bounded
@@ -24,8 +25,11 @@ from pyspark.sql.window import Window
 from .common import SPACE_CHARS, SPACE_CLASS, Scratch, free_name
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Documents in a block at least, the number of blocks aimed at, and block draws in a shard.
-BLOCK_DOCS, MAX_BLOCKS, SHARD_DRAWS = 256, 1 << 22, 16
+#: Documents in a block at least, the number of blocks aimed at, block draws in a shard, shards in a
+#: partition when the mix is written, and such partitions at most (beyond, each gets more shards).
+BLOCK_DOCS, MAX_BLOCKS, SHARD_DRAWS, PART_SHARDS, MAX_PARTS = 64, 1 << 22, 16, 8, 1 << 15
+#: Standard deviations, and values besides, on either side of the mode that a draw may go.
+REACH, BESIDES = 14, 30
 
 
 def word_count(text: Column) -> Column:
@@ -57,22 +61,70 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     ).drop("cap", "ratio", "level", "found", "weight")
 
 
-def _left_counts(seed: int) -> Column:
-    """For a node's ``quotas``: how many of each source's draws go left, one urn draw per block."""
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def of_source(acc: Column, s: Column) -> Column:
-        start = F.struct(acc["n"].alias("n"), acc["left"].alias("left"), F.lit(0).cast("long").alias("x"))
 
-        def draw(a: Column, i: Column) -> Column:
-            u = F.pmod(F.xxhash64(F.lit(seed), F.col("node"), s["place"], i), F.lit(1 << 53)) / F.lit(float(1 << 53))
-            hit = (u * a["n"] < a["left"]).cast("long")
-            return F.struct((a["n"] - 1).alias("n"), (a["left"] - hit).alias("left"), (a["x"] + hit).alias("x"))
+def _log_factorial(k: Column) -> Column:
+    """ln k!, by a table up to 15 and Stirling's series beyond (error under 1e-12)."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    x = k.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(k < 16, F.get(small, k.cast("int"))).otherwise(series)
+
+
+def hypergeometric(n: Column, q: Column, left: Column, u: Column) -> Column:
+    """How many of ``q`` among ``n`` are in a sample of ``left``: the value to which ``u``, uniform in 0 to 1, falls.
+
+    Values are tried from the mode to both sides, each with its probability from its neighbour's.
+    """
+    lo, hi = F.greatest(F.lit(0).cast("long"), left + q - n), F.least(q, left)
+    x = lambda c: c.cast("double")
+    mode = F.least(hi, F.greatest(lo, F.floor(x(left + 1) * x(q + 1) / x(n + 2)).cast("long")))
+    share = x(q) / x(n)
+    spread = F.sqrt(x(left) * share * (1 - share) * x(n - left) / F.greatest(F.lit(1.0), x(n - 1)))
+    steps = F.least(hi - lo, F.ceil(REACH * spread).cast("long") + BESIDES)
+    given = F.struct(n.alias("n"), q.alias("q"), left.alias("left"), lo.alias("lo"), hi.alias("hi"), mode.alias("mode"), steps.alias("steps"), u.alias("u"))
+
+    def drawn(g: Column) -> Column:
+        choose = lambda a, b: _log_factorial(a) - _log_factorial(b) - _log_factorial(a - b)
+        at_mode = F.exp(choose(g["q"], g["mode"]) + choose(g["n"] - g["q"], g["left"] - g["mode"]) - choose(g["n"], g["left"]))
+        rest = g["n"] - g["q"] - g["left"]
+
+        def step(s: Column, _: Column) -> Column:
+            a, b = s["a"], s["b"]
+            up = F.when(a < g["hi"], s["pa"] * x(g["q"] - a) * x(g["left"] - a) / (x(a + 1) * x(rest + a + 1))).otherwise(0.0)
+            down = F.when(b > g["lo"], s["pb"] * x(b) * x(rest + b) / (x(g["q"] - b + 1) * x(g["left"] - b + 1))).otherwise(0.0)
+            found = F.when(s["x"].isNotNull(), s["x"]).when((a < g["hi"]) & (s["u"] - up <= 0), a + 1).when((b > g["lo"]) & (s["u"] - up - down <= 0), b - 1)
+            return F.struct(
+                (s["u"] - up - down).alias("u"), found.alias("x"), F.when(a < g["hi"], a + 1).otherwise(a).alias("a"), F.when(b > g["lo"], b - 1).otherwise(b).alias("b"),
+                up.alias("pa"), down.alias("pb"),
+            )
+
+        def over(p: Column) -> Column:
+            none = F.lit(None).cast("long")
+            start = F.struct(
+                (g["u"] - p).alias("u"), F.when(g["u"] - p <= 0, g["mode"]).otherwise(none).alias("x"), g["mode"].alias("a"), g["mode"].alias("b"), p.alias("pa"), p.alias("pb")
+            )
+            some = F.when(g["steps"] > 0, F.sequence(F.lit(1).cast("long"), g["steps"])).otherwise(F.array().cast("array<bigint>"))
+            # what rounding leaves over falls to the mode
+            return F.coalesce(F.aggregate(some, start, step)["x"], g["mode"])
+
+        return _let(at_mode, over)
+
+    return _let(given, drawn)
+
 
-        end = F.aggregate(F.sequence(F.lit(1).cast("long"), s["q"]), start, draw)
-        return F.struct(
-            end["n"].alias("n"), end["left"].alias("left"),
-            F.concat(acc["out"], F.array(F.struct(s["place"].alias("place"), s["q"].alias("q"), end["x"].alias("x")))).alias("out"),
-        )
+def _left_counts(seed: int) -> Column:
+    """For a node's ``quotas``: how many of each source's draws go left."""
+
+    def of_source(acc: Column, s: Column) -> Column:
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.col("node"), s["place"]), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))
+        return _let(hypergeometric(acc["n"], s["q"], acc["left"], u), lambda drawn: F.struct(
+            (acc["n"] - s["q"]).alias("n"), (acc["left"] - drawn).alias("left"),
+            F.concat(acc["out"], F.array(F.struct(s["place"].alias("place"), s["q"].alias("q"), drawn.alias("x")))).alias("out"),
+        ))
 
     zero = F.struct(
         F.col("total").alias("n"), F.floor(F.col("total") / 2).cast("long").alias("left"),
@@ -230,4 +282,5 @@ def mix(
     shard = free_name(docs, "shard")
     out = out.select(*docs.columns, F.posexplode("mix__to").alias("mix__copy", shard))
     turn = F.xxhash64(F.lit(seed + 2), F.col(id), F.col("mix__copy"))
-    return out.repartition(n_shards, shard).sortWithinPartitions(shard, turn).drop("mix__copy")
+    parts = min(max(1, n_shards // PART_SHARDS), MAX_PARTS)
+    return out.repartition(parts, shard).sortWithinPartitions(shard, turn).drop("mix__copy")

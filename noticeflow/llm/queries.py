@@ -55,6 +55,14 @@ FROM b
 """
 
 
+def warc_salvage(spark, sf_dir):
+    return warc.salvaged(read(spark, sf_dir, "pages"), F.col("page_id") % 17 == 0)
+
+
+SALVAGE_SQL = """SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'quarantined' ELSE 'recovered' END AS outcome,
+  CASE WHEN page_id % 17 = 0 THEN 'member does not unpack' END AS reason, CASE WHEN page_id % 17 <> 0 THEN true END AS intact FROM pages"""
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_dedup(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
@@ -65,12 +73,13 @@ def op4_byte_bpe(spark, sf_dir):
 
 
 def op5_sharding(spark, sf_dir):
-    # files' names and sizes differ from run to run
-    return sharding.stored(read(spark, sf_dir, "documents")).drop("shard", "tier")
+    # files' names, sizes and the number of rounds differ from run to run; three appends come before the first merge
+    rows = sharding.stored(read(spark, sf_dir, "documents"))
+    return rows.withColumn("merged", F.col("manifest_version") > len(sharding.ARRIVALS)).drop("shard", "tier", "manifest_version")
 
 
-#: One append, one round of merges, and no run that is still to merge (tables of some gigabytes take more rounds).
-OP5_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256, CAST(2 AS BIGINT) AS manifest_version, CAST(0 AS BIGINT) AS runs_left FROM documents"
+#: All rows, no run that is still to merge, and more versions than appends.
+OP5_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256, CAST(0 AS BIGINT) AS runs_left, true AS merged FROM documents"
 
 
 def op6_licenses(spark, sf_dir):
@@ -98,6 +107,25 @@ def op8_mixing(spark, sf_dir):
     return mixing.draws(read(spark, sf_dir, "documents")).withColumn("shards", F.array_join("shards", ","))
 
 
+def mixing_targets(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    sizes = docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("source_size"))
+    return mixing.targets(sizes).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+MIXING_SQL = r"""
+WITH s AS (
+  SELECT source, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')))::BIGINT AS n FROM documents GROUP BY source
+), w AS (
+  SELECT source, n, 2.0::DOUBLE * n AS cap, ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s
+), l AS (
+  SELECT *, cap / w AS ratio, (1.5 * (SELECT sum(n) FROM s) - coalesce(sum(cap) OVER before, 0)) / sum(w) OVER since AS level FROM w
+  WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), since AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+)
+SELECT source, n AS source_size, round(least(cap, coalesce(w * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio), cap)), 3) AS target FROM l
+"""
+
+
 def op9_byte_cnn(spark, sf_dir):
     return byte_cnn.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -178,5 +206,5 @@ def op13_token_store(spark, sf_dir):
     return token_store.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_divergence": op12_divergence, "op13_token_store": op13_token_store, "op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op5_sharding": op5_sharding, "op6_licenses": op6_licenses, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
-ORACLE = {"op11_lexical_search": OP11_SQL, "op12_divergence": OP12_SQL, "op7_tile_cosine": OP7_SQL, "op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op6_licenses": licenses.oracle_sql(), "op10_block_naming": OP10_SQL}
+QUERIES = {"warc_salvage": warc_salvage, "mixing_targets": mixing_targets, "op11_lexical_search": op11_lexical_search, "op12_divergence": op12_divergence, "op13_token_store": op13_token_store, "op1_secrets": op1_secrets, "op2_warc": op2_warc, "op4_byte_bpe": op4_byte_bpe, "op8_mixing": op8_mixing, "op3_simhash": op3_simhash, "op5_sharding": op5_sharding, "op6_licenses": op6_licenses, "op7_tile_cosine": op7_tile_cosine, "op9_byte_cnn": op9_byte_cnn, "op10_block_naming": op10_block_naming}
+ORACLE = {"warc_salvage": SALVAGE_SQL, "mixing_targets": MIXING_SQL, "op11_lexical_search": OP11_SQL, "op12_divergence": OP12_SQL, "op7_tile_cosine": OP7_SQL, "op2_warc": OP2_SQL, "op5_sharding": OP5_SQL, "op6_licenses": licenses.oracle_sql(), "op10_block_naming": OP10_SQL}

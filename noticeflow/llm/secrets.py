@@ -55,48 +55,74 @@ SPREAD, CORRELATION, VOWEL_CORRELATION, MOST, EVEN, LEAST_PAIRS = 1.15, 0.16, 0.
 STEP = 0.05
 
 
+SPANS = "array<struct<start:int,end:int,match:string>>"
+
+
+def _running(values: Column, join) -> Column:
+    """Running sums (or other joins) of an array of integers from the left, in doubling steps.
+
+    Growing an array element by element would copy it each time; this takes a pass over the array for
+    every doubling of its length.
+    """
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(
+        steps, values, lambda acc, s: F.transform(acc, lambda x, i: F.when(i >= s, join(x, F.get(acc, F.greatest(F.lit(0), i - s)))).otherwise(x))
+    )
+
+
 def _cover(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of all leftmost matches that do not overlap, in code points.
 
     The text between the matches gives their places: matches and gaps alternate.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def spans(parts: Column) -> Column:
+        lengths = F.zip_with(parts["found"], F.slice(parts["gaps"], F.lit(1), F.size(parts["found"])), lambda m, g: F.char_length(m) + F.char_length(g))
+        placed = lambda ends: F.zip_with(
+            parts["found"], ends, lambda m, e: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match"))
+        )
+        return _let(_let(lengths, lambda n: _running(n, lambda x, y: x + y)), placed)
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern).alias("gaps"))
+    return F.when(F.rlike(text, F.lit(pattern)), _let(parts, spans)).otherwise(F.array().cast(SPANS))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    spans = F.aggregate(pairs, zero, step)["out"]
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
 
+def _apart(base: Column) -> Column:
+    """Base spans, sorted by start, as spans that do not overlap: each begins where those before it have ended."""
 
-def _left(run: Column, base: Column) -> Column:
+    def cut(ends: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+        each = F.transform(base, lambda b, i: F.struct(F.greatest(b["start"], before(i)).alias("start"), F.greatest(b["end"], before(i)).alias("end")))
+        return F.filter(each, lambda x: x["start"] < x["end"])
+
+    return _let(_running(F.transform(base, lambda b: b["end"]), F.greatest), cut)
+
+
+def _count_below(spans: Column, field: str, limit: Column) -> Column:
+    """How many of the spans, which are in order, have a field of at most ``limit``: a binary search."""
+    bits = F.filter(F.array(*[F.lit(1 << k) for k in reversed(range(31))]), lambda b: b <= F.size(spans))
+    return F.aggregate(
+        bits, F.lit(0), lambda n, b: F.when((n + b <= F.size(spans)) & (F.get(spans, n + b - 1)[field] <= limit), n + b).otherwise(n)
+    )
+
+
+def _left(run: Column, apart: Column) -> Column:
     """Array of (start, end, match) of the pieces of a run between the base spans, if long enough.
 
-    ``base`` is sorted by start; the end of the run closes the last piece.
+    ``apart`` is in order and without overlaps; the run's end closes the last piece.
     """
-    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    cuts = F.concat(
-        F.transform(over, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))),
-        F.array(F.struct(run["end"].alias("start"), run["end"].alias("end"))),
-    )
-    zero = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def step(acc: Column, cut: Column) -> Column:
-        length = cut["start"] - acc["at"]
-        piece = F.struct(
-            acc["at"].alias("start"), cut["start"].alias("end"), F.substring(run["match"], acc["at"] - run["start"] + 1, length).alias("match")
-        )
-        out = F.when(length >= CANDIDATE_LEAST, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], cut["end"]).alias("at"), out.alias("out"))
+    def pieces(over: Column) -> Column:
+        ends = F.concat(F.transform(over, lambda b: b["start"]), F.array(run["end"]))
+        limits = F.transform(ends, lambda e, i: F.struct(F.when(i > 0, F.get(over, i - 1)["end"]).otherwise(run["start"]).alias("start"), e.alias("end")))
+        long = F.filter(limits, lambda x: x["end"] - x["start"] >= CANDIDATE_LEAST)
+        # runs are ASCII, and bytes are found at once
+        part = lambda x: F.substring(run["match"].cast("binary"), x["start"] - run["start"] + 1, x["end"] - x["start"]).cast("string")
+        return F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), part(x).alias("match")))
 
-    return F.when(F.size(over) == 0, F.array(run)).otherwise(F.aggregate(cuts, zero, step)["out"])
+    first = _count_below(apart, "end", run["start"])
+    over = _let(first, lambda n: F.slice(apart, n + 1, F.greatest(F.lit(0), _count_below(apart, "start", run["end"] - 1) - n)))
+    return F.when(F.size(apart) == 0, F.array(run)).otherwise(_let(over, pieces))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -240,7 +266,8 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", share: float =
     long = F.filter("assign", lambda x: F.char_length(F.regexp_extract(x["match"], ASSIGN, 1)) >= ASSIGN_LEAST)
     base = F.concat(F.transform(long, span(0)), F.transform("access", span(1)), F.transform("hex", span(2)))
     t = t.withColumn("base", F.array_sort(base))
-    free = F.flatten(F.transform("runs", lambda r: _left(r, F.col("base"))))
+    t = t.withColumn("apart", _apart(F.col("base")))
+    free = F.flatten(F.transform("runs", lambda r: _left(r, F.col("apart"))))
     tested = F.transform(
         free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), evidence(r["match"]).alias("evidence"))
     )

@@ -28,11 +28,11 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hadoop_path
+from .common import Scratch, free_name, hadoop_path
 
 TARGET_BYTES, TIER_BASE, LEAST_RUN = 128 << 20, 4, 4
 #: Merges that are planned in one job; each is one task.
-JOB_MERGES = 256
+JOB_MERGES = 1024
 #: Tries of a commit before an append gives up; registrations older than so many seconds are of dead writers.
 TRIES, PENDING_SECONDS = 20, 7 * 86400
 
@@ -187,8 +187,8 @@ class ShardStore:
             version, shards = self.manifest()
             large = [s for s in shards if s.bytes > 2 * self.target and s.rows > 1]
             if large:
-                one = large[0]
-                self._replace(version, shards, {one}, rows_of([one]), max(1, one.rows * self.target // one.bytes))
+                # all at once; the widest rows set the rows of a file
+                self._replace(version, shards, set(large), rows_of(large), min(max(1, s.rows * self.target // s.bytes) for s in large))
                 continue
             chosen = self.runs(shards, self.least_run)[:JOB_MERGES]
             if not chosen:
@@ -224,22 +224,36 @@ class ShardStore:
         return removed
 
 
-#: Rows in a shard as it arrives: a share of the table, at most so many.
-ARRIVING_SHARDS, ARRIVING_ROWS = 64, 4096
+#: Arrivals of a store made from one table: shares of its rows, each with the number of shards it comes
+#: in at least; rows of a shard at most; the target of a store as a share of it, where that is less than ``TARGET_BYTES``.
+ARRIVALS, ARRIVING_ROWS, TARGET_SHARE = ((1, 64), (3, 48), (12, 24)), 4096, 8
 
 
-def arrivals_to_store(docs: DataFrame, shard_rows: int | None = None, **options) -> ShardStore:
-    """A store in the shared folder with the rows of ``docs``, appended in small shards and compacted."""
+def arrivals_to_store(docs: DataFrame, shard_rows: int | None = None, target_bytes: int | None = None, **options) -> ShardStore:
+    """A store in the shared folder with the rows of ``docs``, appended in batches of unlike size and compacted.
+
+    Batches are dealt by a hash of the whole row: a sixteenth of the rows comes in the smallest shards, three in larger ones,
+    the rest in the largest, so that merges of small shards meet those of the tiers above.
+    """
     spark = docs.sparkSession
-    store = ShardStore(spark, f"{Scratch(spark, 'sharding').root}/store", **options)
-    rows = shard_rows or max(1, min(ARRIVING_ROWS, -(-docs.count() // ARRIVING_SHARDS)))
-    store.append(docs, rows)
+    store = ShardStore(spark, f"{Scratch(spark, 'sharding').root}/store", target_bytes or TARGET_BYTES, **options)
+    rows, whole = docs.count(), sum(share for share, _ in ARRIVALS)
+    place, begin = F.pmod(F.xxhash64(*docs.columns), F.lit(whole)), 0
+    for share, shards in ARRIVALS:
+        own = shard_rows or max(1, min(ARRIVING_ROWS, -(-rows * share // whole // shards)))
+        store.append(docs.where((place >= begin) & (place < begin + share)), own)
+        begin += share
+    if target_bytes is None:
+        store.target = min(TARGET_BYTES, max(1, sum(s.bytes for s in store.manifest()[1]) // TARGET_SHARE))
     store.compact(docs.schema, vacuum=True)
     return store
 
 
 def placed(store: ShardStore, schema) -> DataFrame:
-    """The rows of a store with ``shard`` (its file), ``tier``, ``manifest_version`` and ``runs_left`` to merge."""
+    """The rows of a store with ``shard`` (its file), ``tier``, ``manifest_version`` and ``runs_left`` to merge.
+
+    Where the rows have columns of these names, underscores are put before the new ones.
+    """
     version, shards = store.manifest()
     back = store.read(schema, version)
     left = len(store.runs(shards, store.least_run))
@@ -248,7 +262,8 @@ def placed(store: ShardStore, schema) -> DataFrame:
     tier = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size, F.lit(1.0)) / (store.target / store.base**4)) / math.log(store.base))).cast("int")
     shard = F.element_at(F.split("_metadata.file_path", "/data/"), -1)
     extra = {"shard": shard, "tier": tier} if shards else {"shard": F.lit(""), "tier": F.lit(0)}
-    return back.withColumns(extra | {"manifest_version": F.lit(version).cast("long"), "runs_left": F.lit(left).cast("long")})
+    extra |= {"manifest_version": F.lit(version).cast("long"), "runs_left": F.lit(left).cast("long")}
+    return back.withColumns({free_name(back, k): v for k, v in extra.items()})
 
 
 def stored(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -258,8 +273,8 @@ def stored(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -
 
     Every row is stored once, repeated rows as often as they come, nulls as nulls, texts whole.  A
     null text has a null digest.  An empty table gives a store without shards and no rows.  Columns
-    keep their names; existing columns of these names are replaced.
+    keep their names and values; new ones get underscores before them where a name is taken.
     """
     store = arrivals_to_store(docs, **options)
     back = placed(store, docs.schema)
-    return back.withColumn("text_sha256", F.sha2(F.col(text), 256)).drop(text)
+    return back.withColumn(free_name(back, "text_sha256"), F.sha2(F.col(text), 256)).drop(text)

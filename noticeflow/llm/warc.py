@@ -22,9 +22,10 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stores import open_store
 from .common import BROADCAST_ROWS, Scratch, small_batches
 
 VERSION = b"WARC/1.1"
@@ -43,15 +44,6 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def open_store(path: str):
-    """(file system, path in it) of a URI or a plain path."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-
-
 def make_record(headers: dict[str, str], block: bytes) -> bytes:
     """One record as a gzip member."""
     head = [VERSION.decode()] + [f"{k}: {v}" for k, v in headers.items() if v is not None]
@@ -138,7 +130,7 @@ class Damaged(Exception):
     pass
 
 
-class Window:
+class Buffered:
     """Random access to a file through one buffered part of it."""
 
     def __init__(self, path: str):
@@ -197,7 +189,7 @@ def verified(headers: dict[str, str], block: bytes) -> dict:
     }
 
 
-def unpack_member(window: Window, start: int) -> tuple[bytes, int]:
+def unpack_member(window: Buffered, start: int) -> tuple[bytes, int]:
     """Content and packed length of the gzip member at ``start``."""
     z, out, at = zlib.decompressobj(31), [], start
     while not z.eof:
@@ -212,7 +204,7 @@ def unpack_member(window: Window, start: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(z.unused_data) - start
 
 
-def record_at(window: Window, start: int) -> tuple[dict, int]:
+def record_at(window: Buffered, start: int) -> tuple[dict, int]:
     """Fields and length in the file of the record that begins at ``start``."""
     if window.get(start, 3) == MAGIC:
         raw, packed = unpack_member(window, start)
@@ -237,7 +229,7 @@ def record_at(window: Window, start: int) -> tuple[dict, int]:
             size = min(need, 4 * size) if length is None else need
 
 
-def next_start(window: Window, at: int) -> int:
+def next_start(window: Buffered, at: int) -> int:
     """The first place from ``at`` on where a gzip member or version line seems to begin; else the end."""
     while at < window.size:
         part = window.get(at, READ_BYTES)
@@ -256,7 +248,7 @@ def salvage(path: str, start: int, end: int) -> Iterator[dict]:
     A range that does not begin the file first searches for a valid record; what lies before it is
     the business of the range with the last valid record before, which logs any gap after it.
     """
-    window = Window(path)
+    window = Buffered(path)
     at, gap, reason, aligned = start, None, None, start == 0
     while at < window.size:
         try:
@@ -359,3 +351,63 @@ def digest(rows: DataFrame, id: str = "page_id") -> DataFrame:
     return rows.where("kind = 'record'").select(
         F.col("page_id").alias(id), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+def damaged_copies(archives: DataFrame, hits: DataFrame, folder: str) -> DataFrame:
+    """Copies of archives with the bytes at the given places inverted: (path of the copy, bytes, records, original).
+
+    ``hits`` has path and at.  Archives without a hit are copied as they are.  A copy is made a part at a time.
+    """
+    places = hits.groupBy("path").agg(F.array_sort(F.collect_list("at")).alias("places"))  # at most one a record of an archive
+    rows = archives.select("path", "bytes", "records").join(places, "path", "left")
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, size, records, at in zip(*(pdf[c].tolist() for c in ("path", "bytes", "records", "places"))):
+                source, name = open_store(path)
+                target, root = open_store(folder)
+                target.create_dir(root, recursive=True)
+                new = f"{uuid.uuid4().hex}.warc.gz"
+                flips, begin = iter([] if at is None else sorted(at)), 0
+                flip = next(flips, None)
+                with source.open_input_stream(name, compression=None) as i, target.open_output_stream(f"{root}/{new}", compression=None) as o:
+                    while part := bytearray(i.read(READ_BYTES)):
+                        while flip is not None and flip < begin + len(part):
+                            part[flip - begin] ^= 0xFF
+                            flip = next(flips, None)
+                        o.write(bytes(part))
+                        begin += len(part)
+                yield pd.DataFrame({"path": [f"{folder}/{new}"], "bytes": [size], "records": [records], "original": [path]})
+
+    return rows.mapInPandas(copy, WRITTEN + ", original string")
+
+
+def salvaged(pages: DataFrame, damaged, id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Writes ``pages`` to archives, damages the records of those for which ``damaged`` holds, and salvages the rest.
+
+    One row per page: id, ``outcome`` (recovered; quarantined: its bytes lie in a logged gap; lost: neither), ``reason`` of the gap and
+    ``intact``, whether a recovered record has the digest it was written with.  ``damaged`` is a condition over ``page_id``; in the
+    middle of such a record one byte is inverted.
+    """
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "salvage")
+    archives = scratch.keep(write_archives(pages, f"{scratch.root}/archives", id, url, payload), "archives")
+    written = scratch.keep(read_archives(spark, archives).where("kind = 'record'").select("path", "start", "end", "page_id", "payload_digest"), "written")
+    hits = written.where(damaged).select("path", F.floor((F.col("start") + F.col("end")) / 2).cast("long").alias("at"))
+    copies = scratch.keep(damaged_copies(archives, hits, f"{scratch.root}/damaged"), "copies")
+    found = read_archives(spark, copies).join(copies.select("path", "original"), "path")
+    found = scratch.keep(found.select(F.col("original").alias("path"), "kind", "start", "end", "reason", F.col("page_id").alias("found_id"), F.col("payload_digest").alias("found_digest")), "found")
+    # the places of a copy are those of its original, so a record is found where it was written, or lies in the last gap before its end
+    records = found.where("kind = 'record'").select("path", "start", "found_id", "found_digest")
+    both = written.join(records, ["path", "start"], "left")
+    gaps = found.where("kind = 'gap'").select("path", F.col("start").alias("at"), F.struct("end", "reason").alias("gap"))
+    events = both.select("path", F.col("start").alias("at"), F.struct("page_id", "payload_digest", "end", "found_id", "found_digest").alias("record"), F.lit(None).cast(gaps.schema["gap"].dataType).alias("gap"))
+    events = events.unionByName(gaps.withColumn("record", F.lit(None).cast(events.schema["record"].dataType)))
+    before = Window.partitionBy("path").orderBy("at", F.col("record").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("gap", F.last("gap", True).over(before)).where("record IS NOT NULL")
+    inside = F.coalesce(F.col("record.end") <= F.col("gap.end"), F.lit(False))
+    outcome = F.when(F.col("record.found_id").isNotNull() | F.col("record.found_digest").isNotNull(), "recovered").when(inside, "quarantined").otherwise("lost")
+    return events.select(
+        F.col("record.page_id").alias(id), outcome.alias("outcome"), F.when(outcome == "quarantined", F.col("gap.reason")).alias("reason"),
+        F.when(outcome == "recovered", F.col("record.found_digest").eqNullSafe(F.col("record.payload_digest")) & F.col("record.found_id").eqNullSafe(F.col("record.page_id"))).alias("intact"),
+    )

@@ -33,9 +33,9 @@ def test_scores_cover_every_window():
 def test_training_sees_what_scoring_sees():
     rng = np.random.default_rng(3)
     net = byte_cnn.Network(rng.normal(0, 1, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(size=FILTERS), rng.normal(size=2 * FILTERS), 0.1)
-    for n in (0, 1, 3, 4, 5, 100, CHUNK - 1, CHUNK, CHUNK + 1, CHUNK + 4, 4 * CHUNK, byte_cnn.TRAIN_CHUNKS * CHUNK):
+    for n in (0, 1, 3, 4, 5, 100, CHUNK - 1, CHUNK, CHUNK + 1, CHUNK + 4, 4 * CHUNK, 20 * CHUNK + 1):
         text = "".join(map(chr, rng.integers(32, 120, n)))
-        trained = byte_cnn.chunk_responses(net.tables, *byte_cnn.drawn_chunks(byte_cnn.draw_chunks(text))).max(axis=1)
+        trained = byte_cnn.chunk_responses(net.tables, *byte_cnn.windows_and_chunks(byte_cnn.all_chunks(text))).max(axis=1)
         scored = np.concatenate([top for _, top in net.responses([text])])
         assert trained.shape == scored.shape and np.allclose(trained, scored, atol=1e-5)
 
@@ -43,7 +43,7 @@ def test_training_sees_what_scoring_sees():
 def test_training_learns_a_pattern_and_is_repeatable():
     rng = np.random.default_rng(1)
     text = lambda bad: " ".join("".join(map(chr, rng.integers(97, 123, 5))) + ("$$" if bad and rng.random() < 0.3 else "") for _ in range(60))
-    samples = [(byte_cnn.draw_chunks(text(i % 4 == 0)), int(i % 4 != 0)) for i in range(400)]
+    samples = [(byte_cnn.all_chunks(text(i % 4 == 0)), int(i % 4 != 0)) for i in range(400)]
     net = byte_cnn.train(samples)
     new = [text(i % 2 == 0) for i in range(60)]
     assert ((net.scores(new) >= 0.3) == (np.arange(60) % 2 == 1)).mean() > 0.95

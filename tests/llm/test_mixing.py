@@ -1,5 +1,6 @@
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,43 @@ def test_edges(spark):
     assert len(got) == 3 and all(r.source_size == 6 and r.target == 9.0 for r in got)
     assert mixing.draws(one.limit(0)).count() == 0 and mixing.mix(one.limit(0)).count() == 0
     assert all(r.taken == 0 for r in mixing.draws(one.withColumn("text", F.lit(" "))).collect())
+
+
+@pytest.mark.parametrize("n, q, left", [(1, 1, 1), (5, 5, 3), (5, 0, 3), (10, 4, 0), (10, 4, 10), (7, 3, 5), (40, 25, 20), (300, 17, 150), (3000, 1400, 1500)])
+def test_counts_follow_the_hypergeometric_law(spark, n, q, left):
+    """Of evenly spread uniforms each value gets its probability's share, to one."""
+    m = 4000
+    u = (F.col("id") + 0.5) / m
+    drawn = spark.range(m).select(mixing.hypergeometric(*(F.lit(v).cast("long") for v in (n, q, left)), u).alias("x"))
+    got = Counter(r.x for r in drawn.collect())
+    for x in range(q + 1):
+        p = math.comb(q, x) * math.comb(n - q, left - x) / math.comb(n, left) if left - x >= 0 else 0
+        assert abs(got.pop(x, 0) - m * p) <= 1.01
+    assert not got
+
+
+def test_large_counts_stay_near_their_mean(spark):
+    n, q, left = 8_000_000, 2_500_000, 4_000_000
+    u = (F.col("id") + 0.5) / 50
+    xs = [r.x for r in spark.range(50).select(mixing.hypergeometric(*(F.lit(v).cast("long") for v in (n, q, left)), u).alias("x")).collect()]
+    deviation = math.sqrt(left * (q / n) * (1 - q / n) * (n - left) / (n - 1))
+    assert all(abs(x - left * q / n) < 6 * deviation for x in xs)
+    assert 0.5 < (sum((x - left * q / n) ** 2 for x in xs) / 50) ** 0.5 / deviation < 1.5
+
+
+def test_a_deep_tree(spark):
+    quotas = spark.createDataFrame([(i, 40 + i) for i in range(30)], "place int, q long")
+    got = mixing.shard_quotas(quotas, 7, Scratch(spark, "deep"), 3).collect()
+    per_place, per_shard = Counter(), Counter()
+    for r in got:
+        per_place[r.place] += r.q
+        per_shard[r.shard] += r.q
+    assert per_place == {i: 40 + i for i in range(30)} and len(per_shard) == 128 and max(per_shard.values()) - min(per_shard.values()) <= 1
+
+
+def test_partitions_are_bounded(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PARTS", 2)
+    monkeypatch.setattr(mixing, "PART_SHARDS", 1)
+    out = mixing.mix(docs)
+    assert out.rdd.getNumPartitions() <= 2
+    assert len({r["_shard"] for r in out.select("_shard").distinct().collect()}) > 4
