@@ -30,14 +30,38 @@ def normalised(s):
     return re.sub(licenses.FORM, "under ", re.sub("[^a-z0-9]+", " ", s.lower()).strip())
 
 
+def tagged(text):
+    """A tag before each operand, typed out without patterns over the whole text."""
+    first, *parts = re.split(licenses.TAGGED, text)
+    for p in parts:
+        line = re.match(r"[^\r\n]*", p)[0]
+        operands = re.split(licenses.OPERATORS, re.sub(r"([0-9])\+", r"\1-or-later", line))
+        first += "\n".join(f"{licenses.TAG} {o}" for o in operands) + p[len(line) :]
+    return first
+
+
+def known_in(sentence, known):
+    if sentence in known:
+        return [known[sentence]]
+    words, out = sentence.split(" "), []
+    for q in range(1, len(words)) if words[0] == "under" else ():
+        if words[q - 1] in licenses.LISTED:
+            for k in range(min(licenses.MOST_WORDS, len(words) - q), 0, -1):
+                name, after = " ".join(words[q : q + k]), " ".join(words[q + k : q + k + 1])
+                if name in licenses.LISTED_NAMES and not re.search(licenses.GOES_ON, after):
+                    out.append(licenses.LISTED_NAMES[name])
+                    break
+    return out
+
+
 def brute(text):
     best, found = [], set()
     known = licenses.by_sentence(licenses.SENTENCES)
-    text = text or ""
+    text = tagged(text or "")
     for pattern, new in licenses.BEFORE:
         text = re.sub(pattern, re.sub(r"\$", r"\\", new), text)
     for b in licenses.BREAKS:
-        ids = [known[n] for s in re.split(b, text) if (n := normalised(s)) in known]
+        ids = [i for s in re.split(b, text) for i in known_in(normalised(s), known)]
         best = list(ids) if len(ids) > len(best) else best
         for name, seq in licenses.RULES:
             at = 0
@@ -77,7 +101,9 @@ def test_own_tables(spark):
 
 def test_tables():
     known = licenses.by_sentence(licenses.SENTENCES)
-    assert all(re.search(licenses.hint(licenses.SENTENCES), s) and s == normalised(s) for s in known)
+    # what "under" stands for is in the text
+    whole = lambda s: "licensed " + s if s.startswith("under ") else s
+    assert all(re.search(licenses.hint(licenses.SENTENCES), whole(s)) and s == normalised(s) for s in known)
     assert {i for _, seq in licenses.RULES for i in seq} <= set(licenses.SENTENCES)
     assert sum(map(len, licenses.SENTENCES.values())) == len(known)  # no sentence has two identifiers
     assert len({name for name, _ in licenses.RULES}) >= 50
