@@ -117,3 +117,19 @@ def test_places(spark, docs):
     got = sharding.stored(docs, target_bytes=60_000)
     own = {(r.shard, r.tier, r.manifest_version, r.runs_left) for r in got.select("shard", "tier", "manifest_version", "runs_left").collect()}
     assert len(own) > 1 and {x[3] for x in own} == {0} and all(x[2] >= 2 and x[1] >= 1 for x in own)
+
+
+def test_names_that_are_taken_stay(spark):
+    rows = [(i, f"t{i}", f"mine{i}", i, "v", None, "d") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, tier int, manifest_version string, runs_left int, text_sha256 string")
+    got = sharding.stored(docs)
+    assert got.columns == ["doc_id", "shard", "tier", "manifest_version", "runs_left", "text_sha256", "_shard", "_tier", "_manifest_version", "_runs_left", "_text_sha256"]
+    assert sorted((r.doc_id, r.shard, r.tier, r.manifest_version, r.runs_left, r.text_sha256) for r in got.collect()) == [(r[0], r[2], r[3], r[4], r[5], r[6]) for r in rows]
+
+
+def test_arrivals_meet_in_several_rounds(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * (i % 50)) for i in range(6000)], "doc_id long, text string")
+    store = sharding.arrivals_to_store(docs)
+    version, shards = store.manifest()
+    assert version > len(sharding.ARRIVALS) + 1  # more than one round of merges
+    assert not store.runs(shards, store.least_run) and sum(s.rows for s in shards) == 6000

@@ -120,3 +120,17 @@ def test_lost_records_are_not_passed_over(spark, tmp_path):
         warc.checked(spark, archives, scratch)
     gaps = spark.read.parquet(re.search(r"gaps in (\S+)", str(e.value))[1]).collect()
     assert len(gaps) == 1 and gaps[0].start <= len(data) // 2 < gaps[0].end and gaps[0].reason
+
+
+def test_salvage_of_damaged_copies(spark):
+    import hashlib
+
+    rows = [(i, f"http://x/{i}", None if i % 50 == 3 else hashlib.sha256(str(i % 90).encode()).hexdigest() * (1 + i % 7)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in warc.salvaged(pages, F.col("page_id").isin(5, 6, 7, 100, 399)).collect()}
+    assert sorted(got) == list(range(400))
+    lost = {i for i, r in got.items() if r.outcome != "recovered"}
+    assert lost == {5, 6, 7, 100, 399} and all(got[i].outcome == "quarantined" and got[i].reason for i in lost)
+    assert all(r.intact for i, r in got.items() if i not in lost)
+    assert {r.outcome for r in warc.salvaged(pages, F.lit(False)).collect()} == {"recovered"}
+    assert warc.salvaged(pages.limit(0), F.lit(True)).count() == 0
