@@ -29,7 +29,7 @@ def nodes(df: DataFrame, keys: Sequence[str], payload: str, scratch: Scratch) ->
     level = df.select(*keys, F.try_parse_json(payload).alias("value")).where("value IS NOT NULL")
     level = level.select(*keys, F.lit(0).alias("depth"), F.array().cast("array<string>").alias("place"), F.lit("value").alias("name"), "value")
     level = scratch.keep(level.withColumn("kind", _kind(F.col("value"))), "level")
-    found, depth = level, 0
+    levels, depth = [level], 0
     while not level.where(F.col("kind").isin("object", "array")).isEmpty():
         depth += 1
         below = level.where(F.col("kind").isin("object", "array")).lateralJoin(
@@ -39,8 +39,9 @@ def nodes(df: DataFrame, keys: Sequence[str], payload: str, scratch: Scratch) ->
         step = F.coalesce("key", F.col("pos").cast("string"))
         level = below.select(*keys, F.lit(depth).alias("depth"), F.concat("place", F.array(step)).alias("place"), own.alias("name"), F.col("inner").alias("value"))
         level = scratch.keep(level.withColumn("kind", _kind(F.col("value"))), "level")
-        found = found.unionByName(level)
-    return found
+        levels.append(level)
+    # one scan of all levels' files, not a union of as many plans
+    return df.sparkSession.read.schema(level.schema).parquet(*[x._scratch_path for x in levels])
 
 
 def _kind(value: Column) -> Column:

@@ -30,7 +30,7 @@ def payloads():
     rng = random.Random(9)
     out = [json.dumps(made(rng, rng.randint(1, 6)), ensure_ascii=False) for _ in range(150)]
     deep = {"no": "N7"}
-    for i in range(40):
+    for i in range(10):
         deep = {"d": [deep, i]}
     return [*out, json.dumps(deep), None, "", "{", '{"a":1,"a":2}', "[]", "{}", "null", '"N7"']
 
