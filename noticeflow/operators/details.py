@@ -145,25 +145,38 @@ def detail_records(pages: DataFrame, hosts: Sequence[str], words: Words = WORDS)
     (a confirmed notice, reason in ``link_reason``), ``excluded`` for pages that speak of no contest, ``failed`` for pages
     that were not read.
     """
-    p = pages.withColumn("_lines", lines("html")).withColumn("page_title", html.title("html"))
-    p = p.withColumn("title", F.coalesce(F.nullif("page_title", F.lit("")), collapse("listed_title"), F.lit("")))
-    p = p.withColumn("attachments", html.attachments("html"))
-    found = F.col("_lines")
-    text = F.concat_ws(" ", "title", F.array_join(found, " "), F.array_join(F.transform("attachments", lambda a: a["name"]), " "))
-    p = p.withColumn("_kind", kind(text, words))
-    link = verdict(F.col("url"), hosts, F.col("record_id"), F.coalesce(F.nullif(collapse("listed_title"), F.lit("")), F.col("title")), F.col("title"), found, F.col("status"), words)
-    p = p.withColumns({
-        "class": F.col("_kind.status"), "stage": F.col("_kind.stage"), "link_reason": link, "posted_at": F.get(dates(F.array_join(found, "\n")), 0),
-        "deadline_at": deadline(found, words), "schedule": schedule(found, words), "amount": amount(found, words), "homes": homes(found, words),
-        "sites": named(F.col("title"), found, words.place, r"[\p{L}0-9·ㆍ-]{2,40}?"), "blocks": named(F.col("title"), found, words.block, r"\b[\p{L}0-9-]{1,16}\s?"),
-        "summary": summary(found, words), "modular": scoring.modular_relevance(text),
-    })
+    # a page is taken apart once: what later steps read several times is bound to a variable
+    page = F.struct(
+        lines("html").alias("lines"), html.title("html").alias("page_title"), html.attachments("html").alias("attachments"), collapse("listed_title").alias("listed"),
+        *[F.col(c).alias(c) for c in ("record_id", "url", "status")],
+    )
+
+    def titled(r: Column) -> Column:
+        title = F.coalesce(F.nullif(r["page_title"], F.lit("")), r["listed"])
+        text = F.concat_ws(" ", title, F.array_join(r["lines"], " "), F.array_join(F.transform(r["attachments"], lambda a: a["name"]), " "))
+        return F.struct(r.alias("page"), title.alias("title"), text.alias("text"))
+
+    def fields(t: Column) -> Column:
+        r, found, title = t["page"], t["page"]["lines"], t["title"]
+        expected = F.coalesce(F.nullif(r["listed"], F.lit("")), title)
+        own = kind(t["text"], words)
+        return F.struct(
+            r["page_title"].alias("page_title"), title.alias("title"), r["attachments"].alias("attachments"), own["status"].alias("class"), own["stage"].alias("stage"),
+            verdict(r["url"], hosts, r["record_id"], expected, title, found, r["status"], words).alias("link_reason"), F.get(dates(F.array_join(found, "\n")), 0).alias("posted_at"),
+            deadline(found, words).alias("deadline_at"), schedule(found, words).alias("schedule"), amount(found, words).alias("amount"), homes(found, words).alias("homes"),
+            named(title, found, words.place, r"[\p{L}0-9·ㆍ-]{2,40}?").alias("sites"), named(title, found, words.block, r"\b[\p{L}0-9-]{1,16}\s?").alias("blocks"),
+            summary(found, words).alias("summary"), scoring.modular_relevance(t["text"]).alias("modular"),
+        )
+
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    p = pages.withColumn("_fields", let(let(page, titled), fields))
+    p = p.withColumns({f: F.col(f"_fields.{f}") for f in p.schema["_fields"].dataType.names})
     read = F.coalesce((F.col("status") == 200) & (F.coalesce("html", F.lit("")) != ""), F.lit(False))
     outcome = (
         F.when(~read, "failed").when(F.col("class") == "excluded", "excluded").when(F.col("class") == "result", "result").when(F.col("class") != "confirmed", "review")
         .when(F.col("link_reason") == "verified", "opportunity").otherwise("unverified")
     )
-    return p.withColumn("outcome", outcome).drop("_lines", "_kind")
+    return p.withColumn("outcome", outcome).drop("_fields")
 
 
 def detail_items(records: DataFrame, words: Words = WORDS) -> DataFrame:
