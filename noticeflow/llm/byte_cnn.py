@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from .common import free_name, small_batches
+from .common import free_name, release_memory, small_batches
 
 FILTERS, WIDTH, CHUNK = 24, 5, 512
 #: Bounds of the training sample: rows, bytes in all, bytes of a row.
-TRAIN_ROWS, TRAIN_BYTES, LONGEST = 4000, 16 << 20, 1 << 16
+TRAIN_ROWS, TRAIN_BYTES, LONGEST = 4000, 8 << 20, 1 << 16
 #: Least number of passes and of steps; rows and (but for a single longer one) chunks of a step.
-EPOCHS, STEPS, BATCH, BATCH_CHUNKS = 8, 300, 64, 512
+EPOCHS, STEPS, BATCH, BATCH_CHUNKS = 8, 300, 64, 128
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Chunks whose responses are computed at once, and texts that are held as strings.
 PORTION, ROWS = 256, 256
@@ -219,7 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         .select("id", "label", drawn("text").alias("chunks"))
         .groupBy("id").agg(F.min("chunks").alias("chunks"), F.first("label").alias("label"))
     )
-    return train([(bytes(r.chunks), r.label) for r in sorted(rows.collect(), key=lambda r: r.id)])
+    net = train([(bytes(r.chunks), r.label) for r in sorted(rows.collect(), key=lambda r: r.id)])
+    release_memory()  # the driver keeps running
+    return net
 
 
 def score_column(docs: DataFrame, net: Network, text: str = "text") -> Column:

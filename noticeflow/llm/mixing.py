@@ -27,7 +27,7 @@ from .common import SPACE_CHARS, SPACE_CLASS, Scratch, free_name
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Documents in a block at least, the number of blocks aimed at, block draws in a shard, shards in a
 #: partition when the mix is written, and such partitions at most (beyond, each gets more shards).
-BLOCK_DOCS, MAX_BLOCKS, SHARD_DRAWS, PART_SHARDS, MAX_PARTS = 64, 1 << 22, 16, 8, 1 << 15
+BLOCK_DOCS, MAX_BLOCKS, SHARD_DRAWS, PART_SHARDS, MAX_PARTS = 256, 1 << 22, 16, 8, 1 << 15
 #: Standard deviations, and values besides, on either side of the mode that a draw may go.
 REACH, BESIDES = 14, 30
 
