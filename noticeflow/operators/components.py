@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -23,8 +24,8 @@ def key_edges(rows: DataFrame, id: str, keys: Mapping[str, Column]) -> DataFrame
     return each.join(hubs, ["reason", "key"]).where("a <> b").select("a", "b", "reason")
 
 
-#: Parts of a block of titles that are compared in different tasks.
-SALTS = 8
+#: Rows and characters of a cell of titles; classes by which characters are counted.
+CELL_ROWS, CELL_CHARS, CLASSES = 4096, 4_000_000, 32
 
 
 @F.pandas_udf(DoubleType())
@@ -35,63 +36,110 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype=float)
 
 
-def close_ratio(least: float) -> Callable[[Column, Column], Column]:
-    """``sequence_ratio`` of pairs that can reach ``least``; null where the shared characters rule it out."""
+def common_at_most(x: str, y: str) -> int:
+    """Length of the longest common subsequence, which no matching of characters in order exceeds; a word of bits for all of ``x``."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    row = whole
+    for c in y:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(x) - row.bit_count()
 
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
 
-        def one(x: str, y: str) -> float | None:
-            m = SequenceMatcher(None, x, y)
-            return m.ratio() if m.quick_ratio() >= least else None
+def close_pairs(least: float, days: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For two cells of titles the edges (a, b) between them: of all pairs counts by class, then common subsequences, then ratios."""
+    low = least / (2 - least) * (1 - 1e-9)
+
+    def counted(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        rows = rows.sort_values("n", ignore_index=True)
+        kind = "uint16" if rows.n.max() < 1 << 16 else "uint32"
+        counts = [np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES) for t in rows.title]
+        return rows, np.array(counts, kind)
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        from difflib import SequenceMatcher
 
-    return ratio
+        out: list[tuple[object, object]] = []
+        known: dict[tuple[str, str], bool] = {}
+
+        def close(x: str, y: str) -> bool:
+            if (x, y) not in known:
+                size = len(x) + len(y)
+                known[x, y] = x == y or (2.0 * common_at_most(x, y) / size >= least and SequenceMatcher(None, x, y).ratio() >= least)
+            return known[x, y]
+
+        if len(left) and len(right):
+            own = left.cell.iloc[0] == right.cell.iloc[0]
+            (left, one), (right, two) = counted(left), counted(right)
+            n, at, ids = (right[c].to_numpy() for c in ("n", "at", "id"))
+            texts = right.title.tolist()
+            ends = np.searchsorted(n, left.n.to_numpy() / low + 1, "right")
+            begins = np.searchsorted(n, left.n.to_numpy() * low - 1, "left")
+            for i, r in enumerate(left.itertuples(index=False)):
+                s = slice(begins[i], ends[i])
+                both = np.minimum(two[s], one[i]).sum(axis=1, dtype="int64")
+                ok = (2.0 * both / np.maximum(n[s] + r.n, 1) >= least) | (n[s] + r.n == 0)
+                ok &= np.abs(at[s] - r.at) <= days
+                if own:
+                    ok &= ids[s] > r.id
+                for j in np.flatnonzero(ok) + s.start:
+                    first = r.id < ids[j]
+                    if close(*((r.title, texts[j]) if first else (texts[j], r.title))):
+                        out.append((ids[j], r.id) if first else (r.id, ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
 
 
 def close_title_edges(rows: DataFrame, id: str, title: str, domain: str, day: str, days: int = 2, least: float = 0.92) -> DataFrame:
     """Edges between rows of one domain at most so many days apart whose titles are nearly equal.
 
     Rows of one domain, title and day are one node: each points to the smallest id, and only nodes are
-    compared, so copies never multiply.  Equal titles on different days need no ratio.  Days are dealt
-    to blocks of days + 1, and a node also visits the block after its own.  A ratio of r needs titles
-    that share r / 2 of all their characters, so lengths and then counts of characters by class (one
-    array per title, compared in built-in functions) rule out nearly all pairs before the sequence is
-    looked at.
+    compared, so copies never multiply.  Days are dealt to blocks of days + 1; a block's nodes are cut by
+    length into cells of bounded size, and a task compares two cells, of one block or the next, whose lengths
+    allow the ratio.  A ratio of r needs titles that share r / 2 of all their characters, so counts of characters
+    by class, of all pairs at once, and then their longest common subsequence rule out nearly all pairs
+    before the sequence is looked at.  No text is too frequent and no title too long to be compared.
     """
     width = days + 1
     at = F.datediff(F.to_date(day), F.lit("1970-01-01").cast("date"))
     base = rows.where(F.col(title).isNotNull() & F.col(day).isNotNull()).select(
         F.col(id).alias("id"), F.col(title).alias("title"), F.col(domain).alias("domain"), at.alias("at")
     )
+    scratch = Scratch(rows.sparkSession, "titles")
     nodes = base.groupBy("domain", "title", "at").agg(F.min("id").alias("id"))
-    n = F.char_length("title")
-    # characters by the last four bits of their code: two titles share at most the lesser count of each class
-    codes = F.transform(F.split("title", ""), lambda c: F.ascii(c).bitwiseAND(15))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(F.col("codes"), lambda c: c == k)))
-    nodes = nodes.withColumn("codes", codes).withColumn("counts", counts).drop("codes").withColumn("n", n).withColumn("block", F.floor(F.col("at") / width))
-    nodes = Scratch(rows.sparkSession, "titles").keep(nodes, "nodes")
+    nodes = scratch.keep(nodes.where("domain is not null").withColumns({"n": F.char_length("title"), "block": F.floor(F.col("at") / width)}), "nodes")
     own = base.join(nodes.select("domain", "title", "at", F.col("id").alias("first")), ["domain", "title", "at"]).where("id <> first")
-    ends = nodes.withColumn("meet", F.explode(F.array("block", F.col("block") + 1)))
-    right = nodes.select(*[F.col(c).alias(f"{c}2") for c in nodes.columns])
-    both = F.aggregate(F.zip_with("counts", "counts2", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    # salted: a node meets the parts of its block one by one, so that no task has all of a busy domain
-    salt = F.pmod(F.xxhash64("id2"), F.lit(SALTS)).cast("int")
-    ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = ends.join(right.withColumn("salt2", salt), (F.col("domain") == F.col("domain2")) & (F.col("meet") == F.col("block2")) & (F.col("salt") == F.col("salt2"))).where(
-        ((F.col("block") < F.col("block2")) | (F.col("id") < F.col("id2")))
-        & (F.abs(F.col("at") - F.col("at2")) <= days)
-        & (2.0 * F.least("n", "n2") >= least * (F.col("n") + F.col("n2")))
-        & (2.0 * both >= least * (F.col("n") + F.col("n2")))
+    # lengths in order, as a table of their counts; a length of more rows than a cell holds is dealt by id
+    lengths = nodes.groupBy("domain", "block", "n").agg(F.count(F.lit(1)).alias("rows"))
+    until = Window.partitionBy("domain", "block").orderBy("n")
+    full = F.greatest(F.sum("rows").over(until) / CELL_ROWS, F.sum(F.col("rows") * F.col("n")).over(until) / CELL_CHARS)
+    lengths = lengths.withColumn("part", F.floor(full))
+    size = Window.partitionBy("domain", "block", "part")
+    dealt = F.ceil(F.greatest(F.sum("rows").over(size) / CELL_ROWS, F.sum(F.col("rows") * F.col("n")).over(size) / CELL_CHARS))
+    lengths = scratch.keep(lengths.withColumn("dealt", F.greatest(dealt, F.lit(1)).cast("int")), "lengths")
+    cells = lengths.groupBy("domain", "block", "part", "dealt").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1))).withColumn("cell", F.struct("block", "part", "salt")).drop("dealt", "part", "salt")
+    other = cells.select("domain", F.col("block").alias("meet"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("cell").alias("cell2"))
+    low = least / (2 - least) * (1 - 1e-9)
+    tiles = cells.withColumn("meet", F.explode(F.array("block", F.col("block") + 1))).join(other, ["domain", "meet"]).where(
+        ((F.col("meet") > F.col("block")) | (F.col("cell") <= F.col("cell2"))) & (F.col("least2") * low - 1 <= F.col("most")) & (F.col("least") * low - 1 <= F.col("most2"))
+    )
+    tiles = scratch.keep(tiles.select("domain", "cell", "cell2"), "tiles")
+    placed = nodes.join(lengths.select("domain", "block", "n", "part", "dealt"), ["domain", "block", "n"])
+    salt = F.pmod(F.xxhash64("id"), F.col("dealt")).cast("int")
+    placed = placed.select("domain", F.struct("block", "part", salt.alias("salt")).alias("own"), "id", "title", "at", "n")
+    # each side has columns of its own: both are made of the same tables
+    side = lambda c: placed.join(tiles.withColumn("own", F.col(c)), ["domain", "own"]).select(
+        *[F.col(x).alias(x) for x in ("domain", "id", "title", "at", "n")], *[F.to_json(x).alias(y) for x, y in (("cell", "one"), ("cell2", "two"), ("own", "cell"))]
     )
-    first = F.col("id") < F.col("id2")
-    x, y = F.when(first, F.col("title")).otherwise(F.col("title2")), F.when(first, F.col("title2")).otherwise(F.col("title"))
-    scored = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"), x.alias("x"), y.alias("y"))
-    same = scored.where("x = y").select("a", "b")
-    close = scored.where("x <> y").withColumn("r", close_ratio(least)("x", "y")).where(F.col("r") >= least).select("a", "b")
-    every = own.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(same).unionByName(close)
+    keys = ("domain", "one", "two")
+    kind = nodes.schema["id"].dataType.simpleString()
+    close = side("cell").groupBy(*keys).cogroup(side("cell2").groupBy(*keys)).applyInPandas(close_pairs(least, days), f"a {kind}, b {kind}")
+    every = own.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(close)
     return every.select("a", "b", F.lit("near_title").alias("reason"))
 
 
