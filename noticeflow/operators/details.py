@@ -45,11 +45,11 @@ DATE = r"20\d{2}(?:[./-]\s*\d{1,2}[./-]\s*\d{1,2}|년\s*\d{1,2}월\s*\d{1,2}일)
 BLOCK_ENDS = r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|td|th|dt|dd|title|table|ul|ol|article|section)\s*>"
 
 
-def lines(page: Column | str) -> Column:
+def lines(page: Column | str, bare: bool = True) -> Column:
     """Array of the page's lines that are not blank: block elements and breaks end a line, references are decoded."""
     t = F.regexp_replace(F.coalesce(col(page), F.lit("")), r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), BLOCK_ENDS, "\n")
-    t = html.unescaped(F.regexp_replace(t, r"<[^>]*>", " "))
+    t = html.unescaped(F.regexp_replace(t, r"<[^>]*>", " "), bare)
     return F.filter(F.transform(F.split(t, "\n"), collapse), lambda x: x != "")
 
 
@@ -138,16 +138,16 @@ def verdict(url: Column, hosts: Sequence[str], record: Column, expected: Column,
     )
 
 
-def detail_records(pages: DataFrame, hosts: Sequence[str], words: Words = WORDS) -> DataFrame:
+def detail_records(pages: DataFrame, hosts: Sequence[str], words: Words = WORDS, bare: bool = True) -> DataFrame:
     """Pages (source, record_id, listed_title, url, status, html and more) with the record's fields and its ``outcome``.
 
     ``outcome``: ``opportunity`` for confirmed notices whose link is verified, ``result``, ``review``, ``unverified``
     (a confirmed notice, reason in ``link_reason``), ``excluded`` for pages that speak of no contest, ``failed`` for pages
-    that were not read.
+    that were not read.  ``bare``: whether character references count without their semicolon too.
     """
     # a page is taken apart once: what later steps read several times is bound to a variable
     page = F.struct(
-        lines("html").alias("lines"), html.title("html").alias("page_title"), html.attachments("html").alias("attachments"), collapse("listed_title").alias("listed"),
+        lines("html", bare).alias("lines"), html.title("html", bare).alias("page_title"), html.attachments("html", bare=bare).alias("attachments"), collapse("listed_title").alias("listed"),
         *[F.col(c).alias(c) for c in ("record_id", "url", "status")],
     )
 
