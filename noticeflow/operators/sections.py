@@ -89,7 +89,14 @@ def by_class(items: DataFrame, classes: Sequence[str], kind: str, published: str
 def amount_shown(c: Column | str) -> Column:
     """An amount for display: - without one or for zero, hundreds of millions with a decimal, else in full."""
     n = col(c).cast("double").cast("bigint")
-    large = F.concat(F.format_string("%.1f", n / F.lit(1e8)), F.lit("억 원"))
+    # one decimal of the very double, as formats of other languages have it: its fraction is a whole number of 1 / 2 ** 52
+    units, half = n / F.lit(1e8), 1 << 51
+    whole = F.floor(units)
+    tenths = ((units - whole) * F.lit(float(1 << 52))).cast("bigint") * 10
+    down, rest = F.shiftright(tenths, 52), tenths.bitwiseAND((1 << 52) - 1)
+    up = F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
+    digit = down + up
+    large = F.concat((whole + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"), F.lit("억 원"))
     return F.when(n.isNull() | (n == 0), "-").when(n >= 100_000_000, large).otherwise(F.concat(F.format_number(n, 0), F.lit("원")))
 
 
