@@ -24,8 +24,8 @@ def key_edges(rows: DataFrame, id: str, keys: Mapping[str, Column]) -> DataFrame
     return each.join(hubs, ["reason", "key"]).where("a <> b").select("a", "b", "reason")
 
 
-#: Rows and characters of a cell of titles; classes by which characters are counted.
-CELL_ROWS, CELL_CHARS, CLASSES = 4096, 4_000_000, 32
+#: Rows and characters of a cell of titles; classes by which characters, and runs of GRAM characters, are counted.
+CELL_ROWS, CELL_CHARS, CLASSES, GRAM, GRAM_CLASSES = 4096, 4_000_000, 32, 3, 1024
 
 
 @F.pandas_udf(DoubleType())
@@ -50,14 +50,22 @@ def common_at_most(x: str, y: str) -> int:
 
 
 def close_pairs(least: float, days: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """For two cells of titles the edges (a, b) between them: of all pairs counts by class, then common subsequences, then ratios."""
+    """For two cells of titles the edges (a, b) between them: of all pairs counts by class, then of runs, then common subsequences, then ratios.
+
+    A character that is left out changes at most 2 * GRAM - 1 counts of runs by one, and at most (1 - least) of both titles' are.
+    """
     low = least / (2 - least) * (1 - 1e-9)
 
-    def counted(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    def counted(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
         rows = rows.sort_values("n", ignore_index=True)
         kind = "uint16" if rows.n.max() < 1 << 16 else "uint32"
-        counts = [np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES) for t in rows.title]
-        return rows, np.array(counts, kind)
+        counts, runs = np.empty((len(rows), CLASSES), kind), np.empty((len(rows), GRAM_CLASSES), kind)
+        for i, t in enumerate(rows.title):
+            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype("int64")
+            counts[i] = np.bincount(codes % CLASSES, minlength=CLASSES)
+            run = sum(codes[k : max(len(codes) - GRAM + 1 + k, 0)] * m for k, m in enumerate((1, 131, 17_161)))
+            runs[i] = np.bincount(run % 1021, minlength=GRAM_CLASSES)
+        return rows, counts, runs
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
@@ -73,7 +81,7 @@ def close_pairs(least: float, days: int) -> Callable[[tuple, pd.DataFrame, pd.Da
 
         if len(left) and len(right):
             own = left.cell.iloc[0] == right.cell.iloc[0]
-            (left, one), (right, two) = counted(left), counted(right)
+            (left, one, run), (right, two, runs) = counted(left), counted(right)
             n, at, ids = (right[c].to_numpy() for c in ("n", "at", "id"))
             texts = right.title.tolist()
             ends = np.searchsorted(n, left.n.to_numpy() / low + 1, "right")
@@ -85,7 +93,10 @@ def close_pairs(least: float, days: int) -> Callable[[tuple, pd.DataFrame, pd.Da
                 ok &= np.abs(at[s] - r.at) <= days
                 if own:
                     ok &= ids[s] > r.id
-                for j in np.flatnonzero(ok) + s.start:
+                near = np.flatnonzero(ok) + s.start
+                shared = np.minimum(runs[near], run[i]).sum(axis=1, dtype="int64")
+                apart = np.maximum(n[near] - GRAM + 1, 0) + max(r.n - GRAM + 1, 0) - 2 * shared
+                for j in near[apart <= (2 * GRAM - 1) * (1 - least) * (n[near] + r.n) + 1e-6 * n[near] + 1e-6]:
                     first = r.id < ids[j]
                     if close(*((r.title, texts[j]) if first else (texts[j], r.title))):
                         out.append((ids[j], r.id) if first else (r.id, ids[j]))
