@@ -16,12 +16,17 @@ from .shared import Scratch
 def key_edges(rows: DataFrame, id: str, keys: Mapping[str, Column]) -> DataFrame:
     """Star edges (a, b, reason): every row of a key points to the smallest id with that key.
 
-    A key with many rows gives one edge per row, never one per pair.
+    A key with many rows gives one edge per row, never one per pair.  Keys may be costly, such as hashes
+    of whole texts: they are computed once per row, into the shared folder, and removed when the edges are written.
     """
+    scratch = Scratch(rows.sparkSession, "keys")
     marks = F.array(*[F.struct(F.lit(n).alias("reason"), k.cast("string").alias("key")) for n, k in keys.items()])
     each = rows.select(F.col(id).alias("a"), F.explode(marks).alias("m")).select("a", "m.reason", "m.key").where("key is not null and key <> ''")
-    hubs = each.groupBy("reason", "key").agg(F.min("a").alias("b"))
-    return each.join(hubs, ["reason", "key"]).where("a <> b").select("a", "b", "reason")
+    each = scratch.keep(each, "keys")
+    hubs = each.groupBy("reason", "key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most").drop("most")
+    edges = scratch.keep(each.join(hubs, ["reason", "key"]).where("a <> b").select("a", "b", "reason"), "edges")
+    scratch.drop(each)
+    return edges
 
 
 #: Rows and characters of a cell of titles; classes by which characters, and runs of GRAM characters, are counted.
@@ -195,6 +200,7 @@ def duplicate_groups(edges: DataFrame, reasons: Sequence[str], listed: int = LIS
     hashes, which any order of adding gives alike.  The reason is the first in the given order.
     """
     scratch = Scratch(edges.sparkSession, "groups")
+    edges = scratch.keep(edges, "edges")  # read for the components and for the reasons
     roots = scratch.keep(components(edges, scratch), "roots")
     members = roots.select("root", F.col("node").alias("id")).unionByName(roots.select("root", F.col("root").alias("id")).distinct())
     rank = F

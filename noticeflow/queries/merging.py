@@ -224,10 +224,11 @@ def provider_state(spark, sf_dir):
 def document_edges(spark, sf_dir):
     """Whole fields as keys: the text, its words, and its first line with language and source."""
     d = table(spark, sf_dir, "documents")
-    words, head = text.unicode_words("text"), text.unicode_words(F.substring_index("text", "\n", 1))
+    # columns of their own: within the keys they would be computed for the condition and again for the value
+    d = d.withColumns({"words": text.unicode_words("text"), "head": text.unicode_words(F.substring_index("text", "\n", 1))})
     keys = {
-        "same_text": F.sha2("text", 256), "same_words": F.when(words != "", F.sha2(words, 256)),
-        "same_title": F.when(head != "", F.sha2(F.concat_ws("|", "lang", "source", head), 256)),
+        "same_text": F.sha2("text", 256), "same_words": F.when(F.col("words") != "", F.sha2("words", 256)),
+        "same_title": F.when(F.col("head") != "", F.sha2(F.concat_ws("|", "lang", "source", "head"), 256)),
     }
     return components.key_edges(d, "doc_id", keys)
 
