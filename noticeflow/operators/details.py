@@ -138,6 +138,11 @@ def verdict(url: Column, hosts: Sequence[str], record: Column, expected: Column,
     )
 
 
+def bound(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with one more column, which is computed once a row however often it is read."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def detail_records(pages: DataFrame, hosts: Sequence[str], words: Words = WORDS, bare: bool = True) -> DataFrame:
     """Pages (source, record_id, listed_title, url, status, html and more) with the record's fields and its ``outcome``.
 
@@ -145,38 +150,31 @@ def detail_records(pages: DataFrame, hosts: Sequence[str], words: Words = WORDS,
     (a confirmed notice, reason in ``link_reason``), ``excluded`` for pages that speak of no contest, ``failed`` for pages
     that were not read.  ``bare``: whether character references count without their semicolon too.
     """
-    # a page is taken apart once: what later steps read several times is bound to a variable
-    page = F.struct(
+    # a page is taken apart once, and a generator's rows are no expressions that Catalyst would repeat in a filter or for each
+    # field that reads them; the fields after them are columns of their own, so that those nobody reads are not computed
+    p = bound(pages, "_page", F.struct(
         lines("html", bare).alias("lines"), html.title("html", bare).alias("page_title"), html.attachments("html", bare=bare).alias("attachments"), collapse("listed_title").alias("listed"),
-        *[F.col(c).alias(c) for c in ("record_id", "url", "status")],
-    )
-
-    def titled(r: Column) -> Column:
-        title = F.coalesce(F.nullif(r["page_title"], F.lit("")), r["listed"])
-        text = F.concat_ws(" ", title, F.array_join(r["lines"], " "), F.array_join(F.transform(r["attachments"], lambda a: a["name"]), " "))
-        return F.struct(r.alias("page"), title.alias("title"), text.alias("text"))
-
-    def fields(t: Column) -> Column:
-        r, found, title = t["page"], t["page"]["lines"], t["title"]
-        expected = F.coalesce(F.nullif(r["listed"], F.lit("")), title)
-        own = kind(t["text"], words)
-        return F.struct(
-            r["page_title"].alias("page_title"), title.alias("title"), r["attachments"].alias("attachments"), own["status"].alias("class"), own["stage"].alias("stage"),
-            verdict(r["url"], hosts, r["record_id"], expected, title, found, r["status"], words).alias("link_reason"), F.get(dates(F.array_join(found, "\n")), 0).alias("posted_at"),
-            deadline(found, words).alias("deadline_at"), schedule(found, words).alias("schedule"), amount(found, words).alias("amount"), homes(found, words).alias("homes"),
-            named(title, found, words.place, r"[\p{L}0-9·ㆍ-]{2,40}?").alias("sites"), named(title, found, words.block, r"\b[\p{L}0-9-]{1,16}\s?").alias("blocks"),
-            summary(found, words).alias("summary"), scoring.modular_relevance(t["text"]).alias("modular"),
-        )
-
-    let = lambda value, use: F.transform(F.array(value), use)[0]
-    p = pages.withColumn("_fields", let(let(page, titled), fields))
-    p = p.withColumns({f: F.col(f"_fields.{f}") for f in p.schema["_fields"].dataType.names})
-    read = F.coalesce((F.col("status") == 200) & (F.coalesce("html", F.lit("")) != ""), F.lit(False))
+        F.coalesce((F.col("status") == 200) & (F.coalesce("html", F.lit("")) != ""), F.lit(False)).alias("read"),
+    ))
+    r, found = F.col("_page"), F.col("_page.lines")
+    title = F.coalesce(F.nullif(r["page_title"], F.lit("")), r["listed"])
+    text = F.concat_ws(" ", title, F.array_join(found, " "), F.array_join(F.transform(r["attachments"], lambda a: a["name"]), " "))
+    p = bound(p, "_text", F.struct(title.alias("title"), text.alias("text")))
+    title, text = F.col("_text.title"), F.col("_text.text")
+    expected = F.coalesce(F.nullif(r["listed"], F.lit("")), title)
+    reason = verdict(F.col("url"), hosts, F.col("record_id"), expected, title, found, F.col("status"), words)
+    p = bound(p, "_own", F.struct(kind(text, words).alias("kind"), reason.alias("link_reason")))
+    own = F.col("_own.kind")
     outcome = (
-        F.when(~read, "failed").when(F.col("class") == "excluded", "excluded").when(F.col("class") == "result", "result").when(F.col("class") != "confirmed", "review")
-        .when(F.col("link_reason") == "verified", "opportunity").otherwise("unverified")
+        F.when(~r["read"], "failed").when(own["status"] == "excluded", "excluded").when(own["status"] == "result", "result").when(own["status"] != "confirmed", "review")
+        .when(F.col("_own.link_reason") == "verified", "opportunity").otherwise("unverified")
     )
-    return p.withColumn("outcome", outcome).drop("_fields")
+    return p.withColumns({
+        "page_title": r["page_title"], "title": title, "attachments": r["attachments"], "class": own["status"], "stage": own["stage"], "link_reason": F.col("_own.link_reason"),
+        "posted_at": F.get(dates(F.array_join(found, "\n")), 0), "deadline_at": deadline(found, words), "schedule": schedule(found, words), "amount": amount(found, words), "homes": homes(found, words),
+        "sites": named(title, found, words.place, r"[\p{L}0-9·ㆍ-]{2,40}?"), "blocks": named(title, found, words.block, r"\b[\p{L}0-9-]{1,16}\s?"),
+        "summary": summary(found, words), "modular": scoring.modular_relevance(text), "outcome": outcome,
+    }).drop("_page", "_text", "_own")
 
 
 def detail_items(records: DataFrame, words: Words = WORDS) -> DataFrame:
