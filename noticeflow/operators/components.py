@@ -29,8 +29,8 @@ def key_edges(rows: DataFrame, id: str, keys: Mapping[str, Column]) -> DataFrame
     return edges
 
 
-#: Rows and characters of a cell of titles; classes by which characters, and runs of GRAM characters, are counted.
-CELL_ROWS, CELL_CHARS, CLASSES, GRAM, GRAM_CLASSES = 4096, 4_000_000, 32, 3, 1024
+#: Rows and characters of a cell of titles; classes by which characters, and runs of GRAM characters, are counted; characters of long runs and counted at once.
+CELL_ROWS, CELL_CHARS, CLASSES, GRAM, GRAM_CLASSES, LONG, AT_ONCE = 4096, 4_000_000, 32, 3, 1024, 5, 500_000
 
 
 @F.pandas_udf(DoubleType())
@@ -54,24 +54,46 @@ def common_at_most(x: str, y: str) -> int:
     return len(x) - row.bit_count()
 
 
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def long_runs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the runs of LONG characters, and how many runs each has."""
+    codes = codes_of(text).astype("uint64")
+    run = np.zeros(max(len(codes) - LONG + 1, 0), "uint64")
+    for k in range(LONG):
+        run = run * np.uint64(0x100000001B3) + codes[k : k + len(run)]
+    return np.unique((run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48), return_counts=True)
+
+
 def close_pairs(least: float, days: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """For two cells of titles the edges (a, b) between them: of all pairs counts by class, then of runs, then common subsequences, then ratios.
+    """For two cells of titles the edges (a, b) between them: of all pairs counts by class, then of runs, of longer runs, then common subsequences, then ratios.
 
     A character that is left out changes at most 2 * GRAM - 1 counts of runs by one, and at most (1 - least) of both titles' are.
+    Classes that runs share only add to what two titles have in common.
     """
     low = least / (2 - least) * (1 - 1e-9)
 
     def counted(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        rows = rows.sort_values("n", ignore_index=True)
+        rows = rows.sort_values(["n", "id"], ignore_index=True)
         kind = "uint16" if rows.n.max() < 1 << 16 else "uint32"
         counts, runs = np.empty((len(rows), CLASSES), kind), np.empty((len(rows), GRAM_CLASSES), kind)
-        for i, t in enumerate(rows.title):
-            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype("int64")
-            counts[i] = np.bincount(codes % CLASSES, minlength=CLASSES)
-            run = sum(codes[k : max(len(codes) - GRAM + 1 + k, 0)] * m for k, m in enumerate((1, 131, 17_161)))
-            runs[i] = np.bincount(run % 1021, minlength=GRAM_CLASSES)
+        texts = rows.title.tolist()
+        sizes = np.array([len(t) for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE)) + 1), len(rows)]
+        for i, j in zip(cuts, cuts[1:]):
+            codes, of = codes_of("".join(texts[i:j])), np.repeat(np.arange(j - i), sizes[i:j])
+            counts[i:j] = np.bincount(of * CLASSES + codes % CLASSES, minlength=(j - i) * CLASSES).reshape(j - i, CLASSES)
+            first = np.flatnonzero(of[: 1 - GRAM] == of[GRAM - 1 :])
+            run = sum(codes[first + k] * np.uint32(m) for k, m in enumerate((1, 131, 17_161)))
+            runs[i:j] = np.bincount(of[first] * GRAM_CLASSES + run % 1021, minlength=(j - i) * GRAM_CLASSES).reshape(j - i, GRAM_CLASSES)
         return rows, counts, runs
 
+    def may_differ(size: int, x: np.ndarray, y: int) -> np.ndarray:
+        """Counts of runs of a size that may be unlike in titles of x and y characters that are close."""
+        return (2 * size - 1) * (1 - least) * (x + y) + 1e-6 * x + 1e-6
+
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
@@ -91,20 +113,37 @@ def close_pairs(least: float, days: int) -> Callable[[tuple, pd.DataFrame, pd.Da
             texts = right.title.tolist()
             ends = np.searchsorted(n, left.n.to_numpy() / low + 1, "right")
             begins = np.searchsorted(n, left.n.to_numpy() * low - 1, "left")
+            if own:  # both sides are the same rows in the same order
+                begins = np.maximum(begins, np.arange(len(left)) + 1)
+            # a class a row: sums run along the titles, and none exceeds a title's length
+            two = np.ascontiguousarray(two.T)
+            longer: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            mine = np.zeros(1 << 16, "int64")
             for i, r in enumerate(left.itertuples(index=False)):
                 s = slice(begins[i], ends[i])
-                both = np.minimum(two[s], one[i]).sum(axis=1, dtype="int64")
+                both = np.minimum(two[:, s], one[i][:, None])
+                both = both.sum(axis=0, dtype=both.dtype)
                 ok = (2.0 * both / np.maximum(n[s] + r.n, 1) >= least) | (n[s] + r.n == 0)
                 ok &= np.abs(at[s] - r.at) <= days
-                if own:
-                    ok &= ids[s] > r.id
                 near = np.flatnonzero(ok) + s.start
                 shared = np.minimum(runs[near], run[i]).sum(axis=1, dtype="int64")
                 apart = np.maximum(n[near] - GRAM + 1, 0) + max(r.n - GRAM + 1, 0) - 2 * shared
-                for j in near[apart <= (2 * GRAM - 1) * (1 - least) * (n[near] + r.n) + 1e-6 * n[near] + 1e-6]:
+                near = near[apart <= may_differ(GRAM, n[near], r.n)]
+                if not len(near):
+                    continue
+                kinds, times = long_runs(r.title)
+                mine[kinds] = times
+                needed = (np.maximum(n[near] - LONG + 1, 0) + max(r.n - LONG + 1, 0) - may_differ(LONG, n[near], r.n)) / 2
+                for j, least_shared in zip(near.tolist(), needed.tolist()):
+                    if j not in longer:
+                        longer[j] = long_runs(texts[j])
+                    theirs, often = longer[j]
+                    if np.add.reduce(np.minimum(mine[theirs], often)) < least_shared:
+                        continue
                     first = r.id < ids[j]
                     if close(*((r.title, texts[j]) if first else (texts[j], r.title))):
                         out.append((ids[j], r.id) if first else (r.id, ids[j]))
+                mine[kinds] = 0
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
@@ -117,7 +156,7 @@ def close_title_edges(rows: DataFrame, id: str, title: str, domain: str, day: st
     compared, so copies never multiply.  Days are dealt to blocks of days + 1; a block's nodes are cut by
     length into cells of bounded size, and a task compares two cells, of one block or the next, whose lengths
     allow the ratio.  A ratio of r needs titles that share r / 2 of all their characters, so counts of characters
-    by class, of all pairs at once, and then their longest common subsequence rule out nearly all pairs
+    by class and of short and longer runs, and then their longest common subsequence, rule out nearly all pairs
     before the sequence is looked at.  No text is too frequent and no title too long to be compared.
     """
     width = days + 1
